@@ -17,9 +17,7 @@ BASE_HREF = rf"(?is)<base\s(?:[^>]*?\s)?href\s*=\s*{_VALUE}"
 # Named character references decoded in text and attributes.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&#x2F;", "/"),
-    ("&amp;", "&"),
+    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&#x2F;", "/"), ("&amp;", "&"),
 )
 
 
@@ -37,7 +35,7 @@ def unescape(text) -> Column:
     out = _col(text)
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(_col(text).contains("&"), out).otherwise(_col(text))
+    return out
 
 
 def unquote(value) -> Column:
@@ -47,7 +45,7 @@ def unquote(value) -> Column:
 def attribute(tag, name: str) -> Column:
     """Value of an attribute of one start tag; NULL when absent."""
     raw = F.regexp_extract(_col(tag), rf"(?is)[\s\"'/]{name}\s*=\s*{_VALUE}", 1)
-    return F.when(raw != "", unescape(unquote(raw)))
+    return unescape(unquote(F.when(raw != "", raw)))
 
 
 def tags(html, name: str) -> Column:

@@ -21,9 +21,13 @@ from netloom.functions.tables import (
     SKIPPED_FILE_EXTENSIONS,
 )
 
-_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
-_HEAD = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/?#]*)?"
+_NAME = r"[A-Za-z][A-Za-z0-9+.\-]*"
+_SCHEME = rf"^({_NAME}):"
+_HOST = rf"^{_NAME}://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)"
+_PORT = rf"^{_NAME}://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]*):([0-9]+)"
+_ROOT = rf"^({_NAME}://[^/?#]*)"
+_PATH = rf"^(?:{_NAME}:)?(?://[^/?#]*)?([^?#]*)"
+_FOLDER = rf"^{_NAME}://[^/?#]*(/(?:[^?#]*/)?)"
 _VALID = r"^(?i)(https?|ftp|wss?)://([^/?#@\s]*@)?[^/?#@:\s<>^|%\\]+(:[0-9]*)?([/?#]|$)"
 
 
@@ -39,43 +43,34 @@ def scheme(url) -> Column:
     return F.lower(F.regexp_extract(_clean(url), _SCHEME, 1))
 
 
-def _hostport(url) -> Column:
-    return F.regexp_replace(F.regexp_extract(_clean(url), _AUTHORITY, 1), r"^.*@", "")
-
-
 def host(url) -> Column:
     """Lower-cased host name, empty when the text has no authority."""
-    return F.lower(F.regexp_replace(_hostport(url), r":[0-9]*$", ""))
+    return F.lower(F.regexp_extract(_clean(url), _HOST, 1))
 
 
 def port(url) -> Column:
     """Explicit port; NULL when absent or when it is the scheme's default."""
-    number = F.regexp_extract(_hostport(url), r":([0-9]+)$", 1)
-    return F.when(
-        (number == "")
-        | ((scheme(url) == "http") & (number == "80"))
-        | ((scheme(url) == "https") & (number == "443")),
-        F.lit(None).cast("int"),
-    ).otherwise(number.try_cast("int"))
+    number = F.regexp_extract(_clean(url), _PORT, 1)
+    default = _clean(url).rlike(r"^(?i)(http://[^/?#]*:80|https://[^/?#]*:443)([/?#]|$)")
+    return F.when(~default, number.try_cast("int"))
 
 
-def _rest(url) -> Column:
-    return F.regexp_replace(_clean(url), _HEAD, "")
+def _slash_if_empty(text: Column) -> Column:
+    return F.regexp_replace(text, "^$", "/")
 
 
 def path(url) -> Column:
-    raw = F.regexp_extract(_rest(url), r"^([^?#]*)", 1)
-    return F.when(raw == "", "/").otherwise(raw)
+    return _slash_if_empty(F.regexp_extract(_clean(url), _PATH, 1))
 
 
 def query(url) -> Column:
     """Query text without the question mark, empty when absent."""
-    return F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)
+    return F.regexp_extract(_clean(url), r"^[^?#]*\?([^#]*)", 1)
 
 
 def fragment(url) -> Column:
     """Fragment text without the hash sign, empty when absent."""
-    return F.regexp_extract(_rest(url), r"^[^#]*#(.*)$", 1)
+    return F.regexp_extract(_clean(url), r"^[^#]*#(.*)$", 1)
 
 
 def is_web_url(url) -> Column:
@@ -84,11 +79,11 @@ def is_web_url(url) -> Column:
 
 
 def origin(url) -> Column:
-    """scheme://host[:port] with the default port dropped."""
-    return F.concat(
-        scheme(url), F.lit("://"), host(url),
-        F.coalesce(F.concat(F.lit(":"), port(url).cast("string")), F.lit("")),
-    )
+    """scheme://host[:port] with user data and the default port dropped."""
+    root = F.lower(F.regexp_extract(_clean(url), _ROOT, 1))
+    return F.regexp_replace(
+        F.regexp_replace(root, r"://[^@]*@", "://"),
+        r"^(?:(http://.*):80|(https://.*):443|(.*?):?)$", "$1$2$3")
 
 
 def url_parts(url) -> Column:
@@ -135,50 +130,50 @@ def repair_slashes(href) -> Column:
     return F.regexp_replace(_col(href), r"^(https?):/([^/]|$)", "$1://$2")
 
 
-def resolve_url(href, base) -> Column:
-    """Absolute form of a link against its base; empty text for in-page anchors.
+def clean_href(href) -> Column:
+    return F.trim(repair_slashes(href))
 
-    Absolute http(s) and mailto links are returned as written.
-    """
-    h = F.trim(repair_slashes(href))
-    b = _clean(base)
-    root = origin(b)
-    ref_path = F.regexp_extract(h, r"^([^?#]*)", 1)
-    ref_tail = F.regexp_replace(h, r"^[^?#]*", "")
-    folder = F.regexp_replace(path(b), r"[^/]*$", "")
-    joined = F.concat(root, resolve_dots(F.concat(folder, ref_path)), ref_tail)
+
+def resolve_clean(h: Column, base: Column) -> Column:
+    """:func:`resolve_url` for a link already passed through ``clean_href``."""
+    root = origin(base)
+    folder = _slash_if_empty(F.regexp_extract(base, _FOLDER, 1))
+    rooted = h.startswith("/")
+    full_path = F.concat(
+        F.when(rooted, "").otherwise(folder), F.regexp_extract(h, r"^([^?#]*)", 1))
+    tail = F.regexp_replace(h, r"^[^?#]*", "")
     return (
         F.when(h.rlike(r"^(https?://|mailto:)"), h)
         .when(h.startswith("#"), "")
         .when(h.rlike(_SCHEME), h)
         .when(h.startswith("//"), F.concat(
-            scheme(b), F.lit(":"), h,
-            F.when(h.rlike(r"^//[^/?#]+$"), "/").otherwise("")))
-        .when(h == "", F.regexp_replace(b, r"#.*$", ""))
-        .when(h.startswith("?"), F.concat(root, path(b), h))
-        .when(h.startswith("/"), F.concat(root, resolve_dots(ref_path), ref_tail))
-        .otherwise(joined)
+            scheme(base), F.lit(":"), F.regexp_replace(h, r"^(//[^/?#]+)$", "$1/")))
+        .when(h == "", F.regexp_replace(base, r"#.*$", ""))
+        .when(h.startswith("?"), F.concat(root, path(base), h))
+        .otherwise(F.concat(root, resolve_dots(full_path), tail))
     )
 
 
+def resolve_url(href, base) -> Column:
+    """Absolute form of a link against its base; empty text for in-page anchors.
+
+    Absolute http(s) and mailto links are returned as written.
+    """
+    return resolve_clean(clean_href(href), _clean(base))
+
+
 # --- keys ------------------------------------------------------------------
 
 
 def _search(url, ignore_query: bool) -> Column:
-    if ignore_query:
-        return F.lit("")
-    q = query(url)
-    return F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))
+    """Query with its question mark, empty when there is none."""
+    return F.lit("") if ignore_query else F.regexp_extract(_clean(url), r"^[^?#]*(\?[^#]+)", 1)
 
 
 def normalize_url(url, ignore_query: bool = False) -> Column:
     """Crawl key of a URL: fragment dropped unless it is a client-side route."""
-    frag = F.concat(F.lit("#"), fragment(url))
-    keep = (F.length(frag) > 2) & frag.rlike(r"^#!?/")
-    return F.concat(
-        origin(url), resolve_dots(path(url)), _search(url, ignore_query),
-        F.when(keep, frag).otherwise(""),
-    )
+    route = F.regexp_extract(_clean(url), r"^[^#]*(#/.+|#!/.*)$", 1)
+    return F.concat(origin(url), resolve_dots(path(url)), _search(url, ignore_query), route)
 
 
 def canonical_url(url) -> Column:
@@ -291,56 +286,47 @@ def same_subdomain(a, b) -> Column:
 # --- permutations ----------------------------------------------------------
 
 
-def _path_forms(p: Column) -> Column:
-    base = (
-        F.when(p.endswith("/"), F.regexp_replace(p, r"/$", ""))
-        .when(p.rlike(r"/index\.(html|php)$"), F.regexp_replace(p, r"/index\.(html|php)$", ""))
-        .otherwise(p)
-    )
-    bare = F.when(base == "", "/").otherwise(base)
-    return F.array(
-        F.concat(base, F.lit("/index.html")), F.concat(base, F.lit("/index.php")),
-        F.concat(base, F.lit("/")), bare,
-    )
+def _stem(url) -> Column:
+    """Path without a trailing slash or index page."""
+    return F.regexp_replace(path(url), r"(/index\.(html|php)|/)$", "")
 
 
 def _tail(url) -> Column:
-    q, f = query(url), fragment(url)
     return F.concat(
-        F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)),
-        F.when(f == "", "").otherwise(F.concat(F.lit("#"), f)),
-    )
+        F.regexp_extract(_clean(url), r"^[^?#]*(\?[^#]+)", 1),
+        F.regexp_extract(_clean(url), r"^[^#]*(#.+)$", 1))
 
 
 def _port_text(url) -> Column:
     return F.coalesce(F.concat(F.lit(":"), port(url).cast("string")), F.lit(""))
 
 
+def _is_web_scheme(url) -> Column:
+    return _clean(url).rlike(r"^(?i)https?://")
+
+
 def url_permutations(url) -> Column:
     """All spellings treated as one page: www/bare, http/https, index forms."""
+    stem, before, after = _stem(url), _port_text(url), _tail(url)
+    forms = F.transform(
+        F.array(F.concat(stem, F.lit("/index.html")), F.concat(stem, F.lit("/index.php")),
+                F.concat(stem, F.lit("/")), _slash_if_empty(stem)),
+        lambda p: F.concat(before, p, after))
     name = strip_www(host(url))
-    hosts = F.array(F.concat(F.lit("www."), name), name)
-    schemes = F.when(
-        scheme(url).isin("http", "https"), F.array(F.lit("http"), F.lit("https"))
-    ).otherwise(F.array(scheme(url)))
-    forms, tail, port_text = _path_forms(path(url)), _tail(url), _port_text(url)
-
-    def spell(h, s, p):
-        return F.concat(s, F.lit("://"), h, port_text, p, tail)
-
+    heads = F.when(_is_web_scheme(url), F.array(
+        F.concat(F.lit("http://www."), name), F.concat(F.lit("https://www."), name),
+        F.concat(F.lit("http://"), name), F.concat(F.lit("https://"), name),
+    )).otherwise(F.array(
+        F.concat(scheme(url), F.lit("://www."), name), F.concat(scheme(url), F.lit("://"), name)))
     return F.array_distinct(F.flatten(F.transform(
-        hosts, lambda h: F.flatten(F.transform(
-            schemes, lambda s: F.transform(forms, lambda p: spell(h, s, p)))))))
+        heads, lambda h: F.transform(forms, lambda p: F.concat(h, p)))))
 
 
 def similar_url_key(url) -> Column:
     """First permutation, computed directly: one member stands for the class."""
-    web = scheme(url).isin("http", "https")
     return F.concat(
-        F.when(web, "http").otherwise(scheme(url)),
-        F.lit("://www."), strip_www(host(url)), _port_text(url),
-        _path_forms(path(url)).getItem(0), _tail(url),
-    )
+        F.when(_is_web_scheme(url), "http").otherwise(scheme(url)), F.lit("://www."),
+        strip_www(host(url)), _port_text(url), _stem(url), F.lit("/index.html"), _tail(url))
 
 
 # --- validation ------------------------------------------------------------

@@ -139,7 +139,7 @@ def main_content(trees: DataFrame, include=(), exclude=(), main_only: bool = Tru
     """One row per kept block."""
     kept = content_blocks(include, exclude, main_only)
     others = [c for c in trees.columns if c not in ("nodes", "blocks")]
-    return trees.select(*others, F.explode(kept).alias("b")).select(
+    return trees.select(*others, F.explode_outer(kept).alias("b")).where("b is not null").select(
         *others, "b.pos", "b.tag", "b.level", "b.text", "b.markdown")
 
 
@@ -157,22 +157,26 @@ def page_markdown(trees: DataFrame, include=(), exclude=(), main_only: bool = Tr
                   content_type: str | None = None, raw: str | None = None) -> DataFrame:
     """Markdown per page; JSON pages become one fenced block of the raw text."""
     others = [c for c in trees.columns if c not in ("nodes", "blocks")]
-    md = clean_markdown_links(_markdown(content_blocks(include, exclude, main_only)))
+    rows = trees.withColumn("_kept", content_blocks(include, exclude, main_only)).withColumn(
+        "_md", _markdown(F.col("_kept")))
+    md = clean_markdown_links("_md")
     if content_type is not None and raw is not None:
         md = F.when(F.coalesce(F.col(content_type), F.lit("")).contains("application/json"),
                     F.concat(F.lit("```json\n"), F.col(raw), F.lit("\n```"))).otherwise(md)
-    return trees.select(*others, md.alias("markdown"))
+    return rows.select(*others, md.alias("markdown"))
 
 
 def markdown_with_fallback(trees: DataFrame, include=(), exclude=()) -> DataFrame:
     """Main content, or the whole page where that is empty."""
     others = [c for c in trees.columns if c not in ("nodes", "blocks")]
-    main = _markdown(content_blocks(include, exclude, True))
-    full = _markdown(content_blocks(include, exclude, False))
-    return trees.withColumn("_main", main).select(
-        *others, (F.trim("_main") == "").alias("fell_back"),
-        clean_markdown_links(
-            F.when(F.trim("_main") == "", full).otherwise(F.col("_main"))).alias("markdown"))
+    rows = trees.withColumns({
+        "_main_kept": content_blocks(include, exclude, True),
+        "_all_kept": content_blocks(include, exclude, False),
+    }).withColumn("_main", _markdown(F.col("_main_kept"))).withColumn(
+        "_fell", F.trim("_main") == "")
+    chosen = F.when(F.col("_fell"), _markdown(F.col("_all_kept"))).otherwise(F.col("_main"))
+    return rows.withColumn("_md", chosen).select(
+        *others, F.col("_fell").alias("fell_back"), clean_markdown_links("_md").alias("markdown"))
 
 
 def inner_text(trees: DataFrame) -> DataFrame:
@@ -197,6 +201,16 @@ def fulltext(pages: DataFrame) -> DataFrame:
 # --- attributes ------------------------------------------------------------
 
 
+def _matcher(selector: str):
+    return lambda n: node_matches(n, [selector])
+
+
+def _attribute_of(name: str):
+    if name.startswith("data-"):
+        return lambda n: n["attrs"][name]
+    return lambda n: F.coalesce(n["attrs"][name], n["attrs"]["data-" + name])
+
+
 def extract_attributes(trees: DataFrame, selectors: list[tuple[str, str]]) -> DataFrame:
     """Attribute values per (selector, attribute), in document order.
 
@@ -208,9 +222,8 @@ def extract_attributes(trees: DataFrame, selectors: list[tuple[str, str]]) -> Da
         simple = bool(selector) and all(
             ch.isalnum() or ch in "-_" for ch in selector.lstrip(".#")) and selector[-1] not in ".#"
         if simple:
-            hits = F.filter("nodes", lambda n, s=selector: node_matches(n, [s]))
-            values = F.transform(hits, lambda n, a=name: n["attrs"][a] if a.startswith("data-")
-                                 else F.coalesce(n["attrs"][a], n["attrs"]["data-" + a]))
+            hits = F.filter("nodes", _matcher(selector))
+            values = F.transform(hits, _attribute_of(name))
             values = F.filter(values, lambda v: v.isNotNull())
         else:
             values = F.array().cast("array<string>")
@@ -290,9 +303,10 @@ def clean_markdown_links(md) -> Column:
     depths = F.aggregate(
         brackets, F.array(F.lit(0)),
         lambda acc, found: F.concat(acc, F.array(depth_after(F.element_at(acc, -1), found))))
-    last = F.size(lines) - 1
-    escaped = F.array_join(F.transform(lines, lambda line, i: F.concat(
-        line, F.when(i == last, "").when(F.get(depths, i + 1) > 0, "\\\n").otherwise("\n"))), "")
+    # Depth at each line break; no break follows the last line.
+    at_break = F.concat(F.slice(depths, F.lit(2), F.size(lines) - 1), F.array(F.lit(0)))
+    escaped = F.array_join(F.zip_with(lines, at_break, lambda line, d: F.concat(
+        line, F.when(d > 0, "\\").otherwise(""))), "\n")
     multi_line = text.contains("\n") & text.contains("[")
     return remove_skip_links(F.when(multi_line, escaped).otherwise(text))
 

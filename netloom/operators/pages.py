@@ -15,17 +15,29 @@ from netloom.functions import url as U
 from netloom.functions.tables import TYPED_META
 
 
+def explode_computed(df: DataFrame, keep: list[str], array: Column, pos: str,
+                     value: str) -> DataFrame:
+    """Explodes an array that is costly to compute.
+
+    A plain ``explode`` makes the optimizer add a size filter, which computes
+    the array a second time; the outer form with a NULL filter does not.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).where(
+        F.col(value).isNotNull())
+
+
 def base_href(html, url) -> Column:
     """Base URL for links: the first ``base`` element, else the page URL."""
     raw = H.unescape(H.unquote(F.regexp_extract(html, H.BASE_HREF, 1)))
-    resolved = U.resolve_url(raw, url)
-    return F.when((raw != "") & U.is_web_url(resolved), resolved).otherwise(url)
+    has_base = html.rlike(H.BASE_HREF)
+    return F.when(has_base, F.coalesce(
+        F.nullif(U.resolve_url(raw, url), F.lit("")), url)).otherwise(url)
 
 
 def hrefs(html) -> Column:
     """``href`` of every anchor in document order, as written."""
     found = F.regexp_extract_all(H.strip_noise(html), F.lit(H.A_HREF), F.lit(1))
-    return F.transform(found, lambda h: H.unescape(H.unquote(h)))
+    return F.transform(found, lambda h: U.clean_href(H.unescape(H.unquote(h))))
 
 
 def _with_base(pages: DataFrame) -> DataFrame:
@@ -33,7 +45,7 @@ def _with_base(pages: DataFrame) -> DataFrame:
 
 
 def _resolved_links(base: str = "_base", found: str = "_hrefs") -> Column:
-    resolved = F.transform(F.col(found), lambda h: U.resolve_url(F.trim(h), F.col(base)))
+    resolved = F.transform(F.col(found), lambda h: U.resolve_clean(h, F.col(base)))
     return F.array_distinct(F.filter(resolved, lambda u: u != ""))
 
 
@@ -45,8 +57,9 @@ def with_links(pages: DataFrame, out: str = "links") -> DataFrame:
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """One row per distinct link of a page: ``page_id, url, pos, link``."""
-    return with_links(pages.select("page_id", "url", "html")).select(
-        "page_id", "url", F.posexplode("links").alias("pos", "link"))
+    return explode_computed(
+        with_links(pages.select("page_id", "url", "html")), ["page_id", "url"],
+        F.col("links"), "pos", "link")
 
 
 def link_report(pages: DataFrame) -> DataFrame:
@@ -118,9 +131,10 @@ def with_images(pages: DataFrame, out: str = "images") -> DataFrame:
     def resolve(src):
         return (
             F.when(src.rlike("^(data|blob):|^https?://"), src)
-            .when(src.startswith("//"), U.resolve_url(src, F.col("url")))
-            .otherwise(U.resolve_url(src, F.col("_base"))))
+            .when(src.startswith("//"), U.resolve_clean(src, F.col("url")))
+            .otherwise(U.resolve_clean(src, F.col("_base"))))
 
+    rows = rows.withColumn("_src", F.transform("_src", U.clean_href))
     found = F.filter(F.transform("_src", resolve), lambda u: (
         ~F.lower(u).startswith("javascript:") & (u != "")
         & (u.rlike("^(data|blob):") | u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"))))
@@ -128,8 +142,9 @@ def with_images(pages: DataFrame, out: str = "images") -> DataFrame:
 
 
 def extract_images(pages: DataFrame) -> DataFrame:
-    return with_images(pages.select("page_id", "url", "html")).select(
-        "page_id", "url", F.posexplode("images").alias("pos", "image"))
+    return explode_computed(
+        with_images(pages.select("page_id", "url", "html")), ["page_id", "url"],
+        F.col("images"), "pos", "image")
 
 
 def biggest_srcset(srcset, src) -> Column:
@@ -164,16 +179,16 @@ def _entry(key: Column, value: Column) -> Column:
     return F.struct(key.alias("key"), value.alias("value"))
 
 
-def _meta_entries(metas: Column) -> Column:
-    keyed = F.transform(metas, lambda t: _entry(
-        F.coalesce(H.attribute(t, "name"), H.attribute(t, "property"), H.attribute(t, "itemprop")),
-        H.attribute(t, "content")))
-    return F.filter(keyed, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+def _parsed_metas(html: Column) -> Column:
+    """Attributes of every ``meta`` element, read once."""
+    return F.transform(H.tags(html, "meta"), lambda t: F.struct(
+        H.attribute(t, "name").alias("name"), H.attribute(t, "property").alias("property"),
+        H.attribute(t, "itemprop").alias("itemprop"), H.attribute(t, "content").alias("content")))
 
 
-def _first_meta(metas: Column, attr: str, key: str) -> Column:
-    hits = F.filter(metas, lambda t: F.coalesce(H.attribute(t, attr) == key, F.lit(False)))
-    return H.attribute(F.get(hits, 0), "content")
+def _first_meta(attr: str, key: str) -> Column:
+    hits = F.filter("_metas", lambda m: F.coalesce(m[attr] == key, F.lit(False)))
+    return F.get(hits, 0)["content"]
 
 
 def page_title(html) -> Column:
@@ -186,34 +201,24 @@ def page_language(html) -> Column:
     return H.attribute(F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0), "lang")
 
 
-def metadata(html) -> Column:
-    """MAP<STRING, ARRAY<STRING>> of all page metadata.
-
-    Typed fields come first, then every ``meta`` element under its own key.
-    Repeated keys collect their values; ``description`` values are joined by a
-    comma; a page title is never replaced, and is filled from the social tags
-    when missing.
-    """
-    metas = H.tags(html, "meta")
-    links = F.filter(H.tags(html, "link"), lambda t: F.coalesce(
-        H.attribute(t, "rel").contains("icon"), F.lit(False)))
-    exact = F.filter(links, lambda t: H.attribute(t, "rel") == "icon")
-    favicon = H.attribute(F.coalesce(F.get(exact, 0), F.get(links, 0)), "href")
+def _meta_entries() -> Column:
+    """Typed fields, then every ``meta`` element under its own key."""
+    exact = F.filter("_links", lambda t: F.coalesce(H.attribute(t, "rel") == "icon", F.lit(False)))
+    favicon = H.attribute(F.coalesce(F.get(exact, 0), F.get("_links", 0)), "href")
     typed = [
-        _entry(F.lit("title"), page_title(html)), _entry(F.lit("favicon"), favicon),
-        _entry(F.lit("language"), page_language(html)),
+        _entry(F.lit("title"), F.col("_title")), _entry(F.lit("favicon"), favicon),
+        _entry(F.lit("language"), F.col("_lang")),
     ]
-    typed += [_entry(F.lit(out), _first_meta(metas, attr, key))
+    typed += [_entry(F.lit(out), _first_meta(attr, key))
               for out, (attr, key) in TYPED_META.items()]
-    alternates = F.filter(F.transform(
-        F.filter(metas, lambda t: F.coalesce(
-            H.attribute(t, "property") == "og:locale:alternate", F.lit(False))),
-        lambda t: _entry(F.lit("ogLocaleAlternate"), H.attribute(t, "content"))),
-        lambda e: e["value"].isNotNull())
-    entries = F.concat(
-        F.filter(F.array(*typed), lambda e: e["value"].isNotNull()), alternates,
-        _meta_entries(metas))
-    return entries
+    alternates = F.transform(
+        F.filter("_metas", lambda m: F.coalesce(
+            m["property"] == "og:locale:alternate", F.lit(False))),
+        lambda m: _entry(F.lit("ogLocaleAlternate"), m["content"]))
+    keyed = F.transform("_metas", lambda m: _entry(
+        F.coalesce(m["name"], m["property"], m["itemprop"]), m["content"]))
+    return F.filter(F.concat(F.array(*typed), alternates, keyed),
+                    lambda e: e["key"].isNotNull() & e["value"].isNotNull())
 
 
 def _entry_map(entries: Column) -> Column:
@@ -231,9 +236,22 @@ def _entry_map(entries: Column) -> Column:
 
 
 def with_metadata(pages: DataFrame, out: str = "metadata") -> DataFrame:
-    """Adds the metadata map; the title is backfilled from social tags."""
-    rows = pages.withColumn("_entries", metadata(H.strip_noise("html"))).withColumn(
-        "_map", _entry_map(F.col("_entries")))
+    """Adds MAP<STRING, ARRAY<STRING>> of all page metadata.
+
+    Repeated keys collect their values; ``description`` values are joined by a
+    comma; a page title is never replaced, and is filled from the social tags
+    when missing.
+    """
+    clean = F.col("_clean")
+    rows = (
+        pages.withColumn("_clean", H.strip_noise("html"))
+        .withColumns({
+            "_metas": _parsed_metas(clean), "_title": page_title(clean),
+            "_lang": page_language(clean),
+            "_links": F.filter(H.tags(clean, "link"), lambda t: F.coalesce(
+                H.attribute(t, "rel").contains("icon"), F.lit(False)))})
+        .withColumn("_entries", _meta_entries())
+        .withColumn("_map", _entry_map(F.col("_entries"))))
 
     def only(key):
         return F.get(F.col("_map")[key], 0)
@@ -242,7 +260,8 @@ def with_metadata(pages: DataFrame, out: str = "metadata") -> DataFrame:
     needs = ~F.map_contains_key("_map", "title") & F.coalesce(fallback != "", F.lit(False))
     filled = F.when(needs, F.map_concat(
         F.col("_map"), F.create_map(F.lit("title"), F.array(fallback)))).otherwise(F.col("_map"))
-    return rows.withColumn(out, filled).drop("_entries", "_map")
+    return rows.withColumn(out, filled).drop(
+        "_entries", "_map", "_clean", "_metas", "_title", "_lang", "_links")
 
 
 def extract_metadata(pages: DataFrame) -> DataFrame:
@@ -271,12 +290,14 @@ def data_iframe_links(pages: DataFrame, max_depth: int = 3) -> DataFrame:
     level = pages.select("page_id", "url", "html", F.lit(0).alias("frame_depth"))
     out = None
     for _ in range(max_depth + 1):
-        found = with_links(level).select(
-            "page_id", "url", "frame_depth", F.explode("links").alias("link"))
+        found = explode_computed(
+            with_links(level), ["page_id", "url", "frame_depth"], F.col("links"), "pos", "link"
+        ).drop("pos")
         out = found if out is None else out.unionByName(found)
-        level = level.select(
-            "page_id", "url", F.explode(inline_frames(F.col("html"))).alias("html"),
-            (F.col("frame_depth") + 1).alias("frame_depth"))
+        level = explode_computed(
+            level.withColumn("frame_depth", F.col("frame_depth") + 1),
+            ["page_id", "url", "frame_depth"], inline_frames(F.col("html")), "pos", "html"
+        ).drop("pos")
     return out.groupBy("page_id", "url", "link").agg(F.min("frame_depth").alias("frame_depth"))
 
 
@@ -374,9 +395,9 @@ def repo_listing(pages: DataFrame) -> DataFrame:
                 F.substr(p, F.length("base_path") + 1), r"^/", "")).alias("name"), p.alias("path"), F.lit(kind).alias("type")))
         return F.filter(inside, lambda e: (e["name"] != "") & ~e["name"].contains("/"))
 
-    linked = F.concat(entries("tree", "dir"), entries("blob", "file"))
-    first = F.filter(linked, lambda e, i: ~F.exists(
-        F.slice(linked, 1, i), lambda o: o["path"] == e["path"]))
+    pages = pages.withColumn("_linked", F.concat(entries("tree", "dir"), entries("blob", "file")))
+    pages = pages.withColumn("_paths", F.transform("_linked", lambda e: e["path"]))
+    first = F.filter("_linked", lambda e, i: F.array_position("_paths", e["path"]) == i + 1)
     payload = F.regexp_extract(
         "html", r'(?s)<script[^>]*data-target="react-app.embeddedData"[^>]*>(.*?)</script>', 1)
     item = "array<struct<name: string, path: string, contentType: string>>"
