@@ -320,5 +320,13 @@ def check_sql(final: str, *names: str, recursive: bool = False, extra: str = "")
         parts.append(f"{n} as ({text.format(**{d: d for d in deps})})")
     if extra:
         parts.append(extra)
-    head = "with " + ("recursive " if recursive else "") + ",\n".join(parts) if parts else ""
-    return head + "\n" + final
+    body = final.strip()
+    if body.startswith("with "):
+        body = body.removeprefix("with ").removeprefix("recursive ")
+        own, joiner = True, ",\n"
+    else:
+        own, joiner = False, "\n"
+    if not parts:
+        return final
+    return ("with " + ("recursive " if recursive else "") + ",\n".join(parts)
+            + (joiner if own else "\n") + body)
