@@ -109,11 +109,35 @@ def admit_memories(entries: DataFrame, incoming: DataFrame) -> DataFrame:
     return joined.select(*[joined[c] for c in incoming.columns], verdict.alias("verdict"))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def like_contains(text, part) -> Column:
+    """``text LIKE '%' || part || '%'`` with ASCII letter case ignored.
+
+    ``%`` and ``_`` in ``part`` keep their wildcard meaning.  The pieces between
+    percent signs are found left to right, so the cost stays linear; the
+    regular expression behind ``ILIKE`` backtracks without end on a text with
+    many percent signs.
+    """
+    folded = F.translate(_c(part), _UPPER, _LOWER)
+    pieces = F.filter(F.split(folded, "%"), lambda s: s != "")
+
+    def step(rest, piece):
+        pattern = F.concat(F.lit("(?s)"), F.replace(F.regexp_replace(
+            piece, r"([^\w\s])", r"\\$1"), F.lit("_"), F.lit(".")))
+        at = F.when(piece.contains("_"), F.regexp_instr(rest, pattern)).otherwise(
+            F.instr(rest, piece))
+        return F.when(at > 0, F.substr(rest, at + F.length(piece)))
+
+    return F.aggregate(pieces, F.translate(_c(text), _UPPER, _LOWER), step).isNotNull()
+
+
 def _matches(entries: DataFrame, edits: DataFrame) -> DataFrame:
     """How many entries each edit names, and which if exactly one."""
     hits = edits.select("edit_id", "owner_id", "target", "old_text").join(
         entries.select("owner_id", "target", F.col("id").alias("_id"), F.col("content").alias("_c")),
-        ["owner_id", "target"]).where(F.expr("_c ilike concat('%', old_text, '%')"))
+        ["owner_id", "target"]).where(like_contains("_c", "old_text"))
     found = hits.groupBy("edit_id").agg(
         F.count("*").alias("matches"), F.min("_id").alias("_id"),
         F.min(F.length("_c")).alias("_old_len"))

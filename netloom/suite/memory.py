@@ -72,7 +72,9 @@ _EDITS = """edits as (select owner_id as edit_id, owner_id, target,
   from (select owner_id, target, min(content) as first_text from memory_entries where target = 'memory' group by all)),
 found as (select e.edit_id, count(*) as n, min(m.id) as id, min(length(m.content)) as old_len
   from edits e join memory_entries m on m.owner_id = e.owner_id and m.target = e.target
-    and contains(lower(m.content), lower(e.old_text)) group by e.edit_id)"""
+    and translate(m.content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%' || regexp_replace(
+      translate(e.old_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '%+', '%', 'g') || '%'
+  group by e.edit_id)"""
 
 
 def edits(spark, sf):
@@ -240,18 +242,18 @@ hits as (select tf.query_id, tf.id, sum(-greatest(ln((n - df + 0.5) / (df + 0.5)
 
 
 @query("k13_search_exchanges", check_sql("""
-select id, round(score, 5) as score from hits order by hits.score, id limit 20
+select id, round(score, 7) + 0.0 as score from hits order by hits.score, id limit 20
 """, "exchanges", extra=duck_bm25("select 0 as query_id, unnest(['the', 'with']) as term")))
 def _(spark, sf):
     return fulltext.search_exchanges(view(spark, sf, "exchanges"), all_of=("the", "WITH")).select(
-        "id", F.round("score", 5).alias("score"))
+        "id", (F.round("score", 7) + F.lit(0.0)).alias("score"))
 
 
 _MANY = """select * from (values (1, 'the'), (1, 'and'), (2, 'que'), (3, 'nicht'), (3, 'die'), (4, 'zzzz')) v(query_id, term)"""
 
 
 @query("k13_search_many", check_sql("""
-select query_id, id, round(score, 5) as score from hits
+select query_id, id, round(score, 7) + 0.0 as score from hits
 qualify row_number() over (partition by query_id order by hits.score, id) <= 10
 """, "exchanges", extra=duck_bm25(_MANY)))
 def _(spark, sf):
@@ -260,7 +262,7 @@ def _(spark, sf):
         [(1, "the"), (1, "and"), (2, "que"), (3, "nicht"), (3, "die"), (4, "zzzz")],
         "query_id int, term string")
     return fulltext.search_many(rows, fulltext.token_index(rows), asked, 10).select(
-        "query_id", "id", F.round("score", 5).alias("score"))
+        "query_id", "id", (F.round("score", 7) + F.lit(0.0)).alias("score"))
 
 
 @query("k14_with_context", check_sql("""
