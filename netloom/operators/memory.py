@@ -23,7 +23,7 @@ INJECTION_PATTERNS = (
     r"system\s*:\s*you\s+are",
     r"forget\s+everything\s+(above|before)",
 )
-INVISIBLE = "[​‌‍﻿⁠]"
+INVISIBLE = r"[\u200B\u200C\u200D\uFEFF\u2060]"
 
 
 def _c(x) -> Column:

@@ -335,13 +335,10 @@ pend as (select batch_id * 10 + item_no as id, batch_id % 5 as owner_id, target,
 
 
 @query("k18_review", check_sql("""
-with a as (select *, length(content) as len from pend where id % 3 <> 0 and status = 'pending'),
-f as (select owner_id, target, content, min(id) as first, min(len) as len from a group by all)
 select id, case when id % 3 <> 0 then 'approve' else 'reject' end as decision,
   case when status <> 'pending' then 'not_pending' when id % 3 = 0 then 'rejected' else 'approved' end as outcome,
   case when status <> 'pending' then status when id % 3 = 0 then 'rejected' else 'approved' end as status
-from pend where (select max(t) from (select sum(len) as t from f group by owner_id, target)) <= 1375
-  or true
+from pend
 """, "exchanges", extra=_PENDING))
 def _(spark, sf):
     pending = pending_rows(spark, sf)
@@ -376,8 +373,8 @@ def _(spark, sf):
 
 @query("k22_render_transcript", check_sql(r"""
 with x as (select e.*, length(cast(count(*) over (partition by session_id) as varchar)) as w from exchanges e),
-l as (select session_id, string_agg('[' || lpad(cast(sequence as varchar), w, ' ') || '] user:      '
-    || replace(rtrim(user_message), chr(10), chr(10) || repeat(' ', w + 12)) || chr(10) || '    assistant: '
+l as (select session_id, string_agg('[' || lpad(cast(sequence as varchar), w::int, ' ') || '] user:      '
+    || replace(rtrim(user_message), chr(10), chr(10) || repeat(' ', w::int + 12)) || chr(10) || '    assistant: '
     || replace(rtrim(assistant_message), chr(10), chr(10) || repeat(' ', 15)), chr(10) order by sequence) as body
   from x group by session_id)
 select id, '== Session ' || id || ' (' || source || coalesce(', ' || client_name, '') || ', started '
