@@ -52,7 +52,7 @@ def merge_rows(current: DataFrame, batch: DataFrame, keys, update: bool = True)
 def _latest(spark: SparkSession, path: str) -> str | None:
     """Folder of the current version, as named by the pointer file."""
     jvm, context = spark._jvm, spark.sparkContext
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     fs = pointer.getFileSystem(context._jsc.hadoopConfiguration())
     if not fs.exists(pointer):
         return None
@@ -84,7 +84,7 @@ def upsert_table(batch: DataFrame, path: str, keys, update: bool = True,
     rows.write.mode("overwrite").parquet(f"{path}/{name}")
     jvm = spark._jvm
     config = spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     fs = target.getFileSystem(config)
     out = fs.create(target, True)
     out.write(bytearray(name, "utf-8"))

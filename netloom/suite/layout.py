@@ -202,13 +202,16 @@ def _(spark, sf):
 
 
 @query("p11_split_value_cells", check_sql("""
-select doc_id, line_no, word_no, text, x, round(width, 6) as width from text_items where word_no % 3 <> 0
-union all
-select doc_id, line_no, word_no, unnest(['$ ' || word_no || ',100', '(' || line_no || '.5)', '—', '7%']) as text,
-  x + 300.0 / 4 * unnest([0, 1, 2, 3]) + 300.0 / 4 * 0.5, 67.5 from text_items where word_no % 3 = 0 and font_size < 15
-union all
-select doc_id, line_no, word_no, '$  ' || word_no || ',100 (' || line_no || '.5) — 7%', x, 300.0
-from text_items where word_no % 3 = 0 and font_size >= 15
+with parts as (
+  select doc_id, line_no, word_no, text, x, width from text_items where word_no % 3 <> 0
+  union all
+  select doc_id, line_no, word_no, unnest(['$ ' || word_no || ',100', '(' || line_no || '.5)', '—', '7%']) as text,
+    x + 300.0 / 4 * unnest([0, 1, 2, 3]) + 300.0 / 4 * 0.5, 67.5 from text_items where word_no % 3 = 0 and font_size < 15
+  union all
+  select doc_id, line_no, word_no, '$  ' || word_no || ',100 (' || line_no || '.5) — 7%', x, 300.0
+  from text_items where word_no % 3 = 0 and font_size >= 15)
+select doc_id, line_no, count(*) as parts, round(sum(x), 3) as sum_x, round(sum(width), 3) as sum_width,
+  sum(length(text))::bigint as chars, max(text) as last_text from parts group by all
 """, "text_items"))
 def _(spark, sf):
     items = view(spark, sf, "text_items")
@@ -217,8 +220,11 @@ def _(spark, sf):
     wide = F.col("word_no") % 3 == 0
     mixed = items.withColumns({"text": F.when(wide, values).otherwise(F.col("text")),
                                "width": F.when(wide, 300.0).otherwise(F.col("width"))})
-    return L.split_value_cells(mixed).select(
-        "doc_id", "line_no", "word_no", "text", "x", F.round("width", 6).alias("width"))
+    # One row per line, over all parts of the whole table.
+    return L.split_value_cells(mixed).groupBy("doc_id", "line_no").agg(
+        F.count("*").alias("parts"), F.round(F.sum("x"), 3).alias("sum_x"),
+        F.round(F.sum("width"), 3).alias("sum_width"), F.sum(F.length("text")).alias("chars"),
+        F.max("text").alias("last_text"))
 
 
 @query("p12_line_kind", check_sql(f"""
