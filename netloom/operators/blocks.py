@@ -20,7 +20,7 @@ from netloom.functions.tables import (
     NEVER_CONTENT_TAGS,
 )
 from netloom.operators.pages import page_title
-from netloom.session import small_side
+from netloom.session import cut_lineage, small_side
 
 NODE = ("struct<pos: int, tag: string, id: string, classes: array<string>, "
         "attrs: map<string, string>, ancestors: array<int>>")
@@ -277,7 +277,8 @@ def site_signatures(signed: DataFrame, min_pages: int) -> DataFrame:
 
 def site_boilerplate(trees: DataFrame, min_pages: int, mode: str = "t") -> DataFrame:
     """Blocks whose signature is not site furniture."""
-    signed = block_signatures(trees, mode).withColumn("domain", U.base_domain("url"))
+    # Pages are parsed once; both sides of the join read the written rows.
+    signed = cut_lineage(block_signatures(trees, mode).withColumn("domain", U.base_domain("url")))
     common = site_signatures(signed, min_pages).select("domain", "signature")
     return signed.join(small_side(common), ["domain", "signature"], "left_anti")
 

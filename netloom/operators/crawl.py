@@ -401,11 +401,16 @@ def url_verdicts(results: DataFrame, min_similarity: float = 0.9) -> DataFrame:
     plain = F.coalesce("plain_stealth", "plain_basic")
     no_render = F.coalesce(rendered, F.lit("")) == ""
     no_plain = F.coalesce(plain, F.lit("")) == ""
-    score = F.when(~no_render & ~no_plain, similarity(rendered, plain))
-    rows = results.withColumn("similarity", score)
-    return rows.select(
-        "site", "url", no_render.alias("render_failed"), "similarity",
-        F.coalesce(F.col("similarity") >= min_similarity, F.lit(False)).alias("plain_ok"))
+    both = ~no_render & ~no_plain
+    longest = F.greatest(F.octet_length(rendered), F.octet_length(plain))
+    # The bounded distance stops early (-1) on texts that are too far apart.
+    bound = F.floor(longest * (1.0 - min_similarity) + 1e-9).cast("int")
+    distance = F.call_function("levenshtein", rendered, plain, bound)
+    close = F.when(both, (distance >= 0) & (1.0 - distance / longest >= min_similarity))
+    return results.select(
+        "site", "url", no_render.alias("render_failed"),
+        F.coalesce(close, F.lit(False)).alias("plain_ok"),
+        F.when(both, similarity(rendered, plain)).alias("similarity"))
 
 
 def fetcher_verdict(results: DataFrame, min_similarity: float = 0.9, min_success: float = 0.8,

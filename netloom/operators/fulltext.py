@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.session import small_side
+from netloom.session import is_small
 
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
@@ -92,10 +92,18 @@ def token_index(exchanges: DataFrame) -> DataFrame:
     Counting happens inside the row, so a term is shuffled only when the index
     is written by term.
     """
-    base = exchanges.select("id", tokens("user_message", "assistant_message").alias("_t"))
-    return base.select("id", F.size("_t").alias("length"), F.explode_outer(
-        F.array_distinct("_t")).alias("term"), "_t").where("term is not null").select(
-        "term", "id", F.size(F.filter("_t", lambda t: t == F.col("term"))).alias("tf"), "length")
+    base = exchanges.select("id", F.array_sort(
+        tokens("user_message", "assistant_message")).alias("_t"))
+    # In a sorted list a term's count is the distance between run starts.
+    starts = base.select("id", F.size("_t").alias("length"), "_t", F.filter(
+        F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get(F.col("_t"), i - 1)), i)),
+        lambda i: i.isNotNull()).alias("_s"))
+    runs = starts.select("id", "length", F.zip_with(
+        "_s", F.concat(F.slice("_s", F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0))),
+                       F.array("length")),
+        lambda a, b: F.struct(F.get(F.col("_t"), a).alias("term"), (b - a).alias("tf"))).alias("_r"))
+    return runs.select("id", "length", F.explode_outer("_r").alias("_p")).where(
+        "_p is not null").select("_p.term", "id", "_p.tf", "length")
 
 
 def search_many(exchanges: DataFrame, index: DataFrame, queries: DataFrame,
@@ -110,16 +118,17 @@ def search_many(exchanges: DataFrame, index: DataFrame, queries: DataFrame,
     stats = exchanges.agg(F.struct(
         F.count("*").alias("n"),
         F.avg(F.size(tokens("user_message", "assistant_message"))).alias("average")).alias("s")).scalar()
-    asked = queries.select(F.lower("term").alias("term")).distinct()
-    cut = index.join(small_side(asked), "term", "left_semi")
+    # Everything below is bounded by the number of query terms: one check.
+    hint = F.broadcast if is_small(queries) else (lambda d: d)
+    wanted = queries.select("query_id", F.lower("term").alias("term"))
+    cut = index.join(hint(wanted.select("term").distinct()), "term", "left_semi")
     df = cut.groupBy("term").agg(F.count("*").alias("df"))
-    needed = queries.groupBy("query_id").agg(F.count("*").alias("_needed"))
-    scored = cut.join(small_side(df), "term").withColumn("_s", stats).withColumn(
+    needed = wanted.groupBy("query_id").agg(F.count("*").alias("_needed"))
+    scored = cut.join(hint(df), "term").withColumn("_s", stats).withColumn(
         "_part", -_idf(F.col("_s.n"), F.col("df")) * _weight(
             F.col("tf"), F.col("length"), F.col("_s.average")))
-    hits = scored.join(small_side(queries.select("query_id", F.lower("term").alias("term"))), "term")
-    totals = hits.groupBy("query_id", "id").agg(
+    totals = scored.join(hint(wanted), "term").groupBy("query_id", "id").agg(
         F.sum("_part").alias("score"), F.count("*").alias("_got")).join(
-        small_side(needed), "query_id").where("_got = _needed")
+        hint(needed), "query_id").where("_got = _needed")
     return top_n(totals.select("query_id", "id", "score"), ["query_id"],
                  [F.col("score"), F.col("id")], limit)

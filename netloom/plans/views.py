@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netloom.session import spread
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables whose rows are costly to work on.
+TEXT_TABLES = ("pages", "documents", "conversations")
+
 _A_HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 _NOISE = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 
@@ -295,7 +300,8 @@ from {events}
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """DataFrame of a base table or view."""
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
     deps, text, _ = VIEWS[name]
     if name == "exchanges":
         from netloom.operators.sessions import build_exchanges

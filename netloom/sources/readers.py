@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.session import spread
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw page table; columns and filters are pushed into the scan."""
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path))
 
 
 CAPTURE_SCHEMA = """

@@ -107,16 +107,24 @@ def lease_audit_batch(lease_events: DataFrame, limit: int, ttl_ms: int = LEASE_T
     bursts = running_total(gapped, ["owner_id"], F.col("_day"),
                            [F.col("ms"), F.col("event_id")], starts, "_burst")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner = pdf["owner_id"].iloc[0]
-        pdf = pdf.sort_values(["ms", "event_id"])
-        events = pdf[["event_id", "holder", "action", "ms"]].itertuples(index=False)
-        return pd.DataFrame(
-            [(owner, *o) for o in fold_leases({}, events, limit, ttl_ms)],
-            columns=["owner_id", "event_id", "holder", "action", "granted", "in_use"])
-
-    return bursts.select("owner_id", "_burst", "event_id", "holder", "action", "ms").groupBy(
-        "owner_id", "_burst").applyInPandas(fold, _LEASE_OUT)
+    def fold(frames):
+        # Rows arrive burst by burst in time order; only live leases are held.
+        current, live = None, {}
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                if (row.owner_id, row.burst) != current:
+                    current, live = (row.owner_id, row.burst), {}
+                event = (row.event_id, row.holder, row.action, row.ms)
+                out += [(row.owner_id, *o) for o in fold_leases(live, [event], limit, ttl_ms)]
+            yield pd.DataFrame(
+                out, columns=["owner_id", "event_id", "holder", "action", "granted", "in_use"])
+
+    keys = ["owner_id", "burst"]
+    return (
+        bursts.select("owner_id", F.col("_burst").alias("burst"), "event_id", "holder", "action", "ms")
+        .repartition(*keys).sortWithinPartitions(*keys, "ms", "event_id")
+        .mapInPandas(fold, _LEASE_OUT))
 
 
 _STALL_OUT = "job_id bigint, at_ms bigint, outcome string, stalls int"
