@@ -172,8 +172,13 @@ def _search(url, ignore_query: bool) -> Column:
 
 def normalize_url(url, ignore_query: bool = False) -> Column:
     """Crawl key of a URL: fragment dropped unless it is a client-side route."""
-    route = F.regexp_extract(_clean(url), r"^[^#]*(#/.+|#!/.*)$", 1)
-    return F.concat(origin(url), resolve_dots(path(url)), _search(url, ignore_query), route)
+    return F.concat(
+        origin(url), resolve_dots(path(url)), _search(url, ignore_query), _route(url))
+
+
+def _route(url) -> Column:
+    """Fragment that is a client-side route, with its hash sign; else empty."""
+    return F.regexp_extract(_clean(url), r"^[^#]*(#/.+|#!/.*)$", 1)
 
 
 def canonical_url(url) -> Column:
@@ -329,6 +334,18 @@ def similar_url_key(url) -> Column:
         strip_www(host(url)), _port_text(url), _stem(url), F.lit("/index.html"), _tail(url))
 
 
+def normalized_similar_key(url, ignore_query: bool = False) -> Column:
+    """``similar_url_key(normalize_url(url))`` from the parts of the raw URL.
+
+    Nesting the two would repeat the whole normalised text in every part.
+    """
+    stem = F.regexp_replace(resolve_dots(path(url)), r"(/index\.(html|php)|/)$", "")
+    return F.concat(
+        F.when(_is_web_scheme(url), "http").otherwise(scheme(url)), F.lit("://www."),
+        strip_www(host(url)), _port_text(url), stem, F.lit("/index.html"),
+        _search(url, ignore_query), _route(url))
+
+
 # --- validation ------------------------------------------------------------
 
 # Fixed pattern: a dotted label of two or more letters/digits (Latin or

@@ -213,8 +213,9 @@ def link_limit(filtered: DataFrame, n: int, by: str = "page_id", pos: str = "pos
 
 
 def url_key(url, ignore_query: bool = False, similar: bool = False) -> Column:
-    key = U.normalize_url(url, ignore_query)
-    return U.similar_url_key(key) if similar else key
+    if similar:
+        return U.normalized_similar_key(url, ignore_query)
+    return U.normalize_url(url, ignore_query)
 
 
 def claim_urls(candidates: DataFrame, visited: DataFrame, limit: int | None = None,
@@ -275,16 +276,16 @@ def reconcile_redirects(fetches: DataFrame, visited: DataFrame, policy: CrawlPol
     """
     rows = fetches.withColumns({
         "_src": U.normalize_url("source_url", ignore_query),
-        "_dst": U.normalize_url("final_url", ignore_query)})
-    rows = rows.withColumns({
-        "_src_class": U.similar_url_key("_src"), "_dst_class": U.similar_url_key("_dst")})
+        "_dst": U.normalize_url("final_url", ignore_query),
+        "_src_class": U.normalized_similar_key("source_url", ignore_query),
+        "_dst_class": U.normalized_similar_key("final_url", ignore_query)})
     checked = filter_redirects(rows, policy, "final_url", "source_url", "base_url")
     moved = (F.col("_src") != F.col("_dst"))
     denied = moved & ~F.col("allowed") & ~F.col("is_seed")
     candidate = moved & ~denied & (F.col("_src_class") != F.col("_dst_class"))
     checked = checked.withColumns({"_moved": moved, "_denied": denied, "_candidate": candidate})
-    seen = visited.select("crawl_id", U.similar_url_key(
-        U.normalize_url("url", ignore_query)).alias("_dst_class")).distinct().withColumn(
+    seen = visited.select("crawl_id", U.normalized_similar_key(
+        "url", ignore_query).alias("_dst_class")).distinct().withColumn(
         "_seen", F.lit(True))
     winners = checked.where("_candidate").groupBy("crawl_id", "_dst_class").agg(
         F.min("fetch_id").alias("_winner"))

@@ -269,36 +269,50 @@ def strip_repeated_lines(lines: DataFrame) -> DataFrame:
     Such a line repeats on enough pages, near a page edge and at a steady
     height; all fragments of its height on the page go with it.  The joined
     text of a height is tested too.
+
+    Everything is a window after one shuffle by document: a document is one
+    source row, and its parts stay where it went.
     """
-    page = ["doc_id", "page"]
-    up = Window.partitionBy(*page).orderBy("y")
-    down = Window.partitionBy(*page).orderBy(F.desc("y"))
-    heights = lines.select(*page, "y").distinct().withColumns({
-        "_up": F.row_number().over(up), "_down": F.row_number().over(down)}).withColumn(
-        "_edge", (F.col("_up") <= EDGE_LINES) | (F.col("_down") <= EDGE_LINES)).select(*page, "y", "_edge")
-    spans = lines.groupBy(*page).agg((F.max("y") - F.min("y")).alias("_span"))
-    docs = spans.groupBy("doc_id").agg(
-        F.count("*").alias("_pages"), F.greatest(F.avg("_span"), F.lit(1.0)).alias("_avg"))
-    tagged = lines.join(heights, [*page, "y"]).withColumn("_band", F.round(F.col("y") * 10).cast("bigint"))
-    edge = tagged.where("_edge")
-    bands = edge.groupBy(*page, "_band").agg(
-        F.count("*").alias("_members"), F.first("y").alias("y"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))),
-                                 lambda s: s["text"]), " ").alias("text")).where("_members >= 2")
-    probes = edge.select(*page, "_band", "y", "text", F.lit("line").alias("_kind")).unionByName(
-        bands.select(*page, "_band", "y", "text", F.lit("band").alias("_kind"))).withColumn(
-        "_key", comparison_key("text")).where(
-        (F.octet_length("_key") >= 10) & ~_is_decoration(F.col("_key")))
-    repeated = probes.groupBy("doc_id", "_kind", "_key").agg(
-        F.countDistinct("page").alias("_on"), F.count("*").alias("_times"),
-        F.stddev_pop("y").alias("_dev")).join(docs, "doc_id")
-    enough = F.greatest(F.lit(3), F.floor(F.col("_pages") * 30 / 100))
-    steady = (F.col("_times") < 2) | (F.col("_dev") / F.col("_avg") < 0.05)
-    marked = repeated.where(
-        (F.col("_pages") >= 3) & (F.col("_on") >= enough) & ~_is_structural(F.col("_key")) & steady
-    ).select("doc_id", "_kind", "_key")
-    gone = probes.join(marked, ["doc_id", "_kind", "_key"], "left_semi").select(*page, "_band").distinct()
-    return tagged.join(gone, [*page, "_band"], "left_anti").select(*lines.columns)
+    doc, page = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page")
+    band = Window.partitionBy("doc_id", "page", "_band")
+    rows = lines.repartition("doc_id").withColumn("_band", F.round(F.col("y") * 10).cast("bigint"))
+    rows = rows.withColumns({
+        "_up": F.dense_rank().over(page.orderBy("y")),
+        "_down": F.dense_rank().over(page.orderBy(F.desc("y"))),
+        "_share": (F.max("y").over(page) - F.min("y").over(page)) / F.count("*").over(page),
+        "_pages": F.size(F.collect_set("page").over(doc)),
+        "_members": F.count("*").over(band),
+        "_nth": F.row_number().over(band.orderBy("line_no")),
+        "_texts": F.collect_list(F.struct("line_no", "text")).over(band)})
+    joined = F.array_join(F.transform(F.array_sort("_texts"), lambda t: t["text"]), " ")
+    rows = rows.withColumns({
+        "_edge": (F.col("_up") <= EDGE_LINES) | (F.col("_down") <= EDGE_LINES),
+        "_avg": F.greatest(F.sum("_share").over(doc) / F.col("_pages"), F.lit(1.0)),
+        "_line_key": comparison_key("text"),
+        "_band_key": F.when(F.col("_members") >= 2, comparison_key(joined))})
+
+    def usable(key: str) -> Column:
+        return F.when(F.col("_edge") & (F.octet_length(key) >= 10) & ~_is_decoration(F.col(key)),
+                      F.col(key))
+
+    rows = rows.withColumns({"_line_key": usable("_line_key"), "_band_key": usable("_band_key")})
+
+    def repeats(key: str, counted: Column) -> Column:
+        same = Window.partitionBy("doc_id", key)
+        on = F.size(F.collect_set(F.when(counted, F.col("page"))).over(same))
+        times = F.count(F.when(counted, F.lit(1))).over(same)
+        spread = F.stddev_pop(F.when(counted, F.col("y"))).over(same)
+        enough = F.greatest(F.lit(3), F.floor(F.col("_pages") * 30 / 100))
+        return F.coalesce(
+            F.col(key).isNotNull() & (F.col("_pages") >= 3) & (on >= enough)
+            & ~_is_structural(F.col(key)) & ((times < 2) | (spread / F.col("_avg") < 0.05)),
+            F.lit(False))
+
+    # A band counts once, by its first line.
+    hit = rows.withColumn("_hit", repeats("_line_key", F.lit(True))
+                          | repeats("_band_key", F.col("_nth") == 1))
+    gone = F.max("_hit").over(band)
+    return hit.withColumn("_gone", gone).where(~F.col("_gone")).select(*lines.columns)
 
 
 # --- headings and paragraphs -----------------------------------------------
