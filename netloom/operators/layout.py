@@ -516,7 +516,6 @@ FIXED_WIDTH_FONTS = (
     "fira code", "jetbrains", "inconsolata", "dejavu sans mono", "liberation mono",
 )
 BULLETS = r"^\s*([•○●◦] |[\-*] )"
-NUMBERED = r"^\s*([0-9]{0,4}[.)]|[A-Za-z][.)]|\(.\))"
 
 
 def is_caption(text) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.functions import url as U
 from netloom.plans.views import check_sql, view
 from netloom.streaming import feeds, stateful
 from netloom.streaming.runner import run_available, work_folder
