@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +30,17 @@ def local_session(cpus: int | str = "*", name: str = "netloom", memory: str = "8
     )
 
 
-def _checkpoint_dir_ready(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Folder named by ``spark.checkpoint.dir``; sets one of its own only where none is named."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None)
-    if configured:
+    if context.getCheckpointDir() is None:
+        configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+            configured = tempfile.mkdtemp(prefix="netloom-ckpt-" + str(os.getpid()))
         context.setCheckpointDir(configured)
-        return
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="netloom-ckpt-" + str(os.getpid())))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,10 +48,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Survives the loss of executors, unlike a local checkpoint.
     """
-    _checkpoint_dir_ready(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the checkpoint folder; for tables that are read more than once."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # A side is broadcast only up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
