@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.session import _checkpoint_dir_ready
+from netloom.session import checkpoint_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -20,7 +20,7 @@ def use_keyed_state(spark: SparkSession) -> None:
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """New folder below the shared checkpoint folder of the session."""
-    _checkpoint_dir_ready(spark)
+    checkpoint_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
