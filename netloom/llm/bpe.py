@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.texts import as_bytes, with_fields
+from netloom.llm.texts import as_bytes, slices, with_fields
 
-WORD_STORE = 800_000  # words kept per Python worker
-SHARE = 2_000_000  # characters of texts encoded at a time
+WORD_STORE = 200_000  # words kept per Python worker
+SHARE = 1_000_000  # characters of texts encoded at a time
 SHORT = 48  # pieces up to so many bytes are encoded many at a time
 NO_TOKEN = -1
 
@@ -441,7 +441,8 @@ def encode_texts(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> D
 
     @F.arrow_udf("ids array<int>, n_tokens long")
     def run(column: pa.Array) -> pa.Array:
-        out = tokenizer.encoder().encode_many(_strings(column))
+        encoder = tokenizer.encoder()
+        out = [ids for part in slices(column) for ids in encoder.encode_many(_strings(part))]
         return pa.StructArray.from_arrays(
             [_ids_array(out), pa.array([len(x) // 4 for x in out], pa.int64())], names=["ids", "n_tokens"])
 
@@ -466,11 +467,13 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> Dat
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(column: pa.Array) -> pa.Array:
-        encoder = tokenizer.encoder()
-        encoded = encoder.encode_many(_strings(column))
+        encoder, counts, ids, texts = tokenizer.encoder(), [], [], []
+        for part in slices(column):
+            for x in encoder.encode_many(_strings(part)):
+                counts.append(len(x) // 4)
+                ids.append(hashlib.sha256(x).hexdigest())
+                texts.append(hashlib.sha256(encoder.decode(x)).hexdigest())
         return pa.StructArray.from_arrays(
-            [pa.array([len(x) // 4 for x in encoded], pa.int64()),
-             pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()),
-             pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in encoded], pa.string())], names=fields)
+            [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=fields)
 
     return with_fields(docs, run(F.col(text)), fields)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.texts import as_bytes, with_fields
+from netloom.llm.texts import as_bytes, slices, with_fields
 
 DIMENSIONS, CENTROIDS, SAMPLE, REJECT = 2048, 4, 6000, 0.35
 UNDETERMINED = "und"
@@ -133,15 +133,18 @@ def predict_language(docs: DataFrame, model: Model | None, text: str = "text") -
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         for batch in batches:
-            texts = as_bytes(batch)
-            names, scores, out = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            asked = [i for i, t in enumerate(texts) if known is not None and has_letter(t)]
-            for at in range(0, len(asked), 512):
-                part = asked[at:at + 512]
-                found = known.predict(np.stack([gram_counts(texts[i]) for i in part]))
-                for i, name, score, reject in zip(part, *found):
-                    names[i], scores[i], out[i] = name, float(score), bool(reject)
+            names, scores, out = [], [], []
+            for part in slices(batch):
+                texts = as_bytes(part)
+                asked = [i for i, t in enumerate(texts) if known is not None and has_letter(t)]
+                found = [(UNDETERMINED, 0.0, True)] * len(texts)
+                if asked:
+                    judged = known.predict(np.stack([gram_counts(texts[i]) for i in asked]))
+                    for i, name, score, reject in zip(asked, *judged):
+                        found[i] = name, float(score), bool(reject)
+                for column, values in zip((names, scores, out), zip(*found) if found else ((), (), ())):
+                    column += values
             yield pa.StructArray.from_arrays(
-                [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out)], names=fields)
+                [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], names=fields)
 
     return with_fields(docs, run(F.col(text)), fields)

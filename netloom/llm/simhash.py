@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.components import components
-from netloom.llm.texts import as_bytes, free_name, others, with_fields
+from netloom.llm.texts import as_bytes, free_name, others, slices, with_fields
 from netloom.session import cut_lineage
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -72,7 +72,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGL
     @F.arrow_udf("fp long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            made = np.array([fingerprint(t, shingle) for t in as_bytes(batch)], np.uint64)
+            made = np.array([fingerprint(t, shingle) for part in slices(batch) for t in as_bytes(part)], np.uint64)
             yield pa.StructArray.from_arrays([pa.array(made.view(np.int64))], names=["fp"])
 
     return with_fields(docs, run(F.col(text)), ["fp"])

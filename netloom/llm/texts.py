@@ -26,6 +26,12 @@ def as_bytes(array: pa.Array) -> list[bytes | None]:
     return array.cast(pa.binary()).to_pylist()
 
 
+def slices(array: pa.Array, rows: int = 256) -> Iterator[pa.Array]:
+    """A batch in small parts, so that only a part of its texts is held as Python objects."""
+    for at in range(0, max(len(array), 1), rows):
+        yield array.slice(at, rows)
+
+
 def row_function(fn: Callable[[list[bytes | None]], pa.Array], schema: str):
     """Arrow UDF over one text column; ``fn`` gets the texts of a batch as bytes."""
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.texts import as_bytes, with_fields
+from netloom.llm.texts import as_bytes, slices, with_fields
 from netloom.session import cut_lineage
 
 SAMPLE, WORDS, FOLDS, PENALTY, ROUNDS = 8000, 256, 3, 0.5, 150
@@ -170,7 +170,7 @@ def predict_toxicity(docs: DataFrame, chain: Chain, text: str = "text", threshol
     @F.arrow_udf(shape)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            p = shared.value.predict(as_bytes(batch))
+            p = np.concatenate([shared.value.predict(as_bytes(part)) for part in slices(batch)])
             columns = [pa.array(p[:, i]) for i in range(len(names))]
             yield pa.StructArray.from_arrays(
                 columns + [pa.array(p[:, i] >= threshold) for i in range(len(names))], names=fields)
