@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.texts import as_bytes, others, quoted, with_fields
+from netloom.llm.texts import as_bytes, free_name, others, quoted, with_fields
 from netloom.session import cut_lineage
 
 WINDOW = 10
@@ -208,28 +208,32 @@ _TYPE = "n_words long, spans array<struct<begin: int, stop: int>>, items array<s
 def _search(shared) -> object:
     @F.arrow_udf(_TYPE)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        phrases = shared.value
-        known = phrases.alphabet.get
         for batch in batches:
-            counts, found, ids, size = [], [], [], 0
-            for text in as_bytes(batch):
-                words = words_of(text)
-                counts.append(len(words))
-                ids.append(np.fromiter(map(known, words, [0] * len(words)), np.int64, len(words)))
-                size += len(words)
-                if size > SHARD_WORDS:
-                    found += _shard(ids, phrases)
-                    ids, size = [], 0
-            found += _shard(ids, phrases) if ids else []
-            spans = [[{"begin": int(a), "stop": int(b)} for a, b in s] for s, _ in found]
+            found = _search_batch(as_bytes(batch), shared.value)
+            spans = [[{"begin": int(a), "stop": int(b)} for a, b in s] for _, s, _ in found]
             yield pa.StructArray.from_arrays([
-                pa.array(counts, pa.int64()),
+                pa.array([n for n, _, _ in found], pa.int64()),
                 pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("stop", pa.int32())]))),
-                pa.array([i for _, i in found], pa.list_(pa.string()))], names=_FIELDS)
+                pa.array([i for _, _, i in found], pa.list_(pa.string()))], names=_FIELDS)
 
     return run
 
 
+def _search_batch(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int, np.ndarray, list[str]]]:
+    """Words, spans and items of each text; the texts are indexed shard by shard."""
+    known, counts, found, ids, size = phrases.alphabet.get, [], [], [], 0
+    for text in texts:
+        words = words_of(text)
+        counts.append(len(words))
+        ids.append(np.fromiter(map(known, words, [0] * len(words)), np.int64, len(words)))
+        size += len(words)
+        if size > SHARD_WORDS:
+            found += _shard(ids, phrases)
+            ids, size = [], 0
+    found += _shard(ids, phrases) if ids else []
+    return [(n, *f) for n, f in zip(counts, found)]
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[Phrases]:
     """The items as blocks of bounded size, read one after the other."""
     rows = benchmark.select(quoted(item).alias("i"), quoted(text).alias("t")).where("i is not null and t is not null")
@@ -286,23 +290,46 @@ def judged(overlaps: DataFrame) -> DataFrame:
         (F.size("spans") > 0).alias("contaminated"))
 
 
+def cut_words(text: bytes | None, spans) -> bytes | None:
+    """The text without the words of its spans (pairs of first word and the one after the last)."""
+    if text is None or not len(spans):
+        return text
+    clean = np.frombuffer(text.translate(_WORDS), np.uint8) != 32
+    edge = np.diff(np.concatenate([[0], clean.astype(np.int8), [0]]))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    parts, at = [], 0
+    for first, stop in spans:
+        parts.append(text[at:begin[first]])
+        at = end[stop - 1]
+    return b"".join([*parts, text[at:]])
+
+
 def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for text, cuts in zip(as_bytes(texts), spans.to_pylist()):
-        if not cuts:
-            out.append(text)
-            continue
-        clean = np.frombuffer(text.translate(_WORDS), np.uint8) != 32
-        edge = np.diff(np.concatenate([[0], clean.astype(np.int8), [0]]))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        parts, at = [], 0
-        for s in cuts:
-            parts.append(text[at:begin[s["begin"]]])
-            at = end[s["stop"] - 1]
-        out.append(b"".join([*parts, text[at:]]))
-    return pa.array([None if t is None else t.decode("utf-8", "replace") for t in out], pa.string())
+    cut = [cut_words(t, [(s["begin"], s["stop"]) for s in c or ()]) for t, c in zip(as_bytes(texts), spans.to_pylist())]
+    return pa.array(cut, pa.binary()).cast(pa.string())
 
 
 def remove_overlaps(overlaps: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with the words of their spans cut out of the text."""
+    """The documents of ``find_overlaps`` with the words of their spans cut out of the text."""
     return overlaps.withColumn(text, F.arrow_udf(_without, "string")(F.col(text), F.col("spans")))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
+                    item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all of them, without the words of benchmark passages."""
+    blocks = list(_blocks(benchmark, item, item_text, block_bytes))
+    if len(blocks) > 1:
+        return remove_overlaps(find_overlaps(docs, benchmark, text, item, item_text, block_bytes), text).select(*others(docs))
+    # one block: found and cut in one step, so one Python worker a task
+    shared, name = docs.sparkSession.sparkContext.broadcast(blocks[0]), free_name(docs, "cut_text")
+
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = as_bytes(batch)
+            found = [spans for _, spans, _ in _search_batch(texts, shared.value)]
+            out = [None if not len(s) else cut_words(t, s.tolist()) for t, s in zip(texts, found)]
+            yield pa.array(out, pa.binary()).cast(pa.string())
+
+    cleaned = docs.select(*others(docs), cut(F.col(text)).alias(name))
+    return cleaned.withColumn(text, F.coalesce(name, text)).select(*others(docs))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.texts import SPACES, free_name, others, row_function, with_fields
+from netloom.llm.texts import SPACES, as_bytes, free_name, others, row_function, with_fields
 from netloom.session import cut_lineage
 
 BITS_PER_ROW, MAX_BITS = 16, 1 << 28
@@ -40,6 +40,14 @@ def _digests(texts: list[bytes | None]) -> pa.Array:
         names=["digest", "n_points", "slot_hash"])
 
 
+def _bits_set(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether both slots of each hash are set."""
+    h, hit = hashes.view(np.uint64), np.ones(len(hashes), bool)
+    for slot in (h & np.uint64((1 << bits) - 1), h >> np.uint64(64 - bits)):
+        hit &= (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    return hit
+
+
 def with_digests(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds SHA-256 of the text without white space, its code points, and a slot hash."""
     return with_fields(docs, row_function(_digests, DIGEST)(F.col(text)), ["digest", "n_points", "slot_hash"])
@@ -69,11 +77,7 @@ def may_repeat(spark, bitmap: np.ndarray, bits: int):
 
     @F.arrow_udf("boolean")
     def test(hashes: pa.Array) -> pa.Array:
-        h, table = hashes.to_numpy(zero_copy_only=False).view(np.uint64), shared.value
-        hit = np.ones(len(h), bool)
-        for slot in (h & np.uint64((1 << bits) - 1), h >> np.uint64(64 - bits)):
-            hit &= (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-        return pa.array(hit)
+        return pa.array(_bits_set(shared.value, hashes.to_numpy(zero_copy_only=False), bits))
 
     return test
 
@@ -105,18 +109,23 @@ def exact_groups(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS)
 
 def drop_copies(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The documents that stay, with all their columns; one row of each group of equal texts."""
-    made = {n: free_name(docs, n) for n in ("digest", "n_points", "slot_hash")}
     spark = docs.sparkSession
-    result = row_function(_digests, DIGEST)(F.col(text)).alias(free_name(docs, "digests"))
-    with_all = docs.select(*others(docs), result)
-    name = with_all.columns[-1]
-    keyed = with_all.select(*others(docs), *[F.col(name)[n].alias(m) for n, m in made.items()])
-    rows = cut_lineage(keyed.select("doc_id", *[F.col(m).alias(n) for n, m in made.items()]))
+    rows = cut_lineage(with_digests(docs.select("doc_id", F.col(text).alias("text"))).drop("text"))
     bits = filter_bits(rows.count(), max_bits)
-    test = may_repeat(spark, repeated_slots(rows, bits), bits)
-    winners = _winners(rows.where(test("slot_hash")))
-    same = ((keyed[made["digest"]] == winners["digest"]) & keyed["doc_id"].eqNullSafe(winners["keep_id"])
-            & (keyed[made["n_points"]] == winners["keep_points"]))
-    hit = test(F.col(made["slot_hash"]))
-    stays = keyed.where(hit).join(winners, same, "left_semi").dropDuplicates([made["digest"]])
-    return keyed.where(~hit).unionByName(stays).select(*others(docs))
+    bitmap = repeated_slots(rows, bits)
+    winners = _winners(rows.where(may_repeat(spark, bitmap, bits)("slot_hash")))
+    shared, name = spark.sparkContext.broadcast(bitmap), free_name(docs, "digests")
+
+    @F.arrow_udf("digest binary, n_points long, maybe boolean")
+    def look(texts: pa.Array) -> pa.Array:  # digest and filter in one step, so one Python worker a task
+        digest, points, hashes = _digests(as_bytes(texts)).flatten()
+        maybe = _bits_set(shared.value, hashes.to_numpy(zero_copy_only=False), bits)
+        return pa.StructArray.from_arrays([digest, points, pa.array(maybe)], names=["digest", "n_points", "maybe"])
+
+    keyed = docs.select(*others(docs), look(F.col(text)).alias(name))
+    own = F.col(name)
+    same = ((own["digest"] == winners["digest"]) & keyed["doc_id"].eqNullSafe(winners["keep_id"])
+            & (own["n_points"] == winners["keep_points"]))
+    stays = keyed.where(own["maybe"]).join(winners, same, "left_semi")
+    once = stays.withColumn(name + "_key", own["digest"]).dropDuplicates([name + "_key"])
+    return keyed.where(~own["maybe"]).select(*others(docs)).unionByName(once.select(*others(docs)))

@@ -221,10 +221,11 @@ def test_overlaps_in_blocks_equal_one_pass(spark, sf):
 def test_passages_are_cut_out(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     rows = [(1, f"Before, {passage.upper()}! After."), (2, "clean text"), (3, None), (4, "")]
-    found = decontaminate.find_overlaps(spark.createDataFrame(rows, "doc_id long, text string"),
-                                        spark.createDataFrame([(1, passage), (2, None), (3, "..")], "item_id long, text string"))
-    out = {r["doc_id"]: r["text"] for r in decontaminate.remove_overlaps(found).collect()}
-    assert out == {1: "Before, ! After.", 2: "clean text", 3: None, 4: ""}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, None), (3, "..")], "item_id long, text string")
+    for cleaned in (decontaminate.remove_overlaps(decontaminate.find_overlaps(docs, items)),
+                    decontaminate.clean_documents(docs, items), decontaminate.clean_documents(docs, items, block_bytes=1)):
+        assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == {1: "Before, ! After.", 2: "clean text", 3: None, 4: ""}
 
 
 def test_empty_tables(spark, nothing):
