@@ -39,18 +39,6 @@ ADSERVER_DOMAINS = (
     "ads-twitter.com", "facebook.net", "fbcdn.net", "amazon-adsystem.com",
 )
 
-# Common public suffixes of more than one label (a default; pass a full table where needed).
-MULTI_LABEL_SUFFIXES = (
-    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk",
-    "sch.uk", "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au", "ac.nz", "co.nz",
-    "govt.nz", "net.nz", "org.nz", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "com.br",
-    "gov.br", "net.br", "org.br", "ac.cn", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
-    "ac.in", "co.in", "gov.in", "net.in", "org.in", "ac.kr", "co.kr", "go.kr", "or.kr",
-    "com.hk", "com.mx", "com.sg", "com.tr", "com.tw", "co.il", "co.za", "com.ar", "com.ua",
-    "com.pl", "com.my", "co.id", "com.vn", "com.ph", "co.th", "github.io", "blogspot.com",
-    "herokuapp.com", "vercel.app", "netlify.app", "pages.dev", "web.app",
-)
-
 # Page regions that are not main content, as selectors.
 BOILERPLATE_SELECTORS = (
     "header", "footer", "nav", "aside", ".header", ".top", ".navbar", "#header", ".footer",

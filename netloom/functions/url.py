@@ -10,6 +10,9 @@ percent-encoded here.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,6 @@ from netloom.functions.tables import (
     ADSERVER_DOMAINS,
     DOCUMENT_CONTENT_TYPES,
     DOCUMENT_EXTENSIONS,
-    MULTI_LABEL_SUFFIXES,
     SKIPPED_FILE_EXTENSIONS,
 )
 
@@ -210,31 +212,71 @@ def adjusted_max_depth(seed, extra) -> Column:
     return url_depth(seed) + (F.lit(extra) if isinstance(extra, int) else extra)
 
 
-def base_domain_of_host(name: Column, multi_label=MULTI_LABEL_SUFFIXES) -> Column:
+@lru_cache(maxsize=1)
+def public_suffixes() -> tuple[str, ...]:
+    """All rules of the public-suffix list on Spark's class path, with ``*.`` and ``!`` as written."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    jvm = spark._jvm
+    stream = jvm.java.lang.Thread.currentThread().getContextClassLoader().getResourceAsStream(
+        "mozilla/public-suffix-list.txt")
+    text = jvm.java.lang.String(stream.readAllBytes(), "UTF-8")
+    lines = (line.split()[0] for line in text.splitlines() if line.strip())
+    return tuple(line for line in lines if not line.startswith("//"))
+
+
+def _suffix_tree(rules) -> dict:
+    """Rules as a tree of labels from the last one on."""
+    tree: dict = {}
+    for rule in rules:
+        kind, name = ("!", rule[1:]) if rule.startswith("!") else ("", rule)
+        names = {name}
+        if not name.isascii():
+            names.add(".".join(x if x == "*" else "xn--" + x.encode("punycode").decode()
+                               if not x.isascii() else x for x in name.split(".")))
+        for spelling in names:
+            node, labels = tree, spelling.split(".")[::-1]
+            for i, label in enumerate(labels):
+                node = node.setdefault((kind if i + 1 == len(labels) else "", label), {})
+    return tree
+
+
+def _suffix_pattern(tree: dict) -> str:
+    """Longest rule, read from the end of a host: exceptions stop one label early, a wildcard is any label."""
+    named, any_label, stops = [], [], []
+    for (kind, label), below in tree.items():
+        if kind == "!":
+            stops.append(re.escape(label[::-1]))
+        elif label == "*":
+            any_label.append(r"\.[^.]+" + _suffix_pattern(below))
+        else:
+            named.append(re.escape(label[::-1]) + r"(?=\.|$)" + _suffix_pattern(below))
+    choices = [rf"(?=\.(?:{'|'.join(stops)})(?:\.|$))"] if stops else []
+    choices += [rf"\.(?:{'|'.join(named)})"] if named else []
+    choices += any_label
+    return rf"(?:{'|'.join(choices)})?" if choices else ""
+
+
+@lru_cache(maxsize=8)
+def suffix_pattern(rules: tuple[str, ...] | None = None) -> str:
+    """Regular expression for suffix and registrable domain of a host written backward."""
+    below = _suffix_pattern(_suffix_tree(rules if rules is not None else public_suffixes()))
+    # the root's labels need no dot before them; a name without a rule ends in its last label
+    top = below[3:-2].removeprefix(r"\.") if below else ""
+    return rf"^(?>{top}|[^.]+)\.[^.]+(?=\.|$)" if top else r"^[^.]+\.[^.]+(?=\.|$)"
+
+
+def base_domain_of_host(name: Column, suffixes: tuple[str, ...] | None = None) -> Column:
     """Registrable domain of a host; NULL for bare suffixes and IP addresses.
 
-    The suffix is the last label unless two or three trailing labels are in the
-    given list.  Use :func:`with_base_domain` for a full public-suffix table.
+    ``suffixes`` are public-suffix rules; by default all of the list that Spark
+    carries on its class path.
     """
-    suffixes = list(multi_label)
-    labels = F.size(F.split(name, r"\."))
-    two, three = F.substring_index(name, ".", -2), F.substring_index(name, ".", -3)
-    width = (
-        F.when((labels >= 3) & three.isin(suffixes), 4)
-        .when((labels >= 2) & two.isin(suffixes), 3)
-        .otherwise(2)
-    )
-    pick = (
-        F.when(width == 4, F.substring_index(name, ".", -4))
-        .when(width == 3, three)
-        .otherwise(two)
-    )
-    return F.when(
-        (name != "") & (labels >= width) & ~name.rlike(r"^[0-9.]+$|:"), pick)
+    found = F.reverse(F.regexp_extract(F.reverse(name), suffix_pattern(suffixes), 0))
+    return F.when((found != "") & ~name.rlike(r"^[0-9.]+$|:"), found)
 
 
-def base_domain(url, multi_label=MULTI_LABEL_SUFFIXES) -> Column:
-    return base_domain_of_host(host(url), multi_label)
+def base_domain(url, suffixes: tuple[str, ...] | None = None) -> Column:
+    return base_domain_of_host(host(url), suffixes)
 
 
 def with_base_domain(df: DataFrame, suffixes: DataFrame, host_col: str = "host",
@@ -265,10 +307,10 @@ def with_base_domain(df: DataFrame, suffixes: DataFrame, host_col: str = "host",
     return df.join(resolved, df[host_col] == resolved["_h"], "left").drop("_h")
 
 
-def is_base_domain(url, multi_label=MULTI_LABEL_SUFFIXES) -> Column:
+def is_base_domain(url, suffixes: tuple[str, ...] | None = None) -> Column:
     return F.coalesce(
         is_web_url(url)
-        & (strip_www(host(url)) == base_domain(url, multi_label))
+        & (strip_www(host(url)) == base_domain(url, suffixes))
         & (path(url) == "/"),
         F.lit(False),
     )

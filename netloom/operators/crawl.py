@@ -389,7 +389,7 @@ def best_attempt(attempts: DataFrame) -> DataFrame:
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length in bytes."""
     longest = F.greatest(F.octet_length(a), F.octet_length(b))
-    return F.when(longest > 0, 1.0 - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
+    return F.when((longest > 0) & (a != b), 1.0 - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
 
 
 def url_verdicts(results: DataFrame, min_similarity: float = 0.9) -> DataFrame:
@@ -406,7 +406,9 @@ def url_verdicts(results: DataFrame, min_similarity: float = 0.9) -> DataFrame:
     longest = F.greatest(F.octet_length(rendered), F.octet_length(plain))
     # The bounded distance stops early (-1) on texts that are too far apart.
     bound = F.floor(longest * (1.0 - min_similarity) + 1e-9).cast("int")
-    distance = F.call_function("levenshtein", rendered, plain, bound)
+    distance = F.when(rendered == plain, 0).when(
+        F.abs(F.char_length(rendered) - F.char_length(plain)) > bound, -1).otherwise(
+        F.call_function("levenshtein", rendered, plain, bound))
     close = F.when(both, (distance >= 0) & (1.0 - distance / longest >= min_similarity))
     return results.select(
         "site", "url", no_render.alias("render_failed"),

@@ -380,5 +380,5 @@ def job_latency(jobs: DataFrame, edges=JOB_BUCKETS) -> DataFrame:
     """Duration of finished jobs by mode and outcome, with histogram."""
     done = jobs.where(F.col("status").isin("completed", "failed")).withColumn(
         "outcome", F.when(F.col("status") == "completed", "success").otherwise("failed"))
-    seconds = F.expr("timestampdiff(SECOND, created_at, finished_at)").cast("double")
+    seconds = F.expr("timestampdiff(MICROSECOND, created_at, finished_at)") / 1e6
     return _histogram(done, ["mode", "outcome"], seconds, edges)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.session import spread
 
@@ -24,9 +25,13 @@ result struct<status: int, headers: map<string, string>, body: string>
 def read_fetch_capture(spark: SparkSession, path: str) -> DataFrame:
     """Recorded requests and answers, one row per request.
 
-    Accepts JSON arrays in files of their own, or one record per line.
+    A file holds either one JSON array or one record per line.
     """
-    raw = spark.read.schema(CAPTURE_SCHEMA).option("multiLine", True).json(path)
+    files = spark.read.text(path, wholetext=True)
+    parts = F.when(F.ltrim("value").startswith("["), F.array("value")).otherwise(F.split("value", r"\r?\n"))
+    records = files.select(F.explode(parts).alias("part")).where("trim(part) <> ''")
+    kind = T.ArrayType(T.StructType.fromDDL(CAPTURE_SCHEMA))  # a lone record reads as an array of one
+    raw = records.select(F.explode(F.from_json("part", kind)).alias("r")).select("r.*")
     return raw.select(
         F.timestamp_millis("time").alias("time"),
         F.col("options.url").alias("url"), F.col("options.method").alias("method"),
@@ -46,7 +51,7 @@ def read_robots(spark: SparkSession, path: str) -> DataFrame:
     """Robots files named ``<host>.txt``: ``host, text``."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
     return spark.read.text(path, wholetext=True).select(
-        F.lower(F.url_decode(name)).alias("host"), F.col("value").alias("text"))
+        F.lower(F.coalesce(F.try_url_decode(name), name)).alias("host"), F.col("value").alias("text"))
 
 
 def read_jobs(spark: SparkSession, path: str, mode: str | None = None) -> DataFrame:

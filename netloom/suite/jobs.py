@@ -358,7 +358,7 @@ def _(spark, sf):
 @query("j22_job_latency", check_sql(f"""
 select mode, case when status = 'completed' then 'success' else 'failed' end as outcome,
   count(*) as n, sum(t) as seconds, {_duck_histogram(J.JOB_BUCKETS, 't')}
-from (select mode, status, cast(date_diff('second', created_at, finished_at) as double) as t
+from (select mode, status, date_diff('microsecond', created_at, finished_at) / 1e6 as t
       from jobs where status in ('completed', 'failed')) group by mode, status
 """, "jobs"))
 def _(spark, sf):

@@ -61,6 +61,24 @@ def test_base_domain(spark):
                    ("example.com", False), (None, False), (None, False)]
 
 
+def test_public_suffix_rules(spark):
+    rows = [("http://a.b.city.kawasaki.jp/",), ("http://x.y.foo.kawasaki.jp/",), ("http://a.www.ck/",), ("http://a.b.co.ck/",),
+            ("http://shop.example.com.ng/",), ("http://x.gov.sg/",), ("http://me.github.io/",), ("http://kawasaki.jp/",),
+            ("http://a.unknowntld/",), ("http://x.notco.uk/",)]
+    got = [r[0] for r in values(spark, rows, "u string", U.base_domain("u"))]
+    assert got == ["city.kawasaki.jp", "y.foo.kawasaki.jp", "www.ck", "b.co.ck", "example.com.ng", "x.gov.sg", "me.github.io",
+                   None, "a.unknowntld", "notco.uk"]
+
+
+def test_capture_files_of_either_form(spark, tmp_path):
+    from netloom.sources.readers import read_fetch_capture
+
+    record = '{"time": 1, "options": {"url": "http://a/"}, "result": {"status": 200}}'
+    (tmp_path / "lines.json").write_text("\n".join([record] * 5) + "\n")
+    (tmp_path / "array.json").write_text("[" + record + ",\n" + record + "]")
+    assert read_fetch_capture(spark, str(tmp_path)).where("status = 200").count() == 7
+
+
 def test_suffix_table_takes_the_longest_match(spark):
     hosts = spark.createDataFrame([("a.b.city.kawasaki.jp",), ("x.github.io",), ("one",)], "host string")
     table = spark.createDataFrame([("jp",), ("city.kawasaki.jp",), ("io",), ("github.io",)], "suffix string")
