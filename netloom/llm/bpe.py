@@ -24,6 +24,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.texts import as_bytes, slices, with_fields
 
-WORD_STORE = 200_000  # words kept per Python worker
+WORD_STORE = 200_000  # words kept while a task runs
 SHARE = 1_000_000  # characters of texts encoded at a time
 SHORT = 48  # pieces up to so many bytes are encoded many at a time
 NO_TOKEN = -1
@@ -425,6 +427,15 @@ class Tokenizer:
             Tokenizer._built[self.key] = Encoder(Vocabulary(*self.shared.value))
         return Tokenizer._built[self.key]
 
+    @contextmanager
+    def borrowed(self) -> Iterator[Encoder]:
+        """The worker's encoder for one task; its words are given back with the task."""
+        encoder = self.encoder()
+        try:
+            yield encoder
+        finally:
+            encoder.words.clear()
+
 
 def _strings(column: pa.Array) -> list[str]:
     return [(t or b"").decode("utf-8", "replace") for t in as_bytes(column)]
@@ -440,11 +451,12 @@ def encode_texts(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> D
     """Adds ``ids`` (array of int) and ``n_tokens``."""
 
     @F.arrow_udf("ids array<int>, n_tokens long")
-    def run(column: pa.Array) -> pa.Array:
-        encoder = tokenizer.encoder()
-        out = [ids for part in slices(column) for ids in encoder.encode_many(_strings(part))]
-        return pa.StructArray.from_arrays(
-            [_ids_array(out), pa.array([len(x) // 4 for x in out], pa.int64())], names=["ids", "n_tokens"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with tokenizer.borrowed() as encoder:
+            for column in batches:
+                out = [ids for part in slices(column) for ids in encoder.encode_many(_strings(part))]
+                yield pa.StructArray.from_arrays(
+                    [_ids_array(out), pa.array([len(x) // 4 for x in out], pa.int64())], names=["ids", "n_tokens"])
 
     return with_fields(docs, run(F.col(text)), ["ids", "n_tokens"])
 
@@ -466,14 +478,16 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> Dat
     fields = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(column: pa.Array) -> pa.Array:
-        encoder, counts, ids, texts = tokenizer.encoder(), [], [], []
-        for part in slices(column):
-            for x in encoder.encode_many(_strings(part)):
-                counts.append(len(x) // 4)
-                ids.append(hashlib.sha256(x).hexdigest())
-                texts.append(hashlib.sha256(encoder.decode(x)).hexdigest())
-        return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=fields)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with tokenizer.borrowed() as encoder:
+            for column in batches:
+                counts, ids, texts = [], [], []
+                for part in slices(column):
+                    for x in encoder.encode_many(_strings(part)):
+                        counts.append(len(x) // 4)
+                        ids.append(hashlib.sha256(x).hexdigest())
+                        texts.append(hashlib.sha256(encoder.decode(x)).hexdigest())
+                yield pa.StructArray.from_arrays(
+                    [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=fields)
 
     return with_fields(docs, run(F.col(text)), fields)
