@@ -20,7 +20,7 @@ from netloom.functions.tables import (
     NEVER_CONTENT_TAGS,
 )
 from netloom.operators.pages import page_title
-from netloom.session import cut_lineage, small_side
+from netloom.session import cut_lineage
 
 NODE = ("struct<pos: int, tag: string, id: string, classes: array<string>, "
         "attrs: map<string, string>, ancestors: array<int>>")
@@ -51,17 +51,9 @@ def _parse_batches(batches):
             names=[*names, "nodes", "blocks"])
 
 
-def page_trees(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"),
-               max_chars: int | None = None) -> DataFrame:
-    """One row per page: the ``keep`` columns, ``nodes`` and ``blocks``.
-
-    ``max_chars`` skips pages above a size (they get no tree); by default
-    every page is parsed.
-    """
+def page_trees(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """One row per page: the ``keep`` columns, ``nodes`` and ``blocks``."""
     source = pages.select(*keep, "html")
-    if max_chars is not None:
-        source = source.withColumn(
-            "html", F.when(F.length("html") <= max_chars, F.col("html")).otherwise(""))
     types = dict(source.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep)
     return source.mapInArrow(_parse_batches, f"{schema}, nodes array<{NODE}>, blocks array<{BLOCK}>")
@@ -280,7 +272,7 @@ def site_boilerplate(trees: DataFrame, min_pages: int, mode: str = "t") -> DataF
     # Pages are parsed once; both sides of the join read the written rows.
     signed = cut_lineage(block_signatures(trees, mode).withColumn("domain", U.base_domain("url")))
     common = site_signatures(signed, min_pages).select("domain", "signature")
-    return signed.join(small_side(common), ["domain", "signature"], "left_anti")
+    return signed.join(common, ["domain", "signature"], "left_anti")
 
 
 # --- markdown clean-up -----------------------------------------------------

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from netloom.functions import url as U
 from netloom.functions.tables import ADSERVER_DOMAINS, NON_WEB_PROTOCOLS, SOCIAL_SITES
 from netloom.plans.ranking import first_per_key, running_rank
-from netloom.session import small_side
 
 # What each denial code means.
 DENIAL_TEXT = {
@@ -235,7 +234,7 @@ def claim_urls(candidates: DataFrame, visited: DataFrame, limit: int | None = No
     ranked = running_rank(
         fresh, ["crawl_id"], bucket if bucket is not None else F.floor(F.col("pos") / 4096),
         [F.col("pos"), F.col("key")], "_rank")
-    return ranked.join(small_side(used), "crawl_id", "left").where(
+    return ranked.join(used, "crawl_id", "left").where(
         F.col("_rank") + F.coalesce("_used", F.lit(0)) <= limit).drop("_rank", "_used")
 
 
@@ -329,7 +328,7 @@ def flag_blocked(urls: DataFrame, blocklist: DataFrame, allowed_keywords=(), unb
     tagged = urls.withColumn("_domain", U.base_domain(F.lower(F.trim(F.col(url)))))
     hit = blocked_domains(tagged.select(F.col("_domain").alias("domain")), blocklist, unblocked)
     marked = tagged.join(
-        small_side(hit.select(F.col("domain").alias("_domain"), F.lit(True).alias("_hit"))),
+        hit.select(F.col("domain").alias("_domain"), F.lit(True).alias("_hit")),
         "_domain", "left")
     keyword = F.lit(False)
     for k in allowed_keywords:
@@ -356,9 +355,9 @@ def route_by_domain(urls: DataFrame, mapping: DataFrame, url: str = "url") -> Da
         "_domain", F.explode(_suffixes(F.col("_domain"))).alias("_s"))
     rules = mapping.select(
         F.regexp_replace(F.lower("pattern"), r"^\*\.", "").alias("_s"), "ordinal", "route")
-    chosen = runs.join(small_side(rules), "_s").groupBy("_domain").agg(
+    chosen = runs.join(rules, "_s").groupBy("_domain").agg(
         F.min_by("route", "ordinal").alias("route"))
-    joined = tagged.join(small_side(chosen), "_domain", "left")
+    joined = tagged.join(chosen, "_domain", "left")
     return joined.select(*[joined[c] for c in urls.columns], "route")
 
 

@@ -6,27 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators.crawl import CrawlPolicy, claim_urls, filter_links, url_key
-from netloom.operators.pages import extract_links
+from netloom.operators.pages import explode_computed, with_links
 from netloom.operators.robots import robots_allowed
-from netloom.session import cut_lineage, small_side
+from netloom.session import cut_lineage
 
 
 def crawl_corpus(pages: DataFrame, seeds: DataFrame, policy: CrawlPolicy,
                  max_discovery_depth: int | None = None, limit: int | None = None,
                  robots_rules: DataFrame | None = None, agents: tuple[str, ...] = ("*",),
-                 similar: bool = False, ignore_query: bool = False,
-                 max_levels: int = 100) -> DataFrame:
+                 similar: bool = False, ignore_query: bool = False) -> DataFrame:
     """Every URL a crawl would claim: ``crawl_id, url, key, depth, captured``.
 
     ``seeds`` has ``crawl_id, url``.  Links of captured pages are extracted and
     written once, keyed by page; each level is then one join of the frontier
     with that link table.  Levels are cut by reliable checkpoints, and the
-    driver only learns whether the frontier is empty.  A level whose depth
-    equals ``max_discovery_depth`` is captured but not expanded.
+    driver only learns whether the frontier is empty; without a depth the crawl
+    goes on until it is.  A level whose depth equals ``max_discovery_depth`` is captured but not expanded.
     """
     keyed = pages.withColumn("_page_key", url_key("url", ignore_query, similar))
     links = cut_lineage(
-        extract_links(keyed).join(keyed.select("page_id", "_page_key"), "page_id")
+        explode_computed(with_links(keyed.select("_page_key", "url", "html")), ["_page_key", "url"],
+                         F.col("links"), "pos", "link")
         .select(F.col("_page_key").alias("key"), F.col("url").alias("base"), "pos", "link")
         .repartition("key"))
     known = keyed.select(F.col("_page_key").alias("key"), F.lit(True).alias("captured")).distinct()
@@ -36,9 +36,9 @@ def crawl_corpus(pages: DataFrame, seeds: DataFrame, policy: CrawlPolicy,
     frontier = cut_lineage(
         claim_urls(start, none, limit, ignore_query, similar)
         .select("crawl_id", "url", "key", F.lit(0).alias("depth")))
-    initial = small_side(seeds.select("crawl_id", F.col("url").alias("initial_url")))
+    initial = seeds.select("crawl_id", F.col("url").alias("initial_url"))
     visited, level = frontier, 0
-    while level < max_levels and (max_discovery_depth is None or level != max_discovery_depth):
+    while max_discovery_depth is None or level != max_discovery_depth:
         found = frontier.select("crawl_id", "key").join(links, "key").join(
             initial, "crawl_id").withColumnRenamed("base", "page_url")
         if robots_rules is not None:
@@ -48,10 +48,10 @@ def crawl_corpus(pages: DataFrame, seeds: DataFrame, policy: CrawlPolicy,
             "robots_ok" if robots_rules is not None else None).where("allowed")
         # Pages of one level have no order of their own: a hash gives a fixed
         # one whose high bits are even buckets for the running count.
-        order = F.shiftright(F.xxhash64("key"), 22) * 4096 + F.least(F.col("pos"), F.lit(4095))
+        order = F.struct(F.xxhash64("key").alias("hash"), "pos")
         candidates = allowed.select("crawl_id", F.col("link").alias("url"), order.alias("pos"))
         fresh = claim_urls(candidates, visited, limit, ignore_query, similar,
-                           bucket=F.shiftright("pos", 42))
+                           bucket=F.shiftright("pos.hash", 52))
         frontier = cut_lineage(fresh.select(
             "crawl_id", "url", "key", F.lit(level + 1).alias("depth")))
         if frontier.isEmpty():

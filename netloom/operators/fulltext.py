@@ -12,7 +12,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.session import is_small
 
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
@@ -111,24 +110,22 @@ def search_many(exchanges: DataFrame, index: DataFrame, queries: DataFrame,
     """Best matches of many queries (every term must occur).
 
     ``queries`` has ``query_id, term`` with distinct terms.  Postings are cut to
-    the asked terms by a checked broadcast or a shuffle join.
+    the asked terms by a join.
     """
     from netloom.plans.ranking import top_n
 
     stats = exchanges.agg(F.struct(
         F.count("*").alias("n"),
         F.avg(F.size(tokens("user_message", "assistant_message"))).alias("average")).alias("s")).scalar()
-    # Everything below is bounded by the number of query terms: one check.
-    hint = F.broadcast if is_small(queries) else (lambda d: d)
     wanted = queries.select("query_id", F.lower("term").alias("term"))
-    cut = index.join(hint(wanted.select("term").distinct()), "term", "left_semi")
+    cut = index.join(wanted.select("term").distinct(), "term", "left_semi")
     df = cut.groupBy("term").agg(F.count("*").alias("df"))
     needed = wanted.groupBy("query_id").agg(F.count("*").alias("_needed"))
-    scored = cut.join(hint(df), "term").withColumn("_s", stats).withColumn(
+    scored = cut.join(df, "term").withColumn("_s", stats).withColumn(
         "_part", -_idf(F.col("_s.n"), F.col("df")) * _weight(
             F.col("tf"), F.col("length"), F.col("_s.average")))
-    totals = scored.join(hint(wanted), "term").groupBy("query_id", "id").agg(
+    totals = scored.join(wanted, "term").groupBy("query_id", "id").agg(
         F.sum("_part").alias("score"), F.count("*").alias("_got")).join(
-        hint(needed), "query_id").where("_got = _needed")
+        needed, "query_id").where("_got = _needed")
     return top_n(totals.select("query_id", "id", "score"), ["query_id"],
                  [F.col("score"), F.col("id")], limit)

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.plans.ranking import running_rank, top_n
-from netloom.session import small_side
 
 SCRAPE_MODE = "single_urls"
 RESULT_PAGE_BYTES = 10_485_760
@@ -237,9 +236,9 @@ def backlog_ids_of(backlog: DataFrame, owner) -> DataFrame:
 
 
 def jobs_by_id(jobs: DataFrame, ids: DataFrame, statuses: list[str] | None = None) -> DataFrame:
-    """Rows of an id set; the set is broadcast only if it is small."""
+    """Rows of an id set."""
     found = jobs.where(F.col("status").isin(statuses)) if statuses else jobs
-    return found.join(small_side(ids.select("id").distinct()), "id", "left_semi")
+    return found.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def any_job(jobs: DataFrame, mode: str = SCRAPE_MODE) -> DataFrame:

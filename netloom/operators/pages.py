@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from netloom.functions import html as H
 from netloom.functions import url as U
 from netloom.functions.tables import TYPED_META
+from netloom.session import write_table
 
 
 def explode_computed(df: DataFrame, keep: list[str], array: Column, pos: str,
@@ -285,19 +286,25 @@ def inline_frames(html) -> Column:
     return F.filter(texts, lambda t: t.isNotNull())
 
 
-def data_iframe_links(pages: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Links of a page and of the inline frames nested in it."""
+def data_iframe_links(pages: DataFrame) -> DataFrame:
+    """Links of a page and of the inline frames nested in it, at any depth.
+
+    The frames of one level are written once and are the next level's pages;
+    nested text is shorter than what holds it, so the loop ends.
+    """
     level = pages.select("page_id", "url", "html", F.lit(0).alias("frame_depth"))
     out = None
-    for _ in range(max_depth + 1):
+    while True:
         found = explode_computed(
             with_links(level), ["page_id", "url", "frame_depth"], F.col("links"), "pos", "link"
         ).drop("pos")
         out = found if out is None else out.unionByName(found)
-        level = explode_computed(
+        level = write_table(explode_computed(
             level.withColumn("frame_depth", F.col("frame_depth") + 1),
             ["page_id", "url", "frame_depth"], inline_frames(F.col("html")), "pos", "html"
-        ).drop("pos")
+        ).drop("pos"))
+        if level.isEmpty():
+            break
     return out.groupBy("page_id", "url", "link").agg(F.min("frame_depth").alias("frame_depth"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import url as U
-from netloom.session import small_side
 
 
 def _lines(robots: DataFrame) -> DataFrame:
@@ -102,7 +101,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agents: tuple[str, ...] =
     rows = urls.withColumns({
         "_host": U.host(url),
         "_target": F.concat(U.path(url), F.regexp_extract(F.col(url), r"^[^?#]*(\?[^#]*)", 1)),
-    }).join(small_side(packed), "_host", "left")
+    }).join(packed, "_host", "left")
     passes = F.lit(False)
     for agent in agents:
         own = F.filter("rules", _agent_is(agent.lower()))

@@ -20,7 +20,6 @@ from netloom.functions.tables import (
     TIME_RANGE_PATTERNS,
 )
 from netloom.operators.crawl import flag_blocked
-from netloom.session import small_side
 
 
 def _c(x) -> Column:
@@ -222,7 +221,7 @@ def filter_by_relevance(results: DataFrame, by: str = "query_id",
     rows = rows.withColumn("_hit", (F.size("_tokens") == 0) | F.exists(
         "_tokens", lambda t: F.col("_text").contains(t)))
     strong = rows.groupBy(by).agg(F.count_if("_hit").alias("_hits"))
-    joined = rows.join(small_side(strong), by)
+    joined = rows.join(strong, by)
     return joined.where((F.col("_hits") < 2) | F.col("_hit")).drop(
         "_tokens", "_text", "_hit", "_hits")
 

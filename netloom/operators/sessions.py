@@ -9,6 +9,9 @@ from netloom.plans.ranking import running_rank
 
 # Turns per bucket when numbering the exchanges of one session.
 SESSION_BUCKET = 4096
+# An exchange id is the conversation above 32 bits of turn; a conversation
+# beyond 31 bits ends the job with an overflow instead of a wrong id.
+TURNS = 1 << 32
 
 
 def build_exchanges(turns: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def build_exchanges(turns: DataFrame) -> DataFrame:
     ranked = running_rank(
         pairs, ["conv_id"], F.floor(F.col("turn") / SESSION_BUCKET), [F.col("turn")], "sequence")
     return ranked.select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"),
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("id"),
         F.col("conv_id").alias("session_id"), "sequence", "user_message", "assistant_message")
 
 

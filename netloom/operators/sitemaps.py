@@ -51,19 +51,19 @@ def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
         "action = 'bad' or (action <> 'skip' and loc is not null)")
 
 
-def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame, cap: int = SITEMAP_CAP,
-                    max_levels: int = 50) -> DataFrame:
+def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame, cap: int = SITEMAP_CAP) -> DataFrame:
     """Pages reachable from root sitemaps: ``crawl_id, url, sitemap_url, level``.
 
     ``roots`` has ``crawl_id, sitemap_url, pos``.  A crawl reads each sitemap
-    once and at most ``cap`` of them.  Entries are read once and the loop joins
+    once and at most ``cap`` of them, in order of their path of positions, so
+    there are at most ``cap`` levels.  Entries are read once and the loop joins
     on the sitemap URL; the driver only sees whether a level is empty.
     """
     entries = cut_lineage(sitemap_entries(sitemaps).where("action <> 'bad'"))
     frontier = first_per_key(
-        roots.select("crawl_id", "sitemap_url", "pos"), ["crawl_id", "sitemap_url"], F.col("pos"))
+        roots.select("crawl_id", "sitemap_url", F.array(F.col("pos").cast("bigint")).alias("pos")), ["crawl_id", "sitemap_url"], F.col("pos"))
     seen, pages, level = None, None, 0
-    while level < max_levels:
+    while True:
         if seen is not None:
             frontier = frontier.join(
                 seen.select("crawl_id", "sitemap_url"), ["crawl_id", "sitemap_url"], "left_anti")
@@ -84,7 +84,7 @@ def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame, cap: int = SITEMAP_CA
         pages = got if pages is None else pages.unionByName(got)
         nested = found.where("action = 'recurse'").select(
             "crawl_id", F.col("loc").alias("sitemap_url"),
-            (F.col("pos") * 100_000 + F.col("_entry_pos")).alias("pos"))
+            F.concat("pos", F.array(F.col("_entry_pos").cast("bigint"))).alias("pos"))
         frontier = first_per_key(nested, ["crawl_id", "sitemap_url"], F.col("pos"))
         level += 1
     if pages is None:

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.session import spread
-
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -133,7 +131,7 @@ select page_id, url, pos + 1000 as pos, href from {page_links}
 """)
 
 _add("exchanges", ("conversations",), """
-select q.conv_id * 1000000 + q.turn as id, q.conv_id as session_id,
+select q.conv_id * 4294967296 + q.turn as id, q.conv_id as session_id,
   row_number() over (partition by q.conv_id order by q.turn) as sequence,
   q.text as user_message, a.text as assistant_message
 from {conversations} q join {conversations} a
@@ -297,11 +295,16 @@ from {events}
 """)
 
 
+def _one_file(table: DataFrame) -> bool:
+    return len(table.inputFiles()) == 1
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """DataFrame of a base table or view."""
     if name in BASE_TABLES:
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return spread(table) if name in TEXT_TABLES else table
+        # The given tables are single files, often one split; real tables are not re-dealt.
+        return table.repartition(spark.sparkContext.defaultParallelism) if name in TEXT_TABLES and _one_file(table) else table
     deps, text, _ = VIEWS[name]
     if name == "exchanges":
         from netloom.operators.sessions import build_exchanges

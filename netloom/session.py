@@ -57,29 +57,3 @@ def write_table(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-# A side is broadcast only up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Row-count check that reads at most ``max_rows + 1`` rows of the result."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side whose row count has been checked."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Uses all cores when a table has fewer splits than there are cores.
-
-    Large tables come with many splits and are returned as they are, so no
-    shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -40,13 +40,25 @@ def write_documents(docs: DataFrame, path: str, formats, files_per_domain: int =
     rows.repartition("domain", salt).write.mode(mode).partitionBy("domain").parquet(path)
 
 
-def merge_rows(current: DataFrame, batch: DataFrame, keys, update: bool = True) -> DataFrame:
-    """Insert-or-update (or insert-or-ignore) by key, as a new table version."""
-    columns = current.columns
-    fresh = batch.select(*columns)
+def merge_rows(current: DataFrame | None, batch: DataFrame, keys, update: bool = True,
+               order: str | None = None) -> DataFrame:
+    """Insert-or-update (or insert-or-ignore) by key, as a new table version.
+
+    Of several batch rows of one key an update keeps the last by ``order``, an
+    ignore the first; without ``order``, and among ties, the columns decide.
+    """
+    keys = list(keys)
+    columns = current.columns if current is not None else [c for c in batch.columns if c != order]
+    rest = [c for c in columns if c not in keys]
+    fresh = batch.select(*keys, F.struct(*[F.col(c) for c in ([order] if order else [])], *keys, *rest).alias("_by"),
+                         F.struct(*columns).alias("_row"))
+    pick = F.max_by if update else F.min_by
+    fresh = fresh.groupBy(*keys).agg(pick("_row", "_by").alias("_row")).select("_row.*")
+    if current is None:
+        return fresh
     if update:
-        return current.join(fresh.select(*keys), list(keys), "left_anti").select(*columns).unionByName(fresh)
-    return current.unionByName(fresh.join(current.select(*keys), list(keys), "left_anti").select(*columns))
+        return current.join(fresh.select(*keys), keys, "left_anti").select(*columns).unionByName(fresh)
+    return current.unionByName(fresh.join(current.select(*keys), keys, "left_anti").select(*columns))
 
 
 def _latest(spark: SparkSession, path: str) -> str | None:
@@ -67,26 +79,30 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_table(batch: DataFrame, path: str, keys, update: bool = True,
-                 version: str | None = None) -> str:
+                 version: str | int | None = None, order: str | None = None) -> str:
     """Writes the next version of a table and points to it.
 
-    Readers keep the old version until the pointer moves.  Inside
-    ``foreachBatch`` pass the epoch as ``version``: a retried epoch is then
-    recognised and skipped.
+    Readers keep the old version until the pointer file is replaced in one
+    rename.  Inside ``foreachBatch`` pass the epoch as ``version``: epochs grow,
+    so one that is not above the current version was applied and is skipped.
     """
     spark = batch.sparkSession
     current = _latest(spark, path)
     name = f"v-{version if version is not None else uuid.uuid4().hex}"
-    if name == current:
-        return name
-    rows = batch if current is None else merge_rows(
-        spark.read.parquet(f"{path}/{current}"), batch, keys, update)
+    if current is not None and (name == current or (
+            name[2:].isdigit() and current[2:].isdigit() and int(name[2:]) <= int(current[2:]))):
+        return current
+    rows = merge_rows(spark.read.parquet(f"{path}/{current}") if current else None, batch, keys, update, order)
     rows.write.mode("overwrite").parquet(f"{path}/{name}")
-    jvm = spark._jvm
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    aside, target = hadoop.Path(f"{path}/.CURRENT-{uuid.uuid4().hex}"), hadoop.Path(f"{path}/CURRENT")
     config = spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    fs = target.getFileSystem(config)
-    out = fs.create(target, True)
+    out = target.getFileSystem(config).create(aside, True)
     out.write(bytearray(name, "utf-8"))
     out.close()
+    rename = hadoop.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(target.getFileSystem(config).getUri(), config)
+    context.rename(aside, target, options)
     return name

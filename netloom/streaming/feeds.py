@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.crawl import url_key
+from netloom.operators.sessions import TURNS
 
 # Requests allowed per 60 seconds by mode, and for other modes.
 RATE_POINTS = {
@@ -99,7 +100,7 @@ def suggestion_stream(exchanges: DataFrame, extractor: Callable[[DataFrame], Dat
 
     def handle(batch: DataFrame, epoch: int) -> None:
         grouped = batch.select(
-            (F.col("session_id") * 1_000_000 + F.floor((F.col("sequence") - 1) / batch_size)).alias("batch_id"),
+            (F.col("session_id") * TURNS + F.floor((F.col("sequence") - 1) / batch_size)).alias("batch_id"),
             F.col("id").alias("exchange_id"), "user_message", "assistant_message")
         answers = extractor(grouped)
         found = parse_suggestions(answers, grouped.select("batch_id", "exchange_id"))

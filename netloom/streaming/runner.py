@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netloom.session import checkpoint_folder
 
@@ -24,11 +25,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Processes all available input once and returns what was written.
 
     Results go to files, one folder per micro-batch that a retry overwrites,
-    never to the driver.
+    never to the driver.  A stream in update mode gives a key anew in each
+    batch that changes it: ``keys`` keeps its latest row.
     """
     spark = stream.sparkSession
     folder = work_folder(spark, name)
@@ -40,4 +42,8 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*")
+    if not keys:
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*")
+    written = spark.read.schema(stream.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
+    latest = written.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), F.col("batch").cast("bigint")).alias("_row"))
+    return latest.select("_row.*")

@@ -1,11 +1,14 @@
 """Keyed state: leases, stalled jobs, group completion, exchanges.
 
 The processors are small; Spark partitions the keys, keeps the state and fires
-the timers.
+the timers.  Rows of a key must come in time order across micro-batches, but
+for turns, which may come in any order.
 """
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from netloom.plans.ranking import running_total
 from netloom.streaming.runner import use_keyed_state
 
 LEASE_TTL_MS = 30_000
+# State of a job or group that is over goes after this time.
+KEEP_MS = 86_400_000
 
 _LEASE_OUT = "owner_id bigint, event_id bigint, holder bigint, action string, granted boolean, in_use int"
 
@@ -44,11 +49,20 @@ def _ordered(rows):
     return frame.sort_values(["ms", "event_id"])
 
 
+def _set_timer(handle: StatefulProcessorHandle, at: int | None) -> None:
+    """One timer per key at most."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+    if at is not None:
+        handle.registerTimer(int(at))
+
+
 class LeaseProcessor(StatefulProcessor):
     def __init__(self, limit: int, ttl_ms: int):
         self.limit, self.ttl_ms = limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.leases = handle.getMapState("leases", "holder bigint", "expiry bigint")
 
     def handleInputRows(self, key, rows, timerValues):
@@ -62,10 +76,16 @@ class LeaseProcessor(StatefulProcessor):
         for holder, expiry in live.items():
             if before.get(holder) != expiry:
                 self.leases.updateValue((int(holder),), (int(expiry),))
+        _set_timer(self.handle, max(live.values(), default=None))
         yield pd.DataFrame(
             [(key[0], *o) for o in out],
             columns=["owner_id", "event_id", "holder", "action", "granted", "in_use"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # The timer is the last expiry: no later row can meet a live lease.
+        self.leases.clear()
+        yield pd.DataFrame(columns=["owner_id", "event_id", "holder", "action", "granted", "in_use"])
+
     def close(self) -> None:
         pass
 
@@ -74,16 +94,18 @@ def _with_ms(events: DataFrame) -> DataFrame:
     return events.withColumn("ms", F.unix_millis("ts"))
 
 
-def lease_audit(lease_events: DataFrame, limit: int, ttl_ms: int = LEASE_TTL_MS) -> DataFrame:
+def lease_audit(lease_events: DataFrame, limit: int, ttl_ms: int = LEASE_TTL_MS,
+                late: str = "1 minute") -> DataFrame:
     """Verdict per lease event: ``owner_id, event_id, holder, action, ts`` in.
 
     Acquire is granted to a present holder or below the limit; a heartbeat
-    extends only a live lease; release frees it.
+    extends only a live lease; release frees it.  An owner's state goes when the
+    watermark passes its last expiry.
     """
     use_keyed_state(lease_events.sparkSession)
-    return _with_ms(lease_events).groupBy("owner_id").transformWithStateInPandas(
+    return _with_ms(lease_events.withWatermark("ts", late)).groupBy("owner_id").transformWithStateInPandas(
         LeaseProcessor(limit, ttl_ms), outputStructType=_LEASE_OUT, outputMode="Append",
-        timeMode="None")
+        timeMode="EventTime")
 
 
 def lease_audit_batch(lease_events: DataFrame, limit: int, ttl_ms: int = LEASE_TTL_MS) -> DataFrame:
@@ -131,32 +153,31 @@ _STALL_OUT = "job_id bigint, at_ms bigint, outcome string, stalls int"
 
 
 class StallProcessor(StatefulProcessor):
-    def __init__(self, lock_ms: int, max_stalls: int):
-        self.lock_ms, self.max_stalls = lock_ms, max_stalls
+    """``until`` is the lock's deadline while a job is active, else the time its state goes."""
+
+    def __init__(self, lock_ms: int, max_stalls: int, keep_ms: int):
+        self.lock_ms, self.max_stalls, self.keep_ms = lock_ms, max_stalls, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", "deadline bigint, stalls int, active boolean")
-
-    def _clear_timers(self):
-        for (timer,) in [(t[0] if isinstance(t, tuple) else t,) for t in self.handle.listTimers()]:
-            self.handle.deleteTimer(timer)
+        self.state = handle.getValueState("job", "until bigint, stalls int, active boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        deadline, stalls, active = self.state.get() if self.state.exists() else (0, 0, False)
+        until, stalls, active = self.state.get() if self.state.exists() else (0, 0, False)
         out = []
         for row in _ordered(rows).itertuples(index=False):
-            if active and row.ms >= deadline:
+            if active and row.ms >= until:
                 stalls, active = stalls + 1, False
-                out.append(self._verdict(key, deadline, stalls))
+                out.append(self._verdict(key, until, stalls))
+                until += self.keep_ms
+            if not active and row.ms >= until:
+                stalls = 0
             if row.action == "active" or (row.action == "heartbeat" and active):
-                deadline, active = int(row.ms) + self.lock_ms, True
+                until, active = int(row.ms) + self.lock_ms, True
             elif row.action in ("completed", "failed", "queued"):
-                active = False
-        self._clear_timers()
-        if active:
-            self.handle.registerTimer(deadline)
-        self.state.update((deadline, stalls, active))
+                until, active = int(row.ms) + self.keep_ms, False
+        self.state.update((until, stalls, active))
+        _set_timer(self.handle, until)
         yield pd.DataFrame(out, columns=["job_id", "at_ms", "outcome", "stalls"])
 
     def _verdict(self, key, at, stalls):
@@ -165,12 +186,13 @@ class StallProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         out = []
-        if self.state.exists():
-            deadline, stalls, active = self.state.get()
-            if active:
-                stalls += 1
-                out.append(self._verdict(key, deadline, stalls))
-                self.state.update((deadline, stalls, False))
+        until, stalls, active = self.state.get()
+        if active:
+            out.append(self._verdict(key, until, stalls + 1))
+            self.state.update((until + self.keep_ms, stalls + 1, False))
+            self.handle.registerTimer(until + self.keep_ms)
+        else:
+            self.state.clear()
         yield pd.DataFrame(out, columns=["job_id", "at_ms", "outcome", "stalls"])
 
     def close(self) -> None:
@@ -178,11 +200,14 @@ class StallProcessor(StatefulProcessor):
 
 
 def stalled_jobs_stream(job_events: DataFrame, lock_ms: int = 60_000, max_stalls: int = 9,
-                        late: str = "1 minute") -> DataFrame:
-    """Jobs whose lock ran out without a heartbeat: requeued, later failed."""
+                        late: str = "1 minute", keep_ms: int = KEEP_MS) -> DataFrame:
+    """Jobs whose lock ran out without a heartbeat: requeued, later failed.
+
+    A job that is not active is forgotten, stalls included, after ``keep_ms``.
+    """
     use_keyed_state(job_events.sparkSession)
     return _with_ms(job_events.withWatermark("ts", late)).groupBy("job_id").transformWithStateInPandas(
-        StallProcessor(lock_ms, max_stalls), outputStructType=_STALL_OUT, outputMode="Append",
+        StallProcessor(lock_ms, max_stalls, keep_ms), outputStructType=_STALL_OUT, outputMode="Append",
         timeMode="EventTime")
 
 
@@ -190,12 +215,18 @@ _GROUP_OUT = "group_id bigint, finished_ms bigint, jobs int"
 
 
 class GroupProcessor(StatefulProcessor):
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getMapState("open", "job bigint", "seen boolean")
         self.totals = handle.getValueState("totals", "jobs int, kicked_off boolean, finished boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         jobs, kicked, finished = self.totals.get() if self.totals.exists() else (0, False, False)
+        if finished:
+            return
         open_now = {k[0] for k, _ in self.open.iterator()}
         before, out = set(open_now), []
         for row in _ordered(rows).itertuples(index=False):
@@ -207,50 +238,68 @@ class GroupProcessor(StatefulProcessor):
                     open_now.add(row.job_id)
             elif row.action in ("completed", "failed"):
                 open_now.discard(row.job_id)
-            if kicked and not open_now and not finished:
+            if kicked and not open_now:
                 finished = True
                 out.append((key[0], int(row.ms), jobs))
+                break
         for job in before - open_now:
             self.open.removeKey((int(job),))
         for job in open_now - before:
             self.open.updateValue((int(job),), (True,))
         self.totals.update((jobs, kicked, finished))
+        if finished:
+            _set_timer(self.handle, out[0][1] + self.keep_ms)
         yield pd.DataFrame(out, columns=["group_id", "finished_ms", "jobs"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.totals.clear()
+        yield pd.DataFrame(columns=["group_id", "finished_ms", "jobs"])
+
     def close(self) -> None:
         pass
 
 
-def group_completion_stream(job_events: DataFrame) -> DataFrame:
+def group_completion_stream(job_events: DataFrame, late: str = "1 minute", keep_ms: int = KEEP_MS) -> DataFrame:
     """One event per group when its kickoff is over and no job is open.
 
-    Input: ``group_id, event_id, job_id, action, ts``.
+    Input: ``group_id, event_id, job_id, action, ts``.  A finished group is
+    remembered for ``keep_ms``.
     """
     use_keyed_state(job_events.sparkSession)
-    return _with_ms(job_events).groupBy("group_id").transformWithStateInPandas(
-        GroupProcessor(), outputStructType=_GROUP_OUT, outputMode="Append", timeMode="None")
+    return _with_ms(job_events.withWatermark("ts", late)).groupBy("group_id").transformWithStateInPandas(
+        GroupProcessor(keep_ms), outputStructType=_GROUP_OUT, outputMode="Append", timeMode="EventTime")
 
 
 _EXCHANGE_OUT = "session_id bigint, turn bigint, sequence bigint, user_message string, assistant_message string"
 
 
 def _pair_turns(key, frames, state: GroupState):
-    sequence, turn, text = state.get if state.exists else (0, -1, None)
+    sequence, following, text, held = state.get if state.exists else (0, 0, None, "{}")
+    waiting = {int(t): row for t, row in json.loads(held).items()}
+    for frame in frames:
+        waiting |= {int(r.turn): (r.role, r.text) for r in frame.itertuples(index=False) if r.turn >= following}
     out = []
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("turn")
-    for row in rows.itertuples(index=False):
-        if row.role == "user":
-            turn, text = int(row.turn), row.text
-        elif row.role == "assistant" and text is not None and row.turn == turn + 1:
-            sequence += 1
-            out.append((key[0], turn, sequence, text, row.text))
+    while following in waiting:
+        role, said = waiting.pop(following)
+        if role == "user":
+            text = said
+        else:
+            if role == "assistant" and text is not None:
+                sequence += 1
+                out.append((key[0], following - 1, sequence, text, said))
             text = None
-    state.update((sequence, turn, text))
+        following += 1
+    state.update((sequence, following, text, json.dumps(waiting)))
     yield pd.DataFrame(out, columns=["session_id", "turn", "sequence", "user_message", "assistant_message"])
 
 
 def exchange_stream(turns: DataFrame) -> DataFrame:
-    """Exchanges as turns arrive, numbered per session."""
+    """Exchanges as turns arrive, numbered per session.
+
+    Turns of a session count from 0 without gaps and may come in any order: a
+    turn waits in the state for those before it.  Turns carry no time, so a
+    session's state (its position and what waits) stays.
+    """
     return turns.groupBy("conv_id").applyInPandasWithState(
-        _pair_turns, _EXCHANGE_OUT, "sequence bigint, turn bigint, text string", "append",
+        _pair_turns, _EXCHANGE_OUT, "sequence bigint, following bigint, text string, held string", "append",
         GroupStateTimeout.NoTimeout)

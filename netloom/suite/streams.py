@@ -74,10 +74,11 @@ from events group by user_id, event_type, date_trunc('day', ts)
 """)
 def _(spark, sf):
     limited = feeds.rate_limit_stream(requests(stream(spark, sf, "events")), _points(), "1 day", "1 day")
-    return run_available(limited, "rates", "update").withColumn("window_start", stamp("window_start"))
+    return run_available(limited, "rates", "update", ("key", "mode", "window_start")).withColumn("window_start", stamp("window_start"))
 
 
 LEASE_TTL = 12 * 3_600_000
+STALL_LOCK = 3_600_000
 
 
 def lease_events(df):
@@ -85,41 +86,99 @@ def lease_events(df):
       case event_type when 'view' then 'heartbeat' when 'error' then 'release' else 'acquire' end as action""")
 
 
-@query("t04_lease_audit")
+# Live leases of an owner, carried event by event.
+_LEASES = f"""
+with recursive e as (
+  select event_id, user_id as owner_id, event_id % 7 as holder, epoch_us(ts) // 1000 as ms,
+    case event_type when 'view' then 'heartbeat' when 'error' then 'release' else 'acquire' end as action,
+    row_number() over (partition by user_id order by epoch_us(ts) // 1000, event_id) as n from events),
+walk as (
+  select owner_id, 0::bigint as n, []::struct(holder bigint, expiry bigint)[] as live,
+    null::bigint as event_id, null::bigint as holder, null::varchar as action, false as granted
+  from (select distinct owner_id from e)
+  union all
+  select owner_id, n, case
+      when action = 'acquire' and not present and granted or action = 'heartbeat' and present
+        then list_append([x for x in kept if x.holder <> holder], {{'holder': holder, 'expiry': ms + {LEASE_TTL}}})
+      when action = 'release' then [x for x in kept if x.holder <> holder] else kept end,
+    event_id, holder, action, granted
+  from (select *, case action when 'acquire' then present or len(kept) < 2 else present end as granted
+    from (select *, len([x for x in kept if x.holder = holder]) > 0 as present
+      from (select e.*, [x for x in w.live if x.expiry > e.ms] as kept
+        from walk w join e on e.owner_id = w.owner_id and e.n = w.n + 1))))
+select owner_id, event_id, holder, action, granted, len(live)::int as in_use from walk where n > 0
+"""
+
+
+@query("t04_lease_audit", _LEASES)
 def _(spark, sf):
     audited = stateful.lease_audit(lease_events(stream(spark, sf, "events")), 2, LEASE_TTL)
     return run_available(audited, "leases")
 
 
-@query("t04_lease_audit_batch")
+@query("t04_lease_audit_batch", _LEASES)
 def _(spark, sf):
     events = lease_events(view(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return stateful.lease_audit_batch(events, 2, LEASE_TTL)
 
 
-@query("t05_stalled_jobs_stream")
+# Deadline, stalls and activity of a job, carried event by event; at the end
+# the locks that the watermark has passed.
+_STALLS = check_sql(f"""
+with recursive e as (
+  select job_id, action, epoch_us(ts) // 1000 as ms, row_number() over (partition by job_id order by epoch_us(ts) // 1000, event_id) as n
+  from job_events),
+walk as (
+  select job_id, 0::bigint as n, 0::bigint as until, 0 as stalls, false as active, null::bigint as at_ms, 0 as at_stalls
+  from (select distinct job_id from e)
+  union all
+  select job_id, n, case when starts then ms + {STALL_LOCK} when action in ('completed', 'failed', 'queued') then ms + {stateful.KEEP_MS}
+      else until2 end, stalls3, starts or active2 and action not in ('completed', 'failed', 'queued'),
+    case when late then until end, stalls2
+  from (select *, action = 'active' or action = 'heartbeat' and active2 as starts,
+      case when not active2 and ms >= until2 then 0 else stalls2 end as stalls3
+    from (select *, active and not late as active2, case when late then until + {stateful.KEEP_MS} else until end as until2,
+        case when late then stalls + 1 else stalls end as stalls2
+      from (select e.*, w.until, w.stalls, w.active, w.active and e.ms >= w.until as late
+        from walk w join e on e.job_id = w.job_id and e.n = w.n + 1)))),
+found as (
+  select job_id, at_ms, at_stalls as stalls from walk where at_ms is not null
+  union all
+  select job_id, until, stalls + 1 from (select * from walk qualify row_number() over (partition by job_id order by n desc) = 1)
+  where active and until <= (select max(ms) from e) - 60000)
+select job_id, at_ms, case when stalls > 9 then 'failed' else 'requeued' end as outcome, stalls from found
+""", "job_events", recursive=True)
+
+
+@query("t05_stalled_jobs_stream", _STALLS)
 def _(spark, sf):
-    return run_available(stateful.stalled_jobs_stream(job_events(spark, sf), 3_600_000), "stalls")
-
-
-@query("t06_group_completion_stream", """
-with e as (select user_id as group_id, event_id, event_id // 4 as job_id, event_type, ts,
-  row_number() over (partition by user_id order by ts, event_id) as n from events)
-select group_id from e where n = 1 and event_type in ('purchase', 'error', 'view')
-""")
+    return run_available(stateful.stalled_jobs_stream(job_events(spark, sf), STALL_LOCK), "stalls")
+
+
+# Open jobs of a group after each event; it finishes where none is left.
+@query("t06_group_completion_stream", check_sql("""
+with e as (select owner_id as group_id, event_id, job_id, epoch_us(ts) // 1000 as ms,
+  case when action in ('queued', 'active') then 1 when action in ('completed', 'failed') then 0 end as state from job_events),
+p as (select *, coalesce(last_value(state ignore nulls) over (partition by group_id, job_id order by ms, event_id
+  rows between unbounded preceding and 1 preceding), 0) as was from e),
+d as (select *, case when state = 1 and was = 0 then 1 when state = 0 and was = 1 then -1 else 0 end as delta from p),
+o as (select *, sum(delta) over w as still_open, sum((delta = 1)::int) over w as jobs from d
+  window w as (partition by group_id order by ms, event_id rows unbounded preceding))
+select group_id, ms as finished_ms, jobs::int as jobs from o where still_open = 0
+qualify row_number() over (partition by group_id order by ms, event_id) = 1
+""", "job_events"))
 def _(spark, sf):
-    # Every event is followed by the end of the kickoff, so a group whose
-    # first event opens no job finishes at once; others may finish later.
+    # Every event is followed by the end of the kickoff: a group finishes at
+    # the first event that leaves no job open.
     events = job_events(spark, sf).withColumnRenamed("owner_id", "group_id")
     kickoff = events.select("group_id", (F.col("event_id") + (1 << 40)).alias("event_id"), "job_id",
                             F.lit("kickoff_done").alias("action"), "ts")
-    done = run_available(stateful.group_completion_stream(events.union(
-        kickoff.select(*events.columns))), "groups")
-    return done.where("jobs = 0").select("group_id")
+    both = events.union(kickoff.select(*events.columns))
+    return run_available(stateful.group_completion_stream(both), "groups")
 
 
 @query("t07_exchange_stream", check_sql(
-    "select session_id, id % 1000000 as turn, sequence, user_message, assistant_message from exchanges",
+    "select session_id, id % 4294967296 as turn, sequence, user_message, assistant_message from exchanges",
     "exchanges"))
 def _(spark, sf):
     return run_available(stateful.exchange_stream(stream(spark, sf, "conversations")), "exchanges")
@@ -166,5 +225,5 @@ def _(spark, sf):
 select owner_id, {duck_stamp('max(ts)')} as last_success from job_events where action = 'completed' group by owner_id
 """, "job_events"))
 def _(spark, sf):
-    latest = run_available(feeds.last_success(job_events(spark, sf)), "success", "update")
+    latest = run_available(feeds.last_success(job_events(spark, sf)), "success", "update", ("owner_id",))
     return latest.withColumn("last_success", stamp("last_success"))

@@ -50,3 +50,20 @@ def test_discovery_limit_and_depth(spark):
     assert full.count() == 12 and full.where("not captured").count() == 2
     assert discovery.crawl_corpus(pages, seeds, policy, max_discovery_depth=1).count() == 3
     assert discovery.crawl_corpus(pages, seeds, policy, limit=4).count() == 4
+
+
+def test_nested_sitemaps(spark):
+    first = ["http://h/0.xml"] + [f"http://h/{i}.xml" for i in range(1, 7)]
+    rows = [(u, f"<sitemapindex><sitemap><loc>{n}</loc></sitemap></sitemapindex>") for u, n in zip(first, first[1:])]
+    rows.append((first[-1], "<urlset><url><loc>http://h.com/end</loc></url></urlset>"))
+    maps = spark.createDataFrame(rows, "sitemap_url string, xml string")
+    roots = spark.createDataFrame([(1, first[0], 1001)], "crawl_id bigint, sitemap_url string, pos bigint")
+    assert [(r.url, r.level) for r in sitemaps.expand_sitemaps(maps, roots).collect()] == [("http://h.com/end", 6)]
+
+
+def test_limit_takes_links_in_page_order(spark):
+    html = "".join(f'<a href="/p{i}">x</a>' for i in range(5000))
+    pages = spark.createDataFrame([(1, "https://h.com/", html)], "page_id bigint, url string, html string")
+    seeds = spark.createDataFrame([(1, "https://h.com/")], "crawl_id bigint, url string")
+    found = discovery.crawl_corpus(pages, seeds, CrawlPolicy(allow_backward=True), limit=4501)
+    assert {r.url for r in found.collect()} == {"https://h.com/"} | {f"https://h.com/p{i}" for i in range(4500)}

@@ -79,3 +79,16 @@ def test_srcset(spark):
     df = spark.createDataFrame([("a 1x, b 3x, c 2x", "s"), ("a 100w, b 300w", "s"), ("a 0.5x", "s"), ("a", None)],
                                "srcset string, src string")
     assert [r[0] for r in df.select(P.biggest_srcset("srcset", "src")).collect()] == ["b", "b", "s", "a"]
+
+
+def test_frames_of_any_depth(spark):
+    from urllib.parse import quote
+
+    from netloom.operators.pages import data_iframe_links
+
+    page = '<a href="/deep6">x</a>'
+    for n in range(5, -1, -1):
+        page = f'<a href="/deep{n}">x</a><iframe src="data:text/html,{quote(page)}"></iframe>'
+    pages = spark.createDataFrame([(1, "https://h.com/", page)], "page_id bigint, url string, html string")
+    got = {r.link: r.frame_depth for r in data_iframe_links(pages).collect()}
+    assert got == {f"https://h.com/deep{n}": n for n in range(7)}

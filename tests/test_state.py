@@ -112,3 +112,64 @@ def test_stalls_requeue_then_fail(spark, tmp_path):
     got = [(r.job_id, r.stalls, r.outcome) for r in
            run_available(stateful.stalled_jobs_stream(stream), "stalls").orderBy("at_ms").collect()]
     assert got == [(1, n, "requeued" if n <= 9 else "failed") for n in range(1, 11)]
+
+
+def test_upsert_takes_one_row_per_key_and_an_epoch_once(spark, tmp_path):
+    from netloom.sources import tables
+
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), "id bigint, v string, n int")
+
+    def held():
+        return sorted((r.id, r.v) for r in tables.read_table(spark, path).collect())
+
+    path = str(tmp_path / "t")
+    tables.upsert_table(batch((1, "a", 1), (1, "b", 2), (2, "c", 1)), path, ["id"], version=0, order="n")
+    assert held() == [(1, "b"), (2, "c")]
+    tables.upsert_table(batch((2, "y", 1), (2, "x", 2), (3, "q", 2), (3, "p", 1)), path, ["id"], version=1, order="n")
+    assert held() == [(1, "b"), (2, "x"), (3, "q")]
+    tables.upsert_table(batch((1, "old", 1)), path, ["id"], version=0, order="n")
+    assert held() == [(1, "b"), (2, "x"), (3, "q")]
+    tables.upsert_table(batch((3, "z", 1), (4, "m", 2), (4, "l", 1)), path, ["id"], update=False, version=2, order="n")
+    assert held() == [(1, "b"), (2, "x"), (3, "q"), (4, "l")]
+
+
+def in_batches(spark, folder, frames, schema):
+    """A stream that reads one frame a micro-batch, in the given order."""
+    import os
+
+    for n, frame in enumerate(frames):
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        known = {f for f in os.listdir(folder) if f.startswith("part-")}
+        for name in known:
+            if not os.path.exists(f"{folder}/.seen-{name}"):
+                os.utime(f"{folder}/{name}", (1_700_000_000 + n * 100,) * 2)
+                open(f"{folder}/.seen-{name}", "w").close()
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_streams_do_not_depend_on_batching(spark, tmp_path):
+    from netloom.operators.sessions import TURNS, build_exchanges
+    from netloom.streaming import feeds
+    from netloom.streaming.runner import run_available
+
+    turns = spark.createDataFrame(
+        [(c, t, ("user", "assistant")[t % 2], f"{c}.{t}") for c in range(3) for t in range(6)],
+        "conv_id bigint, turn bigint, role string, text string")
+    whole = sorted((r.session_id, r.id % TURNS, r.sequence, r.user_message) for r in build_exchanges(turns).collect())
+    for name, order in (("up", range(6)), ("down", range(5, -1, -1))):
+        stream = in_batches(spark, str(tmp_path / name), [turns.where(F.col("turn") == t) for t in order], turns.schema)
+        got = run_available(stateful.exchange_stream(stream), "exchanges").collect()
+        assert sorted((r.session_id, r.turn, r.sequence, r.user_message) for r in got) == whole
+
+    _, df = leases(spark, 120)
+    parts = [df.where((F.col("event_id") >= i) & (F.col("event_id") < i + 40)) for i in (0, 40, 80)]
+    stream = in_batches(spark, str(tmp_path / "leases"), parts, df.schema)
+    streamed = run_available(stateful.lease_audit(stream, 2), "leases")
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, stateful.lease_audit_batch(df, 2).collect()))
+
+    done = df.select("owner_id", "ts", F.lit("completed").alias("action"))
+    parts = [done.where(F.col("ts") < "1970-01-01 00:20:00"), done.where(F.col("ts") >= "1970-01-01 00:20:00")]
+    stream = in_batches(spark, str(tmp_path / "done"), parts, done.schema)
+    latest = run_available(feeds.last_success(stream), "success", "update", ("owner_id",))
+    assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, done.groupBy("owner_id").agg(F.max("ts")).collect()))
