@@ -3,16 +3,21 @@
 Tokens are tags under their path of open elements, and whole texts between tags.
 A token's occurrence vector says how often each page of its host has it; tokens
 of one host with equal vectors form an equivalence class.  A class is valid if
-at least three different pages and half of the host's pages have it.  Valid
-classes are the template: a class is nested in the one whose tags enclose its
-own, and what lies between template tokens are the slots.  Slots under menus,
-headers, footers, side bars, notices, adverts, forms or comments, known by their
-elements' names, are left out; if the page has an article or main element only
-slots inside it count.  What remains is put together as blocks.
+at least three pages, not all alike, have it, and either half of the host's
+pages have it, or the class has tags and its pages share no long text (pages
+that do are copies of one article).  A class is judged by its own pages, so a
+host may have several page templates.  Texts of valid classes are the template's;
+what is left between them are the slots.  Slots under menus, headers, footers,
+side bars, notices, adverts, forms or comments, known by their elements' names,
+are left out; if the page has an article or main element only slots inside it
+count.  What remains is put together as blocks.
 
-Vectors are never gathered: they are compared by a 64-bit digest, the exclusive
-or of one hash for each page and count, which is aggregated before the shuffle,
-so a host may have any number of pages.
+Another method than the full one: classes are not nested or checked for order,
+and slots are not told apart by type; element names decide which count.
+
+Vectors are never gathered: they are compared by a digest, two sums of 31 bits
+of one hash for each page and count, which are aggregated before the shuffle,
+so a host may have any number of pages and repeated pages do not cancel.
 
 Cases: null or empty html gives an empty text; a null url is a host of its own;
 a host with fewer than three different pages has no template and its pages are
@@ -23,6 +28,7 @@ output column give way.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections.abc import Iterator
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 from netloom.llm.texts import as_bytes, free_name, lower_ascii, others
 from netloom.session import cut_lineage
 
-MIN_PAGES, MIN_SHARE, ARTICLE_SHARE = 3, 0.5, 0.8
+MIN_PAGES, MIN_SHARE, ARTICLE_SHARE, LONG_TEXTS = 3, 0.5, 0.8, 3
 BROADCAST_BYTES = 32 << 20
 
 _TOKEN = re.compile(
@@ -124,18 +130,26 @@ def walk(page: str) -> Iterator[tuple[str, str, str, int, bool, bool, bool]]:
 
 
 def _key(kind: str, path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{kind}\n{path}\n{text}") - (1 << 63)
+    """Digest of a token; the lowest bit is set for tags."""
+    return ((xxhash.xxh64_intdigest(f"{kind}\n{path}\n{text}") - (1 << 63)) & ~1) | (kind == "tag")
 
 
-def tokens_of(page: str) -> dict[int, int]:
-    """Token keys of a page with their counts."""
+def tokens_of(page: str) -> tuple[dict[int, int], int]:
+    """Token keys of a page with their counts, and a mask with one bit for each of its longest texts."""
     counts: dict[int, int] = {}
-    for kind, path, text, *_ in walk(page):
-        if kind == "text" and not (text := text.strip()):
-            continue
+    long: set[str] = set()
+    for kind, path, text, _, outside, *_ in walk(page):
+        if kind == "text":
+            if not (text := text.strip()):
+                continue
+            if not outside:
+                long.add(text)
         key = _key(kind, path, text)
         counts[key] = counts.get(key, 0) + 1
-    return counts
+    mask = 0
+    for text in heapq.nlargest(LONG_TEXTS, long, key=lambda t: (len(t), t)):
+        mask |= 1 << xxhash.xxh64_intdigest(text) % 63
+    return counts, mask
 
 
 def host_of(url) -> F.Column:
@@ -143,47 +157,54 @@ def host_of(url) -> F.Column:
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token of a batch: digest of the vector, pages, total count, least and greatest page digest."""
+    """Per host and token of a batch: digest of the vector, pages, least and greatest page digest, long texts shared."""
     for batch in batches:
         found: dict[tuple[int, int], list[int]] = {}
         for host, raw in zip(batch["host_key"].to_pylist(), as_bytes(batch["html"])):
             page = (raw or b"").decode("utf-8", "replace")
             whole = xxhash.xxh64_intdigest(raw or b"") - (1 << 63)
-            for token, count in [*tokens_of(page).items(), (0, 1)]:
-                mark = xxhash.xxh64_intdigest(b"%d %d" % (whole, count)) - (1 << 63)
+            counts, mask = tokens_of(page)
+            for token, count in [*counts.items(), (0, 1)]:
+                mark = xxhash.xxh64_intdigest(b"%d %d" % (whole, count))
                 known = found.get((host, token))
                 if known is None:
-                    found[host, token] = [mark, 1, whole, whole]
+                    found[host, token] = [mark >> 33, mark & 0x7FFFFFFF, 1, whole, whole, mask]
                 else:
-                    known[0] ^= mark
-                    known[1] += 1
-                    known[2], known[3] = min(known[2], whole), max(known[3], whole)
+                    known[0] += mark >> 33
+                    known[1] += mark & 0x7FFFFFFF
+                    known[2] += 1
+                    known[3], known[4] = min(known[3], whole), max(known[4], whole)
+                    known[5] &= mask
         rows = [(*k, *v) for k, v in found.items()]
-        columns = list(zip(*rows)) if rows else [()] * 6
+        columns = list(zip(*rows)) if rows else [()] * 8
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in columns],
-            names=["host_key", "token", "vector", "n_pages", "least", "greatest"])
+            names=["host_key", "token", "high", "low", "n_pages", "least", "greatest", "shared"])
 
 
 def deduce_templates(pages: DataFrame, url: str = "url", page_html: str = "html") -> DataFrame:
-    """Per host: host_key, n_pages and its template, an array of (token, class, n_pages)."""
+    """Per host: host_key, of_pages and its template, an array of the texts of valid classes (token, n_pages)."""
     keyed = pages.select(F.xxhash64(host_of(F.col(url))).alias("host_key"), F.col(page_html).alias("html"))
-    tokens = keyed.mapInArrow(_count_tokens, "host_key long, token long, vector long, n_pages long, least long, greatest long")
+    tokens = keyed.mapInArrow(_count_tokens, "host_key long, token long, high long, low long, n_pages long, "
+                              "least long, greatest long, shared long")
     counted = cut_lineage(tokens.groupBy("host_key", "token").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("n_pages").alias("n_pages"),
-        F.min("least").alias("least"), F.max("greatest").alias("greatest")).where(
+        F.sum("high").alias("high"), F.sum("low").alias("low"), F.sum("n_pages").alias("n_pages"),
+        F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.bit_and("shared").alias("shared")).where(
         (F.col("token") == 0) | ((F.col("n_pages") >= MIN_PAGES) & (F.col("least") < F.col("greatest")))))
     hosts = counted.where("token = 0").select("host_key", F.col("n_pages").alias("of_pages"))
-    frequent = counted.where("token <> 0").join(hosts, "host_key").where(
-        F.col("n_pages") >= F.col("of_pages") * MIN_SHARE)
-    # equal vectors are one class; the members of valid classes make the host's template
-    return frequent.groupBy("host_key").agg(
-        F.max("of_pages").alias("of_pages"),
-        F.collect_list(F.struct("token", "vector", "n_pages")).alias("template"))
+    # equal vectors are one class: they have their pages, and so n_pages and shared, in common
+    is_tag = F.col("token").bitwiseAND(F.lit(1)) == 1
+    tagged = counted.where(is_tag & (F.col("shared") == 0)).select(
+        "host_key", "high", "low", F.lit(True).alias("tagged")).distinct()
+    texts = counted.where(~is_tag & (F.col("token") != 0)).join(hosts, "host_key")
+    valid = texts.join(tagged, ["host_key", "high", "low"], "left").where(
+        (F.col("n_pages") >= F.col("of_pages") * MIN_SHARE) | F.col("tagged"))
+    return valid.groupBy("host_key").agg(
+        F.max("of_pages").alias("of_pages"), F.collect_list(F.struct("token", "n_pages")).alias("template"))
 
 
-def main_text(page: str, template: dict[int, tuple[int, float]]) -> str:
-    """Main text of a page; ``template`` has the class and share of pages of each template token."""
+def main_text(page: str, template: dict[int, float]) -> str:
+    """Main text of a page; ``template`` has the share of pages of each template text."""
     blocks: list[list] = []  # block, parts, characters in links, characters, inside
     for kind, path, text, block, outside, inside, link in walk(page):
         if kind == "tag":
@@ -194,7 +215,7 @@ def main_text(page: str, template: dict[int, tuple[int, float]]) -> str:
             continue
         bare = text.strip()
         known = template.get(_key("text", path, bare)) if bare and template else None
-        if known is not None and (not inside or known[1] >= ARTICLE_SHARE):
+        if known is not None and (not inside or known >= ARTICLE_SHARE):
             continue
         if not blocks or blocks[-1][0] != block:
             blocks.append([block, [], 0, 0, inside])
@@ -220,7 +241,7 @@ def _extract(pages: pa.Array, templates: pa.Array, sizes: pa.Array) -> pa.Array:
             key = (values.offset, len(values), values.field("token")[0].as_py() if len(values) else 0, size)
             known = seen.get(key)
             if known is None:
-                known = seen[key] = {t["token"]: (t["vector"], t["n_pages"] / size) for t in tokens.as_py()}
+                known = seen[key] = {t["token"]: t["n_pages"] / size for t in tokens.as_py()}
         texts.append(main_text((raw or b"").decode("utf-8", "replace"), known))
     return pa.StructArray.from_arrays(
         [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["text", "n_chars"])
@@ -229,7 +250,7 @@ def _extract(pages: pa.Array, templates: pa.Array, sizes: pa.Array) -> pa.Array:
 def extract_main_text(pages: DataFrame, url: str = "url", page_html: str = "html") -> DataFrame:
     """Adds text (main text, blocks joined by line breaks) and n_chars to every page."""
     templates = cut_lineage(deduce_templates(pages, url, page_html))
-    width = templates.agg(F.sum(F.size("template") * 24 + 48)).first()[0] or 0
+    width = templates.agg(F.sum(F.size("template") * 16 + 48)).first()[0] or 0
     host, tokens, size = (free_name(pages, n) for n in ("host_key", "template", "of_pages"))
     templates = templates.select(F.col("host_key").alias(host), F.col("template").alias(tokens), F.col("of_pages").alias(size))
     keyed = pages.withColumn(host, F.xxhash64(host_of(F.col(url))))

@@ -148,6 +148,23 @@ def test_template_text_is_left_out(spark):
     assert got[3] == "3 text that differs 3" and got[9] == "" and got[10].count("\n") == 2
 
 
+def test_template_of_one_kind_of_page_of_a_host(spark):
+    kind = "<html><body class={1}><div class={1}>Only on {1} pages</div><div>" + (
+        "<p>{0} text that differs {0}</p><p>Another text, that is {0}</p><p>The third text of page {0}</p></div></body></html>")
+    copy = ("<html><body class=post7><div class=post7>A long first paragraph of one article</div><p>Its second paragraph</p>"
+            "<i>Seen {0}</i></body></html>")
+    rows = [(i, "http://h.example/" + str(i), kind.format(i, "a" if i < 4 else "b")) for i in range(14)]
+    rows += [(20 + i, "http://h.example/c" + str(i), copy.format(i)) for i in range(3)]
+    # a page captured twice stands in its class twice and must not cancel out
+    rows += [(30, "http://h.example/30", rows[0][2])]
+    got = {r["page_id"]: r["text"] for r in html_main.extract_main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = "{0} text that differs {0}\nAnother text, that is {0}\nThe third text of page {0}".format
+    assert got[30] == own(0) and all(got[i] == own(i) for i in range(14))
+    # copies of one article are no template
+    assert got[21] == "A long first paragraph of one article\nIts second paragraph\nSeen 1"
+
+
 def test_language_query(spark, sf):
     got = queries.op4_language_id(spark, sf).collect()
     truth = {r[0]: r[2] for r in table(sf, "documents")}
