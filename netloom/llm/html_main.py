@@ -9,8 +9,8 @@ that do are copies of one article).  A class is judged by its own pages, so a
 host may have several page templates.  Texts of valid classes are the template's;
 what is left between them are the slots.  Slots under menus, headers, footers,
 side bars, notices, adverts, forms or comments, known by their elements' names,
-are left out; if the page has an article or main element only slots inside it
-count.  What remains is put together as blocks.
+are left out; if the page has an article or main element only what is inside it
+counts, and nothing there is left out for being frequent.  What remains is put together as blocks.
 
 Another method than the full one: classes are not nested or checked for order,
 and slots are not told apart by type; element names decide which count.
@@ -22,7 +22,8 @@ so a host may have any number of pages and repeated pages do not cancel.
 Cases: null or empty html gives an empty text; a null url is a host of its own;
 a host with fewer than three different pages has no template and its pages are
 judged by their elements' names alone; cut-off tags, comments and scripts end
-with the page; repeated pages keep their rows; input columns named like an
+with the page; a head left open ends with its elements; an SVG, select, object or
+the like left open is an element like others; repeated pages keep their rows; input columns named like an
 output column give way.
 """
 
@@ -41,18 +42,18 @@ from pyspark.sql import functions as F
 from netloom.llm.texts import as_bytes, free_name, lower_ascii, others
 from netloom.session import cut_lineage
 
-MIN_PAGES, MIN_SHARE, ARTICLE_SHARE, LONG_TEXTS = 3, 0.5, 0.8, 3
+MIN_PAGES, MIN_SHARE, LONG_TEXTS = 3, 0.5, 3
 BROADCAST_BYTES = 32 << 20
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD, _SPACE = re.compile(r"[a-z]+"), re.compile(r"\s+")
-# Elements without content, elements that end a block, and elements never part of the article.
+# Elements left out whole if they are closed, elements without content, elements that end a block, and elements never part of the article.
+SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in "noscript template svg math object select".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
@@ -82,7 +83,8 @@ def walk(page: str) -> Iterator[tuple[str, str, str, int, bool, bool, bool]]:
         path = paths[-1]
         _, outside, inside, link = stack[-1] if stack else ("", False, False, False)
 
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             yield "text", path, page[at:m.start()], block, outside, inside, link
         at = m.end()
@@ -101,6 +103,11 @@ def walk(page: str) -> Iterator[tuple[str, str, str, int, bool, bool, bool]]:
                 if stack[i][0] in MAIN and tag not in MAIN and tag != "body" and tag != "html":
                     break
             continue
+        if tag in SKIPPED and tag not in unclosed and not (tag in ("svg", "math") and (m[4] or "").endswith("/")):
+            if end := SKIPPED[tag].search(page, at):
+                at = end.end()
+                continue
+            unclosed.add(tag)
         if tag not in INLINE:
             block += 1
             # a block ends an open paragraph; list items, rows and cells end their like
@@ -116,7 +123,8 @@ def walk(page: str) -> Iterator[tuple[str, str, str, int, bool, bool, bool]]:
         attributes = m[4] or ""
         names = " ".join(_NAMES.findall(attributes)).lower() if attributes else ""
         yield "tag", f"{path}/{tag}", names, block, outside, inside, link
-        if tag in VOID or attributes.endswith("/"):
+        # a head may be left open; what is in it is known by its own elements
+        if tag in VOID or tag == "head" or attributes.endswith("/"):
             continue
         out = outside or tag in OUTSIDE or (tag == "header" and not inside)
         if not out and attributes and tag not in ("body", "html"):
@@ -183,7 +191,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def deduce_templates(pages: DataFrame, url: str = "url", page_html: str = "html") -> DataFrame:
-    """Per host: host_key, of_pages and its template, an array of the texts of valid classes (token, n_pages)."""
+    """Per host: host_key and its template, an array of the texts of valid classes."""
     keyed = pages.select(F.xxhash64(host_of(F.col(url))).alias("host_key"), F.col(page_html).alias("html"))
     tokens = keyed.mapInArrow(_count_tokens, "host_key long, token long, high long, low long, n_pages long, "
                               "least long, greatest long, shared long")
@@ -199,12 +207,11 @@ def deduce_templates(pages: DataFrame, url: str = "url", page_html: str = "html"
     texts = counted.where(~is_tag & (F.col("token") != 0)).join(hosts, "host_key")
     valid = texts.join(tagged, ["host_key", "high", "low"], "left").where(
         (F.col("n_pages") >= F.col("of_pages") * MIN_SHARE) | F.col("tagged"))
-    return valid.groupBy("host_key").agg(
-        F.max("of_pages").alias("of_pages"), F.collect_list(F.struct("token", "n_pages")).alias("template"))
+    return valid.groupBy("host_key").agg(F.collect_list("token").alias("template"))
 
 
-def main_text(page: str, template: dict[int, float]) -> str:
-    """Main text of a page; ``template`` has the share of pages of each template text."""
+def main_text(page: str, template: set[int] | dict) -> str:
+    """Main text of a page; ``template`` has the keys of the host's template texts."""
     blocks: list[list] = []  # block, parts, characters in links, characters, inside
     for kind, path, text, block, outside, inside, link in walk(page):
         if kind == "tag":
@@ -214,8 +221,7 @@ def main_text(page: str, template: dict[int, float]) -> str:
         if outside:
             continue
         bare = text.strip()
-        known = template.get(_key("text", path, bare)) if bare and template else None
-        if known is not None and (not inside or known >= ARTICLE_SHARE):
+        if bare and template and not inside and _key("text", path, bare) in template:
             continue
         if not blocks or blocks[-1][0] != block:
             blocks.append([block, [], 0, 0, inside])
@@ -232,16 +238,16 @@ def main_text(page: str, template: dict[int, float]) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _extract(pages: pa.Array, templates: pa.Array, sizes: pa.Array) -> pa.Array:
+def _extract(pages: pa.Array, templates: pa.Array) -> pa.Array:
     texts, seen = [], {}
-    for raw, tokens, size in zip(as_bytes(pages), templates, sizes.to_pylist()):
-        known = {}
+    for raw, tokens in zip(as_bytes(pages), templates):
+        known = set()
         if tokens.is_valid:
             values = tokens.values
-            key = (values.offset, len(values), values.field("token")[0].as_py() if len(values) else 0, size)
+            key = (values.offset, len(values), values[0].as_py() if len(values) else 0)
             known = seen.get(key)
             if known is None:
-                known = seen[key] = {t["token"]: t["n_pages"] / size for t in tokens.as_py()}
+                known = seen[key] = set(values.to_pylist())
         texts.append(main_text((raw or b"").decode("utf-8", "replace"), known))
     return pa.StructArray.from_arrays(
         [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["text", "n_chars"])
@@ -250,13 +256,13 @@ def _extract(pages: pa.Array, templates: pa.Array, sizes: pa.Array) -> pa.Array:
 def extract_main_text(pages: DataFrame, url: str = "url", page_html: str = "html") -> DataFrame:
     """Adds text (main text, blocks joined by line breaks) and n_chars to every page."""
     templates = cut_lineage(deduce_templates(pages, url, page_html))
-    width = templates.agg(F.sum(F.size("template") * 16 + 48)).first()[0] or 0
-    host, tokens, size = (free_name(pages, n) for n in ("host_key", "template", "of_pages"))
-    templates = templates.select(F.col("host_key").alias(host), F.col("template").alias(tokens), F.col("of_pages").alias(size))
+    width = templates.agg(F.sum(F.size("template") * 8 + 48)).first()[0] or 0
+    host, tokens = (free_name(pages, n) for n in ("host_key", "template"))
+    templates = templates.select(F.col("host_key").alias(host), F.col("template").alias(tokens))
     keyed = pages.withColumn(host, F.xxhash64(host_of(F.col(url))))
     joined = keyed.join(F.broadcast(templates) if width <= BROADCAST_BYTES else templates, host, "left")
     name = free_name(pages, "main_of_page")
     kept = others(pages, "text", "n_chars")
     run = F.arrow_udf(_extract, "text string, n_chars long")
-    made = joined.select(*kept, run(F.col(page_html), F.col(tokens), F.col(size)).alias(name))
+    made = joined.select(*kept, run(F.col(page_html), F.col(tokens)).alias(name))
     return made.select(*kept, F.col(name)["text"].alias("text"), F.col(name)["n_chars"].alias("n_chars"))

@@ -165,6 +165,19 @@ def test_template_of_one_kind_of_page_of_a_host(spark):
     assert got[21] == "A long first paragraph of one article\nIts second paragraph\nSeen 1"
 
 
+def test_article_text_is_kept(spark):
+    # near copies of an article are most of the host
+    page = "<html><body><nav>Menu</nav><article><h1>One title</h1><p>Shared paragraph</p><p>As of day {0}</p></article></body></html>"
+    rows = [(i, "http://h.example/" + str(i), page.format(i)) for i in range(5)]
+    got = html_main.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"One title\nShared paragraph\nAs of day {i}" for i in range(5)}
+    # end tags that may be left out, or are missing
+    head = "<html><head><meta charset=utf-8><title>T</title><script>'<div>'</script>{0}<article><p>Text</article>"
+    assert {html_main.main_text(head.format(x), set()) for x in ("<body>", "", "</head><body>")} == {"Text"}
+    for tag in ("select", "svg", "noscript", "object"):
+        assert html_main.main_text(f"<div><{tag}>gone</{tag}></div><{tag}><p>Text</p>", set()) == "Text"
+
+
 def test_language_query(spark, sf):
     got = queries.op4_language_id(spark, sf).collect()
     truth = {r[0]: r[2] for r in table(sf, "documents")}
