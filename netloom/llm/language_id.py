@@ -4,8 +4,9 @@ A text becomes counts of hashed byte n-grams (one to three bytes, lower case,
 everything but letters as a blank), damped, weighted by inverse document
 frequency and normalised.  Each language has up to ``CENTROIDS`` centroids from
 spherical k-means.  The nearest centroid by cosine gives the language, its
-cosine the score; a text further from it than ``REJECT`` times the distance
-cosine that hardly any training text of that centroid falls below is rejected.
+cosine the score.  A text is rejected if its cosine is below ``MARGIN`` times
+what 99% of the training texts of that centroid with about as many different
+n-grams reach when judged by a model that has not seen them.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, spread evenly over
 the languages and chosen by a hash of doc_id; prediction reads every whole text.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.texts import as_bytes, slices, with_fields
 
-DIMENSIONS, CENTROIDS, SAMPLE, REJECT = 2048, 4, 6000, 0.35
+DIMENSIONS, CENTROIDS, SAMPLE, MARGIN, BAND_ROWS = 4096, 4, 6000, 0.8, 50
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 # Bytes: A-Z lower-cased, letters and non-ASCII kept, the rest a blank.
@@ -47,7 +48,7 @@ def gram_counts(text: bytes) -> np.ndarray:
             code = b[:len(b) - size + 1].copy()
             for i in range(1, size):
                 code = code << np.uint32(8) | b[i:len(b) - size + 1 + i]
-            slots = ((code + np.uint32(size)) * np.uint32(2654435761)) >> np.uint32(21)
+            slots = ((code + np.uint32(size)) * np.uint32(2654435761)) >> np.uint32(20)
             counts += np.bincount(slots, minlength=DIMENSIONS)
     return counts
 
@@ -56,31 +57,52 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and _LETTER.search(text.decode("utf-8", "replace")) is not None
 
 
+def _centres(rows: np.ndarray, names: np.ndarray, centroids: int, seed: int) -> tuple[list[str], np.ndarray]:
+    """Spherical k-means of each language: languages and centres."""
+    languages, found = [], []
+    random = np.random.default_rng(seed)
+    for language in sorted(set(names)):
+        own = rows[names == language]
+        centres = own[random.choice(len(own), min(centroids, len(own)), replace=False)]
+        for _ in range(12):
+            nearest = (own @ centres.T).argmax(1)
+            sums = np.stack([own[nearest == k].sum(0) if (nearest == k).any() else centres[k]
+                             for k in range(len(centres))])
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        languages += [language] * len(centres)
+        found.append(centres)
+    return languages, np.concatenate(found).astype(np.float32) if found else np.zeros((0, DIMENSIONS), np.float32)
+
+
+def band_of(counts: np.ndarray) -> np.ndarray:
+    """Texts by the number of their different n-grams, doubling from band to band."""
+    return np.log2(np.maximum((counts > 0).sum(1), 1)).astype(np.int64)
+
+
 class Model:
-    """Inverse document frequencies and centroids with their language and bound."""
+    """Inverse document frequencies and centroids with their language and, for each band, their bound."""
 
     def __init__(self, counts: np.ndarray, languages: list[str], centroids: int = CENTROIDS, seed: int = 7):
-        self.languages: list[str] = []
-        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
-        rows, found, bounds = self.vectors(counts), [], []
-        random = np.random.default_rng(seed)
-        names = np.array(languages)
-        for language in sorted(set(languages)):
-            own = rows[names == language]
-            centres = own[random.choice(len(own), min(centroids, len(own)), replace=False)]
-            for _ in range(12):
-                nearest = (own @ centres.T).argmax(1)
-                sums = np.stack([own[nearest == k].sum(0) if (nearest == k).any() else centres[k]
-                                 for k in range(len(centres))])
-                centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-            cosine = own @ centres.T
-            for k in range(len(centres)):
-                mine = cosine[cosine.argmax(1) == k, k]
-                self.languages.append(language)
-                found.append(centres[k])
-                bounds.append(REJECT * (np.quantile(mine, 0.01) if len(mine) else 0.0))
-        self.centres = np.array(found, np.float32).reshape(-1, DIMENSIONS)
-        self.bounds = np.array(bounds)
+        self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
+        rows, names, bands = self.vectors(counts), np.array(languages), band_of(counts)
+        self.languages, self.centres = _centres(rows, names, centroids, seed)
+        fold, unseen = np.random.default_rng(seed).permutation(len(rows)) % 2, np.zeros(len(rows))
+        for k in (0, 1):
+            if (fold == k).any() and (fold != k).any():
+                unseen[fold == k] = (rows[fold == k] @ _centres(rows[fold != k], names[fold != k], centroids, seed)[1].T).max(1)
+        nearest = (rows @ self.centres.T).argmax(1) if len(rows) else np.zeros(0, np.int64)
+        self.bounds = np.zeros((len(self.languages), int(np.log2(DIMENSIONS)) + 1))
+        for centre in range(self.bounds.shape[0]):
+            for band in range(self.bounds.shape[1]):
+                self.bounds[centre, band] = MARGIN * self._reached(unseen, nearest == centre, np.abs(bands - band))
+
+    @staticmethod
+    def _reached(unseen: np.ndarray, mine: np.ndarray, gap: np.ndarray) -> float:
+        """Cosine that 99% reach: of one centroid's rows in the band, else of any rows in it or in bands ever further off."""
+        for chosen in (mine & (gap == 0), *(gap <= width for width in range(int(gap.max(initial=0)) + 1))):
+            if chosen.sum() >= BAND_ROWS:
+                break
+        return float(np.quantile(unseen[chosen], 0.01)) if chosen.any() else 0.0
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         rows = np.log1p(counts) * self.idf
@@ -90,7 +112,7 @@ class Model:
         cosine = self.vectors(counts) @ self.centres.T
         best = cosine.argmax(1)
         score = np.clip(cosine[np.arange(len(best)), best].astype(float), 0, 1)
-        return [self.languages[i] for i in best], score, score < self.bounds[best]
+        return [self.languages[i] for i in best], score, score < self.bounds[best, band_of(counts)]
 
 
 def held_out() -> Column:

@@ -186,6 +186,20 @@ def test_language_query(spark, sf):
     assert not any(r["rejected"] for r in got)
 
 
+def test_texts_far_from_every_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, r = language_id.fit(docs), random.Random(3)
+    polish = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem "
+              "i sumieniem i powinni postępować wobec innych w duchu braterstwa. ")
+    strange = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (200, 1000, 5000, 30000)]
+    strange += ["".join(chr(0x4E00 + r.randrange(2000)) for _ in range(4000)), polish, polish * 8,
+                "".join(r.choice("абвгдежзиклмнопрстуфхцчшщыэюя     ") for _ in range(4000))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    assert [x["rejected"] for x in language_id.predict_language(rows, model).collect()] == [True] * len(strange)
+    held = language_id.predict_language(docs.where(language_id.held_out()), model)
+    assert held.where("rejected").count() <= 0.01 * held.count()
+
+
 def test_language_without_letters_or_labels(docs, nothing):
     learned = docs.withColumn("lang", F.lit("en"))
     out = {r["doc_id"]: r for r in language_id.predict_language(learned, language_id.fit(learned)).collect()}
