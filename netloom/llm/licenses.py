@@ -2,7 +2,8 @@
 
 Canonical form: lower case; lines that state a copyright are left out; every
 character but letters and digits is dropped; equivalent spellings are unified.
-A text's units are the whole text and each of its lines; a unit is a licence
+A text's units are the whole text, without a title line before it, and each of
+its lines; a unit is a licence
 when its digest (SHA-256 of the canonical form) is that of a known text.  All
 work is DataFrame functions; the known table is a list given by the caller and
 Spark broadcasts it if it is small.
@@ -15,6 +16,9 @@ input columns named like an output column give way.
 
 from __future__ import annotations
 
+import json
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,7 @@ SPELLINGS = (
     ("favour", "favor"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"),
     ("merchantibility", "merchantability"), ("percent", "per cent"), ("https:", "http:"), ("&", "and"),
 )
-# Known licences and notices (id, text).
+# Known licences and notices (id, text); the whole texts of others are in ``TEXTS``.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -52,7 +56,14 @@ ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVE
 DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
 CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 )
-_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n©]*(copyright\b|©|\(c\))[^\n]*"
+TEXTS = "license_texts_v1.jsonl"
+# A line states a copyright if a mark, a year or a name follows the word; these words go on in a sentence.
+_PROSE = (r"(?:owners?|holders?|notices?|laws?|licenses?|statements?|interests?|treat(?:y|ies)|disclaimers?|permissions?|"
+          r"protection|and|or|in|of|to|is|are|on|for|that|which|as|if|the (?:software|library|program|work|document))\b")
+_COPYRIGHT = (r"(^|\n)[^\p{L}\p{N}\n©]*(?:©|\(c\)[ \t]*(?:copyright\b|[0-9]{4})|copyright\b[ \t:]*(?:©|\(c\)|"
+              r"(?![^\p{L}\p{N}\n]*" + _PROSE + r")[^\n]*[\p{L}\p{N}])|all rights reserved[^\p{L}\p{N}\n]*(?=\n|$))[^\n]*")
+_TITLE = (r"^\n*(?:(?:the)?(?:mit|isc|(?:new|revised|modified|simplified)?bsd(?:[234]clause)?|[234]clausebsd|apache)"
+          r"(?:open source|opensource)?license(?:mit|isc|bsd[234]clause|apache20)?)(?=\n)")
 
 
 def canonical(text) -> Column:
@@ -64,11 +75,23 @@ def canonical(text) -> Column:
     return F.regexp_replace(F.regexp_replace(out, _COPYRIGHT, "\n"), r"[^\p{L}\p{N}\n]+", "")
 
 
-def known_table(spark, known=KNOWN) -> DataFrame:
-    """license_id and digest of each known text, read as one unit."""
+def whole_texts() -> list[tuple[str, str]]:
+    """(id, text) of the versioned table of licence texts that comes with the package."""
+    lines = resources.files("netloom.llm").joinpath(TEXTS).read_text("utf-8").splitlines()
+    return [(x["license_id"], x["text"]) for x in map(json.loads, lines)]
+
+
+def _whole(canon) -> Column:
+    """The text as one unit; a spelling of two words may have had a line break in it."""
+    joined = F.replace(F.regexp_replace(canon, _TITLE, ""), F.lit("\n"), F.lit(""))
+    return F.replace(joined, F.lit("copyrightholder"), F.lit("copyrightowner"))
+
+
+def known_table(spark, known=None) -> DataFrame:
+    """license_id and digest of each known text, read as one unit; by default of all that come with the package."""
+    known = [*KNOWN, *whole_texts()] if known is None else known
     rows = spark.createDataFrame(list(known), "license_id string, text string")
-    whole = F.replace(canonical(F.col("text")), F.lit("\n"), F.lit(""))
-    return (rows.select("license_id", whole.alias("unit")).where("unit <> ''")
+    return (rows.select("license_id", _whole(canonical(F.col("text"))).alias("unit")).where("unit <> ''")
             .groupBy(F.sha2("unit", 256).alias("digest")).agg(F.min("license_id").alias("license_id")))
 
 
@@ -78,8 +101,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> Data
     row, units = free_name(docs, "row"), free_name(docs, "units")
     keep = others(docs, *out, text)
     numbered = docs.select("*", F.monotonically_increasing_id().alias(row))
-    lines = F.split(canonical(F.col(text)), "\n")
-    whole = F.struct(F.lit(True).alias("whole"), F.array_join(lines, "").alias("unit"))
+    canon = canonical(F.col(text))
+    lines = F.split(canon, "\n")
+    whole = F.struct(F.lit(True).alias("whole"), _whole(canon).alias("unit"))
     cut = numbered.select(*keep, row, F.concat(F.array(whole), F.transform(
         lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))).alias(units))
     unit = F.col(units)

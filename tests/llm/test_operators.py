@@ -247,6 +247,31 @@ def test_licenses(spark, docs):
         (4, "CC-BY-NC-4.0", "CC-BY-NC-4.0", 1), (5, "None", "", 0)]
 
 
+def test_whole_licenses_in_any_wrapping(spark):
+    import textwrap
+
+    def wrapped(text, width):
+        parts = re.split(r"\n\s*\n", text)
+        return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in parts)
+
+    def found(rows):
+        scanned = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_table(spark))
+        return {r["doc_id"]: r["license_id"] for r in scanned.collect()}
+
+    texts = licenses.whole_texts()
+    assert len(texts) == 16
+    assert found([(i, t) for i, (_, t) in enumerate(texts)]) == dict(enumerate(x for x, _ in texts))
+    short = {"MIT": licenses.KNOWN[5][1], "ISC": licenses.KNOWN[6][1]} | {k: t for k, t in texts if k in ("BSD-2-Clause", "BSD-3-Clause")}
+    rows, expect = [], []
+    for name, text in short.items():
+        for width in range(20, 120):
+            title = {"MIT": "MIT License", "ISC": "ISC License"}.get(name, name.replace("-", " ") + " License")
+            rows.append((len(rows), f"{title}\n\nCopyright (c) 2024, Some Author\nAll rights reserved.\n\n{wrapped(text, width)}\n"))
+            expect.append(name)
+    rows.append((len(rows), "Copyright Some Author\n" + short["MIT"] + " and one clause more"))
+    assert found(rows) == dict(enumerate([*expect, None]))
+
+
 def test_bpe_columns(spark, docs):
     t = queries.tokenizer(spark)
     out = bpe.decode_ids(bpe.encode_texts(docs, t), t).collect()
