@@ -21,6 +21,7 @@ judged alike; input columns named like an output column give way.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,7 +90,8 @@ class Model:
         fold, unseen = np.random.default_rng(seed).permutation(len(rows)) % 2, np.zeros(len(rows))
         for k in (0, 1):
             if (fold == k).any() and (fold != k).any():
-                unseen[fold == k] = (rows[fold == k] @ _centres(rows[fold != k], names[fold != k], centroids, seed)[1].T).max(1)
+                other = _centres(rows[fold != k], names[fold != k], centroids, seed)[1]
+                unseen[fold == k] = (rows @ other.T).max(1)[fold == k]
         nearest = (rows @ self.centres.T).argmax(1) if len(rows) else np.zeros(0, np.int64)
         self.bounds = np.zeros((len(self.languages), int(np.log2(DIMENSIONS)) + 1))
         for centre in range(self.bounds.shape[0]):
@@ -105,8 +107,10 @@ class Model:
         return float(np.quantile(unseen[chosen], 0.01)) if chosen.any() else 0.0
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        rows = np.log1p(counts) * self.idf
-        return (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        rows = np.log1p(counts, dtype=np.float32)
+        rows *= self.idf
+        rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+        return rows
 
     def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         cosine = self.vectors(counts) @ self.centres.T
@@ -136,14 +140,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
         for batch in batches:
             rows = [(gram_counts(t), k) for t, k in zip(as_bytes(batch["text"]), batch["lang"].to_pylist()) if has_letter(t)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c, _ in rows], pa.binary()),
+                [pa.array([zlib.compress(np.minimum(c, 65535).astype("<u2").tobytes(), 1) for c, _ in rows], pa.binary()),
                  pa.array([k for _, k in rows], pa.string())], names=["counts", "lang"])
 
     table = chosen.mapInArrow(count, "counts binary, lang string").toArrow()
     if not len(table):
         return None
-    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u2").reshape(-1, DIMENSIONS)
-    return Model(counts.astype(np.float32), table["lang"].to_pylist())
+    counts = np.empty((len(table), DIMENSIONS), "<u2")
+    for i, packed in enumerate(table["counts"]):
+        counts[i] = np.frombuffer(zlib.decompress(packed.as_py()), "<u2")
+    return Model(counts, table["lang"].to_pylist())
 
 
 def predict_language(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
