@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from netloom.llm import bpe, decontaminate, exact_dedup, html_main, language_id, licenses, simhash, suffix_dedup
-from netloom.llm import toxicity, url_filter
-from netloom.llm.texts import documents, pages
+from netloom.llm import toxicity, turn_repair, url_filter
+from netloom.llm.texts import conversations, documents, pages
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CATEGORIES = ["quality", "toxic"]
@@ -71,9 +71,14 @@ def op10_decontamination(spark, sf_dir):
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_turn_repair(spark, sf_dir):
+    turns = conversations(spark, sf_dir)
+    return turn_repair.repair(turns, turn_repair.damage(turns))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_html_extraction, op3_exact_dedup, op4_language_id, op5_url_filters, op6_toxicity,
-    op7_simhash, op8_license_scans, op9_byte_bpe, op10_decontamination)}
+    op7_simhash, op8_license_scans, op9_byte_bpe, op10_decontamination, op11_turn_repair)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 _WORDS = lambda t: f"regexp_extract_all({_LOWER(t)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -91,7 +96,69 @@ def _canonical(text: str) -> str:
 
 _KNOWN = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
 
+# Unsigned CRC-32 of an ASCII string, by the usual table of 256 entries in column ``t``.
+_CRC_TABLE = """select list(v order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) r(i))"""
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split({}, ''), lambda x: cast(ord(x) as bigint)),
+  lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)""".format
+_ROLE = "case when {} % 2 = 0 then 'user' else 'assistant' end".format
+
+
+def _more(state: str, cost: str, letter: str) -> str:
+    """A state of the repair's table, cost and audit as one string, one edit further."""
+    return f"lpad(cast(cast({state}[1:8] as bigint) + {cost} as varchar), 8, '0') || {state}[9:] || '{letter}'"
+
+
+def _takes(role: str, *states: str) -> str:
+    """Keeping a row of this role, or giving it the role."""
+    initial = f"w.initial = '{role}'"
+    kept = [f"case when not gone and {initial} then {_more(s, 'late', 'K')} end" for s in states]
+    given = [f"case when not gone then {_more(s, '2 + late', 'R')} end" for s in states if role != "s"]
+    return ", ".join(kept + given)
+
+
 CHECKS = {
+    "op11_turn_repair": rf"""
+with recursive crc as ({_CRC_TABLE}),
+d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        {_CRC("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as k
+      from conversations, crc),
+e as (select conv_id, turn, case when k = 4 then 'user' else role end as role,
+        case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(case when k = 3 then [0, 1] else [0] end) as copy
+      from d where k <> 0),
+f as (select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body, left(role, 1) as initial,
+        row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from e),
+g as (select *, body = '' as blank, lag(initial) over (partition by conv_id order by i) || initial as two,
+        row_number() over (partition by conv_id, role, text order by i) > 1 as again from f),
+w as (select *, blank or again as gone, not (blank or again) and right(body, 1) not in ('.', '!', '?') as cut,
+        cast(not (blank or again) and right(body, 1) not in ('.', '!', '?') as bigint) as late from g),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+             count(*) filter (where blank) as blank, count(*) filter (where again and not blank) as duplicate,
+             count(*) filter (where cut) as truncated, max(i) as n,
+             count(*) filter (where two is not null and two not in ('su', 'ua', 'au')) as illegal from w group by conv_id),
+raw as (select conv_id, cast(0 as bigint) as i, '00000000' as s0, cast(null as varchar) as s1,
+          {_more("'00000000'", "2", "I")} as s2, {_more("'00000000'", "4", "II")} as s3 from counts
+        union all
+        select conv_id, i, n0, n1, least(n2, {_more("n0", "2", "I")}, {_more("n1", "2", "I")}, {_more("n3", "2", "I")}),
+          least(n3, {_more("n2", "2", "I")}, {_more("n0", "4", "II")}, {_more("n1", "4", "II")}) from (
+          select raw.conv_id, w.i, {_more("s0", "3", "D")} as n0, least({_more("s1", "3", "D")}, {_takes("s", "s0")}) as n1,
+            least({_more("s2", "3", "D")}, {_takes("u", "s0", "s1", "s3")}) as n2,
+            least({_more("s3", "3", "D")}, {_takes("a", "s2")}) as n3
+          from raw join w on raw.conv_id is not distinct from w.conv_id and w.i = raw.i + 1)),
+best as (select conv_id, least(s0, s3) as s from raw join counts using (conv_id) where raw.i = counts.n),
+letters as (select conv_id, s[9:] as audit, unnest(range(9, length(s) + 1)) as z, s[z] as edit from best),
+placed as (select *, sum(cast(edit <> 'I' as int)) over (partition by conv_id order by z) as i,
+             sum(cast(edit <> 'D' as int)) over (partition by conv_id order by z) - 1 as place,
+             sum(cast(edit <> 'D' as int)) over (partition by conv_id) as n from letters),
+hashed as (select p.conv_id, sha256(string_agg(case edit when 'K' then role else {_ROLE("(place + n)")} end || ':' ||
+             case edit when 'I' then '' else text end, chr(10) order by z)) as h
+           from placed p join w on p.conv_id = w.conv_id and greatest(p.i, 1) = w.i where edit <> 'D' group by p.conv_id),
+ids as (select distinct conv_id from conversations)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cast(s[1:8] as bigint), 0) as cost,
+  coalesce(s[9:], '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from ids left join counts using (conv_id) left join best using (conv_id) left join hashed using (conv_id)""",
     "op3_exact_dedup": r"""
 with d as (select doc_id, length(coalesce(text, '')) as n,
              regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as t from documents)

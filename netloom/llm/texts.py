@@ -75,3 +75,7 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 def pages(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def conversations(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
