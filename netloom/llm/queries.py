@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, decontaminate, exact_dedup, html_main, language_id, licenses, simhash, suffix_dedup
-from netloom.llm import toxicity, turn_repair, url_filter
+from netloom.llm import bpe, decontaminate, exact_dedup, html_main, language_id, licenses, minhash, prefix_trie, simhash
+from netloom.llm import suffix_dedup, toxicity, turn_repair, url_filter
 from netloom.llm.texts import conversations, documents, pages
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -76,9 +76,17 @@ def op11_turn_repair(spark, sf_dir):
     return turn_repair.repair(turns, turn_repair.damage(turns))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(conversations(spark, sf_dir))
+
+
+def op13_minhash(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_html_extraction, op3_exact_dedup, op4_language_id, op5_url_filters, op6_toxicity,
-    op7_simhash, op8_license_scans, op9_byte_bpe, op10_decontamination, op11_turn_repair)}
+    op7_simhash, op8_license_scans, op9_byte_bpe, op10_decontamination, op11_turn_repair, op12_prefix_trie, op13_minhash)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 _WORDS = lambda t: f"regexp_extract_all({_LOWER(t)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -118,6 +126,27 @@ def _takes(role: str, *states: str) -> str:
 
 
 CHECKS = {
+    "op12_prefix_trie": rf"""
+with crc as ({_CRC_TABLE}),
+o as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x,
+        row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as p from conversations),
+convs as (select c, count(*) as n, c - c % 5 as s from o group by c),
+heads as (select c, n, s, {_CRC("cast(c as varchar)")} % 9 as h from convs, crc),
+plan as (select a.c, a.h, a.s, least(a.h, coalesce(b.n, 0)) as taken from heads a left join convs b on b.c = a.s),
+seq as (select plan.c, p + 1 as d, r, x from plan join o on o.c = s and p < h
+        union all select plan.c, taken + p - h + 1, r, x from plan join o on o.c = plan.c and p >= h),
+lists as (select plan.c, coalesce(list({{'r': r, 'x': x}} order by d) filter (where d is not null), []) as l
+          from plan left join seq using (c) group by plan.c),
+members as (select c, d, list_slice(l, 1, d) as k, len(l) = d as ends from (select c, l, unnest(range(0, len(l) + 1)) as d from lists)),
+nodes as (select d, k, min(c) as node, count(*) as n, coalesce(strlen(k[d].x), 0) as b,
+            sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where ends), '')) as e from members group by d, k),
+kids as (select d - 1 as d, list_slice(k, 1, d - 1) as k, count(*) as n from nodes where d > 0 group by 1, 2),
+own as (select nodes.*, coalesce(kids.n, 0) as kids from nodes left join kids on nodes.d = kids.d and nodes.k = kids.k),
+sums as (select u as d, list_slice(k, 1, u) as k, count(*) filter (where kids = 0) as leaves, sum((n - 1) * b) as saved
+         from (select *, unnest(range(0, d + 1)) as u from own) group by 1, 2)
+select own.node as conv_id, own.d as depth, up.node as parent_conv_id, own.n as n_convs, own.kids as n_children,
+  leaves as n_leaves, cast(saved as bigint) as saved_tokens, own.e as ends_sha256
+from own join sums on own.d = sums.d and own.k = sums.k left join nodes up on up.d = own.d - 1 and up.k = list_slice(own.k, 1, own.d - 1)""",
     "op11_turn_repair": rf"""
 with recursive crc as ({_CRC_TABLE}),
 d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,

@@ -69,6 +69,33 @@ def records(names: list[str], types: list[pa.DataType], columns) -> pa.StructArr
         [pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+def frame(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def streamed(batches: Iterator[pa.RecordBatch], key: int, open_group, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Feeds sorted rows to one open group at a time; the ``key`` leading columns name the group.
+
+    A group's ``feed`` may give out a row at any time, its ``row`` gives the last
+    one, or none; so no group is held as a whole.
+    """
+    group, done = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if group is None or group.key != row[:key]:
+                if group is not None:
+                    done.append(group.row())
+                group = open_group(row[:key])
+            done.append(group.feed(*row[key:]))
+            if len(done) >= 4096:
+                yield frame([r for r in done if r is not None], schema)
+                done = []
+    if group is not None:
+        done.append(group.row())
+    yield frame([r for r in done if r is not None], schema)
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

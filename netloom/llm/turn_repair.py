@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.texts import SPACES
+from netloom.llm.texts import SPACES, frame, streamed
 from netloom.session import write_table
 
 SPAN = 256
@@ -50,7 +50,6 @@ INSERT, REROLE, DELETE, TRUNCATED = 2, 2, 3, 1
 ROLES = {"s": "system", "u": "user", "a": "assistant"}
 START, OPENED, ASKED, ANSWERED = range(4)
 _NEVER = 1 << 28
-# What may follow each state in the legal order.
 _EMPTY = hashlib.sha256(b"").hexdigest()
 VERDICT = ("conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string")
 
@@ -204,7 +203,6 @@ def _legal(a: str, b: str) -> bool:
 
 _SPAN_ROW = ("conv_id long, span long, blank long, duplicate long, truncated long, illegal long, first string, "
              "last string, low long, high long, turns long, costs array<long>, audits array<string>")
-_PARTS = [_SPAN_ROW, VERDICT]
 
 
 class _Span:
@@ -252,29 +250,6 @@ class _Span:
                 self.high, self.turns, [c and c[0] for c in flat], [c and c[1] for c in flat])
 
 
-def _frame(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
-def _streamed(batches: Iterator[pa.RecordBatch], key: int, open_group, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Feeds sorted rows to one open group at a time; ``key`` leading columns name the group."""
-    group, done = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if group is None or group.key != row[:key]:
-                if group is not None:
-                    done.append(group.row())
-                group = open_group(row[:key])
-            group.feed(*row[key:])
-            if len(done) >= 4096:
-                yield _frame(done, schema)
-                done = []
-    if group is not None:
-        done.append(group.row())
-    yield _frame(done, schema)
-
-
 _SPAN_SCHEMA = pa.schema([
     ("conv_id", pa.int64()), ("span", pa.int64()), *((c, pa.int64()) for c in ("blank", "duplicate", "truncated", "illegal")),
     ("first", pa.string()), ("last", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("turns", pa.int64()),
@@ -327,9 +302,9 @@ def judge_turns(turns: DataFrame) -> DataFrame:
     fed = flagged.select("conv_id", span.alias("span"), "turn", "same", "initial", "blank", "open_end", "later")
     order = [F.col("conv_id"), F.col("span"), F.col("turn").asc_nulls_first(), F.col("same")]
     spans = fed.repartition("conv_id", "span").sortWithinPartitions(*order).mapInArrow(
-        lambda batches: _streamed(batches, 2, _Span, _SPAN_SCHEMA), _SPAN_ROW)
+        lambda batches: streamed(batches, 2, _Span, _SPAN_SCHEMA), _SPAN_ROW)
     return spans.repartition("conv_id").sortWithinPartitions("conv_id", "span").mapInArrow(
-        lambda batches: _streamed(batches, 1, _Conversation, _VERDICT_SCHEMA), VERDICT)
+        lambda batches: streamed(batches, 1, _Conversation, _VERDICT_SCHEMA), VERDICT)
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +330,9 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     place += 1
             insert()
             if len(out) >= 4096:
-                yield _frame(out, schema)
+                yield frame(out, schema)
                 out.clear()
-    yield _frame(out, schema)
+    yield frame(out, schema)
 
 
 def repaired_turns(turns: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -388,7 +363,7 @@ def digests(repaired: DataFrame) -> DataFrame:
     """SHA-256 of each conversation's ``role:text`` lines; takes ``repaired_turns`` as it comes, row by row."""
     schema = pa.schema([("conv_id", pa.int64()), ("repaired_sha256", pa.string())])
     return repaired.select("conv_id", "role", "text").mapInArrow(
-        lambda batches: _streamed(batches, 1, _Digest, schema), "conv_id long, repaired_sha256 string")
+        lambda batches: streamed(batches, 1, _Digest, schema), "conv_id long, repaired_sha256 string")
 
 
 def repair(conversations: DataFrame, turns: DataFrame) -> DataFrame:
