@@ -8,10 +8,11 @@ that same pair.  The stored last tokens give the encoding by walking back, let a
 piece be extended without redoing its start, and after an edit let encoding
 resume at the edited piece.
 
-A text is first cut into pieces by the vocabulary's pattern.  Pieces never
-reach over a lone blank or line break, so texts in which all white space is of
-that kind are cut into words and looked up in a bounded store of words already
-encoded; any other text is cut by the pattern as it is.
+A text is first cut into pieces by the vocabulary's pattern.  If, as tried when
+the pattern is given, pieces never reach over a lone blank or line break, texts
+in which all white space is of that kind are cut into words and looked up in a
+bounded store of words already encoded; any other text, and every text under
+another pattern, is cut by the pattern as it is.
 
 Cases: a null or empty text has no tokens; invalid UTF-8 is encoded byte by byte
 after the usual replacement; very long pieces cost time in proportion to their
@@ -33,10 +34,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.texts import as_bytes, slices, with_fields
+from netloom.llm.texts import as_bytes, give_back, slices, with_fields
 
-WORD_STORE = 200_000  # words kept while a task runs
-SHARE = 1_000_000  # characters of texts encoded at a time
+WORD_STORE = 100_000  # words kept while a task runs
+SHARE = 500_000  # characters of texts encoded at a time
 SHORT = 48  # pieces up to so many bytes are encoded many at a time
 NO_TOKEN = -1
 
@@ -69,6 +70,10 @@ class Table:
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
 
+    def views(self) -> tuple[memoryview, memoryview, int, int]:
+        """Keys, values, shift and mask, for lookups of one key at a time."""
+        return memoryview(self.keys), memoryview(self.values), self.shift, self.size - 1
+
     def get(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slots(keys)
         found, out = self.keys[slot], self.values[slot]
@@ -83,46 +88,50 @@ class Table:
         return out
 
 
+def find_one(views: tuple[memoryview, memoryview, int, int], key: int) -> int:
+    """The value of one key, or NO_TOKEN."""
+    keys, values, shift, mask = views
+    slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> shift
+    while keys[slot] != key:
+        if keys[slot] == -1:
+            return NO_TOKEN
+        slot = slot + 1 & mask
+    return values[slot]
+
+
 class Vocabulary:
-    """Ranks with, for each token, the pair it was merged from."""
+    """Ranks with, for each token, the pair it was merged from; tables are arrays, so a worker holds little."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
-        self.tokens = [b""] * (max(ranks.values()) + 1)
+        size = max(ranks.values()) + 1
+        tokens = [b""] * size
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.left, self.right = np.arange(size), np.arange(size)
+        pairs = {}
         for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.left, self.right, self.pairs = {}, {}, {}
-        self._valid: dict[int, bool] = {}
-        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             parts = self._parts(token, rank)
             if len(token) > 1 and len(parts) == 2:
                 a, b = ranks[parts[0]], ranks[parts[1]]
-                self.left[rank], self.right[rank], self.pairs[a, b] = a, b, rank
-            else:
-                self.left[rank] = self.right[rank] = rank
+                self.left[rank], self.right[rank], pairs[a << 32 | b] = a, b, rank
         # tokens that no sequence of merges reaches; only a piece equal to one is encoded by it
         self.unreachable = {t for t, r in ranks.items() if len(t) > 1 and self.left[r] == r}
         # tokens by their bytes from the last one on: (node, byte) -> node, and the token of a node
-        self.back, self.at = {}, [NO_TOKEN]
+        back, at = {}, [NO_TOKEN]
         for token, rank in ranks.items():
             node = 0
             for byte in reversed(token):
                 step = node << 8 | byte
-                if step not in self.back:
-                    self.back[step] = len(self.at)
-                    self.at.append(NO_TOKEN)
-                node = self.back[step]
+                if step not in back:
+                    back[step] = len(at)
+                    at.append(NO_TOKEN)
+                node = back[step]
             if token not in self.unreachable:
-                self.at[node] = rank
-
-        size = len(self.tokens)
-        self.many_back = Table(self.back)
-        self.many_pairs = Table({a << 32 | b: r for (a, b), r in self.pairs.items()})
-        self.many_at = np.array(self.at, np.int32)
-        self.many_left = np.array([self.left.get(r, r) for r in range(size)], np.int64)
-        self.many_right = np.array([self.right.get(r, r) for r in range(size)], np.int64)
-        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
-        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
+                at[node] = rank
+        self.back, self.pairs, self.at = Table(back), Table(pairs), np.array(at, np.int32)
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def _parts(self, token: bytes, rank: int) -> list[bytes]:
@@ -143,37 +152,30 @@ class Vocabulary:
         Undoes the merges of the two tokens from the latest one on; the pair is
         invalid once two parts on both sides of the cut could have merged earlier.
         """
-        key, bound, answer = a << 32 | b, len(self.tokens), None
-        known = self._valid.get(key)
-        if known is not None:
-            return known
-        while answer is None:
-            merged = self.pairs.get((a, b))
-            if merged is not None and merged < bound:
-                answer = False
-            elif a > b and self.right[a] != a:
-                bound, a = a, self.right[a]
-            elif self.left[b] != b:
-                bound, b = b + 1, self.left[b]
-            elif self.right[a] != a:
-                bound, a = a, self.right[a]
+        pairs, lefts, rights = self.pairs.views(), memoryview(self.left), memoryview(self.right)
+        bound = len(self.sizes)
+        while True:
+            merged = find_one(pairs, a << 32 | b)
+            if merged != NO_TOKEN and merged < bound:
+                return False
+            if a > b and rights[a] != a:
+                bound, a = a, rights[a]
+            elif lefts[b] != b:
+                bound, b = b + 1, lefts[b]
+            elif rights[a] != a:
+                bound, a = a, rights[a]
             else:
-                answer = True
-        if len(self._valid) > 2_000_000:
-            self._valid.clear()
-        self._valid[key] = answer
-        return answer
-
+                return True
 
     def valid_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``valid`` for arrays of pairs."""
         a, b = a.astype(np.int64), b.astype(np.int64)
-        answer, bound, at = np.zeros(len(a), bool), np.full(len(a), len(self.tokens)), np.arange(len(a))
+        answer, bound, at = np.zeros(len(a), bool), np.full(len(a), len(self.sizes)), np.arange(len(a))
         while len(at):
-            merged = self.many_pairs.get(a << 32 | b)
+            merged = self.pairs.get(a << 32 | b)
             on = (merged == NO_TOKEN) | (merged >= bound)
             a, b, bound, at = a[on], b[on], bound[on], at[on]
-            right, left = self.many_right[a], self.many_left[b]
+            right, left = self.right[a], self.left[b]
             undo_a = ((a > b) | (left == b)) & (right != a)
             undo_b = ~undo_a & (left != b)
             done = ~undo_a & ~undo_b
@@ -196,10 +198,10 @@ class Vocabulary:
             rows = np.arange(np.searchsorted(sizes, end), len(pieces))
             node = np.zeros(len(rows), np.int64)
             for begin in range(end - 1, -1, -1):
-                node = self.many_back.get(node << 8 | text[rows, begin]).astype(np.int64)
+                node = self.back.get(node << 8 | text[rows, begin]).astype(np.int64)
                 on = node != NO_TOKEN
                 rows, node = rows[on], node[on]
-                token = self.many_at[node]
+                token = self.at[node]
                 asks = np.flatnonzero(token != NO_TOKEN)
                 if begin:
                     asks = asks[self.valid_many(last[rows[asks], begin], token[asks])]
@@ -232,24 +234,25 @@ class Prefixes:
 
     def append(self, more: bytes) -> None:
         """Extends the piece; what is stored of its start stays valid."""
-        v = self.vocabulary
-        back, at, known, valid, last = v.back.get, v.at, v._valid.get, v.valid, self.last
+        v, last = self.vocabulary, self.last
+        back, at, known = v.back.views(), memoryview(v.at), {}
         piece, start = self.piece + more, len(self.piece)
         for end in range(start + 1, len(piece) + 1):
             node, begin, found = 0, end, NO_TOKEN
             while begin:
                 begin -= 1
-                node = back(node << 8 | piece[begin])
-                if node is None:
+                node = find_one(back, node << 8 | piece[begin])
+                if node == NO_TOKEN:
                     break
                 token = at[node]
                 if token != NO_TOKEN:
                     if begin == 0:
                         found = token
                         break
-                    before = last[begin]
-                    fits = known(before << 32 | token)
-                    if valid(before, token) if fits is None else fits:
+                    asked = last[begin], token
+                    if asked not in known:
+                        known[asked] = v.valid(*asked)
+                    if known[asked]:
                         found = token
                         break
             last.append(found)
@@ -268,15 +271,23 @@ class Prefixes:
             return [v.ranks[self.piece]]
         while end:
             out.append(self.last[end])
-            end -= len(v.tokens[self.last[end]])
+            end -= int(v.sizes[self.last[end]])
         return out[::-1]
 
 
+def cuts_at_blanks(pattern: str) -> bool:
+    """Whether pieces begin at blanks and line breaks that stand alone, tried on characters of many kinds on both sides."""
+    split = regex.compile(pattern).findall
+    sides = ["a", "Z", "ß", "7", "123", ".", "!?", "-", "'s", "_", "漢", "é", "/", "\u0301", "$", "\u200b"]
+    return (split(" ab") == [" ab"] and all(split("\n" + x) == split("\n") + split(x) for x in sides)
+            and all(split(x + blank + y) == split(x) + split(blank + y) for x in sides for y in sides for blank in " \n"))
+
+
 class Encoder:
     """Encodes whole texts; keeps a bounded store of encoded words."""
 
-    def __init__(self, vocabulary: Vocabulary, store: int = WORD_STORE):
-        self.vocabulary, self.store = vocabulary, store
+    def __init__(self, vocabulary: Vocabulary, store: int = WORD_STORE, words: bool = True):
+        self.vocabulary, self.store, self.by_words = vocabulary, store, words
         self.split = regex.compile(vocabulary.pattern).findall
         self.words = {}
         self.line_break = self._pieces([["\n"]])[0]
@@ -307,6 +318,8 @@ class Encoder:
         store.update(zip(words, self._pieces(cut)))
 
     def _share(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [b"".join(self._pieces([self.split(text)])) for text in texts]
         get, plans, new = self.words.get, [], {}
         for text in texts:
             # words carry the line break before them; the first one gets one that is taken off again
@@ -413,28 +426,30 @@ class Document:
 
 
 class Tokenizer:
-    """Broadcast vocabulary; each Python worker builds its encoder once."""
-
-    _built: dict[str, Encoder] = {}
+    """Vocabulary made once and broadcast as arrays; every task has an encoder of its own.
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
-        ranks = read_ranks(path)  # the file has a fixed size: the vocabulary's
-        self.key = hashlib.sha256(repr((pattern, len(ranks), sorted(ranks)[:1000])).encode()).hexdigest()
-        self.shared = spark.sparkContext.broadcast((ranks, pattern))
+    ``pattern`` must cut no piece across a lone blank that has other characters on
+    both sides (as in ``a b``), unless ``words`` is false: then every text is cut by
+    the pattern as it is.  By default the pattern is tried on a few texts.
+    """
 
-    def encoder(self) -> Encoder:
-        if self.key not in Tokenizer._built:
-            Tokenizer._built[self.key] = Encoder(Vocabulary(*self.shared.value))
-        return Tokenizer._built[self.key]
+    def __init__(self, spark: SparkSession, path: str, pattern: str, words: bool | None = None):
+        self.words = cuts_at_blanks(pattern) if words is None else words
+        self.shared = spark.sparkContext.broadcast(Vocabulary(read_ranks(path), pattern))  # of the file's fixed size
 
     @contextmanager
     def borrowed(self) -> Iterator[Encoder]:
-        """The worker's encoder for one task; its words are given back with the task."""
-        encoder = self.encoder()
+        """An encoder for one task; its memory is given back with the task."""
+        encoder = Encoder(self.shared.value, words=self.words)
         try:
             yield encoder
         finally:
             encoder.words.clear()
+            give_back()
+
+    def close(self) -> None:
+        """Frees the broadcast on all executors; frames made with it must have been written."""
+        self.shared.destroy()
 
 
 def _strings(column: pa.Array) -> list[str]:
@@ -465,10 +480,11 @@ def decode_ids(encoded: DataFrame, tokenizer: Tokenizer, ids: str = "ids") -> Da
     """Adds ``decoded`` (binary); null ids decode to empty bytes."""
 
     @F.arrow_udf("decoded binary")
-    def run(column: pa.Array) -> pa.Array:
-        decode = tokenizer.encoder().decode
-        out = [decode(np.array(x or (), "<u4").tobytes()) for x in column.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array(out, pa.binary())], names=["decoded"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with tokenizer.borrowed() as encoder:
+            for column in batches:
+                out = [encoder.decode(np.array(x or (), "<u4").tobytes()) for part in slices(column) for x in part.to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array(out, pa.binary())], names=["decoded"])
 
     return with_fields(encoded, run(F.col(ids)), ["decoded"])
 

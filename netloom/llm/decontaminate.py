@@ -13,6 +13,8 @@ nothing shuffles; with more, the spans and items of hit documents are merged.
 
 Cases: a null or empty text has no words; an item without words has no window;
 an empty benchmark marks nothing; equal windows of several items count for each;
+items with a null id hit like any other, count as one item and add nothing to the
+digest of ids; items with a null text have no window;
 repeated rows and ids stay rows of their own; input columns named like an output
 column give way.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.texts import as_bytes, free_name, others, quoted, with_fields
+from netloom.llm.texts import as_bytes, free_name, give_back, others, quoted, with_fields
 from netloom.session import cut_lineage
 
 WINDOW = 10
@@ -43,6 +45,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_WORDS).split()
 
 
+def _sorted(items: set[str | None]) -> list[str | None]:
+    """Items in order; one without an id comes last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 class Phrases:
     """Windows of benchmark items as words of one alphabet."""
 
@@ -53,9 +60,9 @@ class Phrases:
             ids = [self.alphabet.setdefault(w, len(self.alphabet) + 2) for w in words_of(text)]
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1 if ids else 0):
-                owners[tuple(ids[i:i + size])].add(str(item))
+                owners[tuple(ids[i:i + size])].add(None if item is None else str(item))
         self.windows = list(owners)
-        self.items = [sorted(owners[w]) for w in self.windows]
+        self.items = [_sorted(owners[w]) for w in self.windows]
         self.sizes = np.array([len(w) for w in self.windows], np.int64)
         self.table = np.zeros((len(self.windows), max(self.sizes, default=0)), np.int64)
         for row, w in zip(self.table, self.windows):
@@ -196,7 +203,7 @@ def _shard(ids: list[np.ndarray], phrases: Phrases) -> list[tuple[np.ndarray, li
         a, b = at[part] - starts[d], np.maximum.accumulate(stop[part] - starts[d])
         new = np.concatenate([[True], a[1:] > b[:-1]])
         spans = np.stack([a[new], b[np.concatenate([new[1:], [True]])]], 1)
-        items = sorted({x for p in np.unique(phrase[part]) for x in phrases.items[p]})
+        items = _sorted({x for p in np.unique(phrase[part]) for x in phrases.items[p]})
         out[d] = (spans, items)
     return out
 
@@ -236,7 +243,7 @@ def _search_batch(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[Phrases]:
     """The items as blocks of bounded size, read one after the other."""
-    rows = benchmark.select(quoted(item).alias("i"), quoted(text).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(quoted(item).alias("i"), quoted(text).alias("t")).where("t is not null")
     part, size = [], 0
     for row in rows.toLocalIterator():
         part.append((row["i"], row["t"].encode()))
@@ -317,11 +324,12 @@ def remove_overlaps(overlaps: DataFrame, text: str = "text") -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                     item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all of them, without the words of benchmark passages."""
-    blocks = list(_blocks(benchmark, item, item_text, block_bytes))
-    if len(blocks) > 1:
+    blocks = _blocks(benchmark, item, item_text, block_bytes)
+    first = next(blocks)
+    if next(blocks, None) is not None:
         return remove_overlaps(find_overlaps(docs, benchmark, text, item, item_text, block_bytes), text).select(*others(docs))
     # one block: found and cut in one step, so one Python worker a task
-    shared, name = docs.sparkSession.sparkContext.broadcast(blocks[0]), free_name(docs, "cut_text")
+    shared, name = docs.sparkSession.sparkContext.broadcast(first), free_name(docs, "cut_text")
 
     @F.arrow_udf("string")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -330,6 +338,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
             found = [spans for _, spans, _ in _search_batch(texts, shared.value)]
             out = [None if not len(s) else cut_words(t, s.tolist()) for t, s in zip(texts, found)]
             yield pa.array(out, pa.binary()).cast(pa.string())
+        give_back()
 
     cleaned = docs.select(*others(docs), cut(F.col(text)).alias(name))
     return cleaned.withColumn(text, F.coalesce(name, text)).select(*others(docs))

@@ -18,13 +18,14 @@ of them; input columns named like an output column give way.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.texts import SPACES, as_bytes, free_name, others, row_function, with_fields
+from netloom.llm.texts import SPACES, as_bytes, free_name, give_back, others, row_function, with_fields
 from netloom.session import cut_lineage
 
 BITS_PER_ROW, MAX_BITS = 16, 1 << 28
@@ -117,10 +118,12 @@ def drop_copies(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS) -
     shared, name = spark.sparkContext.broadcast(bitmap), free_name(docs, "digests")
 
     @F.arrow_udf("digest binary, n_points long, maybe boolean")
-    def look(texts: pa.Array) -> pa.Array:  # digest and filter in one step, so one Python worker a task
-        digest, points, hashes = _digests(as_bytes(texts)).flatten()
-        maybe = _bits_set(shared.value, hashes.to_numpy(zero_copy_only=False), bits)
-        return pa.StructArray.from_arrays([digest, points, pa.array(maybe)], names=["digest", "n_points", "maybe"])
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:  # digest and filter in one step, so one worker a task
+        for texts in batches:
+            digest, points, hashes = _digests(as_bytes(texts)).flatten()
+            maybe = _bits_set(shared.value, hashes.to_numpy(zero_copy_only=False), bits)
+            yield pa.StructArray.from_arrays([digest, points, pa.array(maybe)], names=["digest", "n_points", "maybe"])
+        give_back()
 
     keyed = docs.select(*others(docs), look(F.col(text)).alias(name))
     own = F.col(name)

@@ -9,7 +9,9 @@ what 99% of the training texts of that centroid with about as many different
 n-grams reach when judged by a model that has not seen them.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, spread evenly over
-the languages and chosen by a hash of doc_id; prediction reads every whole text.
+the languages and chosen by a hash of doc_id and text; prediction reads every
+whole text.  At most ``SAMPLE`` rows of counts reach the driver, whatever ids and
+texts repeat.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; so is every text if nothing could be learned; rows with a null
@@ -26,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.texts import as_bytes, slices, with_fields
+from netloom.llm.texts import as_bytes, give_back, slices, with_fields
 
 DIMENSIONS, CENTROIDS, SAMPLE, MARGIN, BAND_ROWS = 4096, 4, 6000, 0.8, 50
+LEAST = 20  # documents a language; with more languages than SAMPLE / LEAST the rarest are not learned
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 # Bytes: A-Z lower-cased, letters and non-ASCII kept, the rest a blank.
@@ -127,23 +130,29 @@ def held_out() -> Column:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Model of the labelled documents that are not held out; None without any."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out())
-    sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}  # one row per language
+    counted = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max(1, sample // LEAST)).collect()
+    sizes = {r[lang]: r["count"] for r in counted}
     if not sizes:
         return None
-    each = max(20, sample // len(sizes))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    each = sample // len(sizes)
+    place = F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 30))
     keep = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (
         F.lit(k), F.lit(min(1 << 30, (each << 30) // n)))]), F.col(lang))
-    chosen = known.where(place < keep).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    chosen = known.where(F.col(lang).isin(list(sizes))).select(
+        F.col(text).alias("text"), F.col(lang).alias("lang"), place.alias("place"), keep.alias("keep")).where("place < keep")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(gram_counts(t), k) for t, k in zip(as_bytes(batch["text"]), batch["lang"].to_pylist()) if has_letter(t)]
+            rows = [(gram_counts(t), k, p) for t, k, p in zip(
+                as_bytes(batch["text"]), batch["lang"].to_pylist(), batch["place"].to_pylist()) if has_letter(t)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([zlib.compress(np.minimum(c, 65535).astype("<u2").tobytes(), 1) for c, _ in rows], pa.binary()),
-                 pa.array([k for _, k in rows], pa.string())], names=["counts", "lang"])
+                [pa.array([zlib.compress(np.minimum(c, 65535).astype("<u2").tobytes(), 1) for c, _, _ in rows], pa.binary()),
+                 pa.array([k for _, k, _ in rows], pa.string()), pa.array([p for _, _, p in rows], pa.int64())],
+                names=["counts", "lang", "place"])
 
-    table = chosen.mapInArrow(count, "counts binary, lang string").toArrow()
+    made = chosen.select("text", "lang", "place").mapInArrow(count, "counts binary, lang string, place long")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "counts"))  # cut before the shuffle
+    table = made.withColumn("nth", first).where(F.col("nth") <= F.lit(each)).select("counts", "lang").toArrow()
     if not len(table):
         return None
     counts = np.empty((len(table), DIMENSIONS), "<u2")
@@ -174,5 +183,6 @@ def predict_language(docs: DataFrame, model: Model | None, text: str = "text") -
                     column += values
             yield pa.StructArray.from_arrays(
                 [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], names=fields)
+        give_back()
 
     return with_fields(docs, run(F.col(text)), fields)

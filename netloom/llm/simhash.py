@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.components import components
-from netloom.llm.texts import as_bytes, free_name, others, slices, with_fields
+from netloom.llm.texts import as_bytes, free_name, give_back, others, slices, with_fields
 from netloom.session import cut_lineage
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -74,6 +74,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGL
         for batch in batches:
             made = np.array([fingerprint(t, shingle) for part in slices(batch) for t in as_bytes(part)], np.uint64)
             yield pa.StructArray.from_arrays([pa.array(made.view(np.int64))], names=["fp"])
+        give_back()
 
     return with_fields(docs, run(F.col(text)), ["fp"])
 
@@ -174,6 +175,7 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield links(frame.iloc[:cut].reset_index(drop=True))
     if rest is not None and len(rest):
         yield links(rest)
+    give_back()
 
 
 def fingerprint_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -194,22 +196,40 @@ def fingerprint_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return sorted_groups.mapInArrow(_link_groups, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, fp, component_id."""
+def _components(docs: DataFrame, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and of every fingerprint its component's fingerprint and smallest doc_id."""
     rows = cut_lineage(with_fingerprints(docs.select("doc_id", F.col(text).alias("text")), "text", shingle).drop("text"))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(fingerprint_links(distinct.select("fp")), "a", "b")
     of = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component"))
     named = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = cut_lineage(of.join(named, "component").select("fp", "component_id"))
+    return rows, cut_lineage(of.join(named, "component").select("fp", "component", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, fp, component_id."""
+    rows, of = _components(docs, text, shingle)
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns."""
-    kept = near_duplicates(docs, text, shingle).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("kept_id")).distinct()
-    row = free_name(docs, "kept_id")
-    kept = kept.withColumnRenamed("kept_id", row)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[row]), "left_semi").select(*others(docs))
+    """One document of each component, with all its columns: the one with the smallest doc_id.
+
+    A null doc_id is larger than any other.  Of rows with equal doc_id in one
+    component, any one stays.
+    """
+    rows, of = _components(docs, text, shingle)
+    found = rows.join(of, "fp")
+    heads = found.where("doc_id <=> component_id").select("doc_id").distinct()
+    every = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    ids = cut_lineage(heads.join(every.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select(
+        "id", (F.col("rows") > 1).alias("doubtful")))
+    mark = free_name(docs, "kept_id")
+    ids = ids.withColumnRenamed("id", mark)
+    kept = docs.join(ids.where("not doubtful"), F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi").select(*others(docs))
+    # one id on several rows: told apart by their fingerprints
+    rest = docs.join(ids.where("doubtful"), F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
+    printed = with_fingerprints(rest.select(F.struct(*others(docs)).alias("row"), F.col(text).alias("text")), "text", shingle)
+    once = printed.join(of, "fp").where("row.doc_id <=> component_id").dropDuplicates(["component"])
+    return kept.unionByName(once.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

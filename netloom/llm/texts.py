@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,6 +34,16 @@ def slices(array: pa.Array, rows: int = 256) -> Iterator[pa.Array]:
         yield array.slice(at, rows)
 
 
+def give_back() -> None:
+    """Returns free memory of a Python worker, which lives on after its task, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def row_function(fn: Callable[[list[bytes | None]], pa.Array], schema: str):
     """Arrow UDF over one text column; ``fn`` gets the texts of a batch as bytes."""
 
@@ -39,6 +51,7 @@ def row_function(fn: Callable[[list[bytes | None]], pa.Array], schema: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield fn(as_bytes(batch))
+        give_back()
 
     return run
 
