@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.components import components
 from netloom.llm.texts import as_bytes, free_name, give_back, others, slices, with_fields
-from netloom.session import cut_lineage
+from netloom.session import cut_lineage, write_table
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -228,8 +228,12 @@ def drop_near_copies(docs: DataFrame, text: str = "text", shingle: int = SHINGLE
     mark = free_name(docs, "kept_id")
     ids = ids.withColumnRenamed("id", mark)
     kept = docs.join(ids.where("not doubtful"), F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi").select(*others(docs))
+    doubtful = ids.where("doubtful")
+    if doubtful.isEmpty():
+        return kept
     # one id on several rows: told apart by their fingerprints
-    rest = docs.join(ids.where("doubtful"), F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
-    printed = with_fingerprints(rest.select(F.struct(*others(docs)).alias("row"), F.col(text).alias("text")), "text", shingle)
+    rest = write_table(docs.join(doubtful, F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi").select(
+        F.struct(*others(docs)).alias("row"), F.col(text).alias("text")))
+    printed = with_fingerprints(rest, "text", shingle)
     once = printed.join(of, "fp").where("row.doc_id <=> component_id").dropDuplicates(["component"])
     return kept.unionByName(once.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

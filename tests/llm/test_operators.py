@@ -1,5 +1,6 @@
 """Operators on hand-made rows and registered queries on the small tables."""
 
+import hashlib
 import random
 import re
 
@@ -315,3 +316,51 @@ def test_hand_made_rows_everywhere(spark, docs):
     assert licenses.scan_licenses(docs, licenses.known_table(spark)).count() == 11
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_overlaps(docs, none).where("size(spans) = 0").count() == 11
+
+
+def test_benchmark_items_without_an_id(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "short item"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (None, "short item"), (5, passage), (6, None), (None, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.judged(decontaminate.find_overlaps(docs, items)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert (got[1].n_hit, got[1].n_items, got[1].items_sha256) == (11, 2, sha("5"))
+    assert (got[2].n_hit, got[2].n_items, got[2].items_sha256) == (2, 1, sha("")) and not got[3].contaminated
+    # blocks of one item each give the same, and so does the checking SQL
+    parts = decontaminate.judged(decontaminate.find_overlaps(docs, items, block_bytes=1)).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in parts} == {
+        i: (r.n_hit, r.n_items, r.items_sha256) for i, r in got.items()}
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.execute("create table benchmark (item_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", [tuple(r) for r in docs.collect()])
+    c.executemany("insert into benchmark values (?, ?)", [tuple(r) for r in items.collect()])
+    sql = c.execute(queries.CHECKS["op10_decontamination"] + " order by 1").fetchall()
+    assert [(r[0], r[2], r[3], r[4]) for r in sql] == [(i, got[i].n_hit, got[i].n_items, got[i].items_sha256) for i in (1, 2, 3)]
+    assert decontaminate.clean_documents(docs, items).where("doc_id = 1").first().text.split() == ["x", "y"]
+
+
+def test_fit_takes_no_more_than_its_sample(spark, monkeypatch):
+    """Rows that share one id, or no id, and one text do not pass the bound; nor do many languages."""
+    seen = []
+    monkeypatch.setattr(language_id, "Model", lambda counts, languages: seen.append((len(counts), set(languages))))
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("ab "), (F.col("id") % 50).cast("string"), F.lit("c")).alias("text"),
+                                    F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("lang"))
+    language_id.fit(same, sample=400)
+    many = spark.range(3000).select("id", F.concat(F.lit("ab c"), F.col("id").cast("string")).alias("text"),
+                                    (F.col("id") % 90).cast("string").alias("lang")).withColumnRenamed("id", "doc_id")
+    language_id.fit(many, sample=400)
+    assert seen[0][0] <= 400 and seen[0][1] == {"x", "y"} and 0 < seen[1][0] <= 400 and len(seen[1][1]) <= 20
+
+
+def test_pieces_across_blanks_are_cut_by_the_pattern():
+    import public_tokenizers
+
+    assert bpe.cuts_at_blanks(public_tokenizers.PATTERN)
+    assert not bpe.cuts_at_blanks(r"\w+ \w+|\S+|\s+") and not bpe.cuts_at_blanks(r"\d+ \d+|\S+|\s+") and not bpe.cuts_at_blanks(r"\S+|\s+")
+    ranks = {bytes([b]): b for b in range(256)} | {b"a b": 256, b"ab": 257, b" b": 258}
+    ranks[b"a b"], ranks[b" b"] = 258, 256
+    vocabulary = bpe.Vocabulary(ranks, r"\w+ \w+|\S+|\s+")
+    encoder = bpe.Encoder(vocabulary, words=bpe.cuts_at_blanks(vocabulary.pattern))
+    assert encoder.decode(encoder.encode("a b ab a\nb")) == b"a b ab a\nb"
+    assert list(encoder.encode("a b"))[::4] == [2] or encoder.encode("a b")[:4] == (258).to_bytes(4, "little")

@@ -49,3 +49,16 @@ def test_stages(spark, sf):
         assert r["n_tokens"] * 4 == len(ids) and r["ids_sha256"] == hashlib.sha256(ids).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
     assert exact_dedup.filter_bits(10) == 12
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null and repeated ids: of each group of linked texts exactly one row stays, that of the smallest id."""
+    a, b, c = "one two three four five six", "another text of its own kind here", "third thing that is like nothing else"
+    rows = [(5, a, "x"), (None, a, "y"), (7, b, "x"), (7, b, "y"), (None, c, "x"), (None, c, "y"), (9, "", "z"), (9, a, "w")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = simhash.drop_near_copies(table)
+    assert kept.columns == table.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("5", a), ("7", b), ("None", c), ("9", "")])
+    single = spark.createDataFrame([r for r in rows if r[0] in (5, None)][:2], table.schema)
+    assert [r.doc_id for r in simhash.drop_near_copies(single).collect()] == [5]
+    assert simhash.drop_near_copies(table.limit(0)).count() == 0
