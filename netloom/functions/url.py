@@ -10,9 +10,10 @@ percent-encoded here.
 
 from __future__ import annotations
 
-import re
+import zlib
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,55 +225,102 @@ def public_suffixes() -> tuple[str, ...]:
     return tuple(line for line in lines if not line.startswith("//"))
 
 
-def _suffix_tree(rules) -> dict:
-    """Rules as a tree of labels from the last one on."""
-    tree: dict = {}
+_SUFFIX_SLOTS = 16384
+
+
+def _suffix_kinds(rules) -> dict[str, str]:
+    """Of each run of labels: p for a suffix, w if any label before it makes one, e if it is an exception to that."""
+    kinds: dict[str, set] = {}
     for rule in rules:
-        kind, name = ("!", rule[1:]) if rule.startswith("!") else ("", rule)
-        names = {name}
-        if not name.isascii():
-            names.add(".".join(x if x == "*" else "xn--" + x.encode("punycode").decode()
-                               if not x.isascii() else x for x in name.split(".")))
-        for spelling in names:
-            node, labels = tree, spelling.split(".")[::-1]
-            for i, label in enumerate(labels):
-                node = node.setdefault((kind if i + 1 == len(labels) else "", label), {})
-    return tree
-
-
-def _suffix_pattern(tree: dict) -> str:
-    """Longest rule, read from the end of a host: exceptions stop one label early, a wildcard is any label."""
-    named, any_label, stops = [], [], []
-    for (kind, label), below in tree.items():
-        if kind == "!":
-            stops.append(re.escape(label[::-1]))
-        elif label == "*":
-            any_label.append(r"\.[^.]+" + _suffix_pattern(below))
-        else:
-            named.append(re.escape(label[::-1]) + r"(?=\.|$)" + _suffix_pattern(below))
-    choices = [rf"(?=\.(?:{'|'.join(stops)})(?:\.|$))"] if stops else []
-    choices += [rf"\.(?:{'|'.join(named)})"] if named else []
-    choices += any_label
-    return rf"(?:{'|'.join(choices)})?" if choices else ""
+        kind, name = ("e", rule[1:]) if rule.startswith("!") else ("w", rule[2:]) if rule.startswith("*.") else ("p", rule)
+        spellings = {name, ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in name.split("."))}
+        for spelling in spellings:
+            kinds.setdefault(spelling, set()).add(kind)
+    return {name: "".join(sorted(found)) for name, found in kinds.items()}
 
 
 @lru_cache(maxsize=8)
-def suffix_pattern(rules: tuple[str, ...] | None = None) -> str:
-    """Regular expression for suffix and registrable domain of a host written backward."""
-    below = _suffix_pattern(_suffix_tree(rules if rules is not None else public_suffixes()))
-    # the root's labels need no dot before them; a name without a rule ends in its last label
-    top = below[3:-2].removeprefix(r"\.") if below else ""
-    return rf"^(?>{top}|[^.]+)\.[^.]+(?=\.|$)" if top else r"^[^.]+\.[^.]+(?=\.|$)"
+def _suffix_table(rules: tuple[str, ...]) -> tuple[pa.Table, int]:
+    """One row with all runs, by the slots of their hash, and the labels of the longest run."""
+    slots, kinds = [""] * _SUFFIX_SLOTS, _suffix_kinds(rules)
+    for name, found in kinds.items():
+        slots[zlib.crc32(name.encode()) % _SUFFIX_SLOTS] += f"\x02{name}\x03{found}"
+    deepest = max((name.count(".") + 1 for name in kinds), default=1)
+    return pa.table({"slots": pa.array([slots], pa.list_(pa.string()))}), deepest
+
+
+def _run_kinds(run: Column, slots: Column) -> Column:
+    """What the rules say of one run of labels; NULL if nothing."""
+    slot = F.element_at(slots, (F.crc32(run.cast("binary")) % _SUFFIX_SLOTS + 1).cast("int"))
+    mark = F.concat(F.lit("\x02"), run, F.lit("\x03"))
+    at = F.instr(slot, mark)
+    return F.when(at > 0, F.substring_index(F.substring(slot, at + F.length(mark), F.lit(3)), "\x02", 1))
+
+
+def _suffix_slots(suffixes: tuple[str, ...] | None) -> tuple[Column, int]:
+    """The rules as one constant of the query, and the labels of the longest run."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    table, deepest = _suffix_table(suffixes if suffixes is not None else public_suffixes())
+    return spark.createDataFrame(table).scalar(), deepest
+
+
+def _label_count(name: Column) -> Column:
+    return F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
+
+
+def _kinds_at(name: Column, labels: Column, k: int, slots: Column) -> Column:
+    return F.when(labels >= k, _run_kinds(F.substring_index(name, ".", -k), slots))
+
+
+def _suffix_size(kinds: list[Column]) -> Column:
+    """Labels of the suffix, from what the rules say of the last one, two ... labels."""
+    ends, exceptions = [F.lit(1), F.lit(1)], [F.lit(None).cast("int"), F.lit(None).cast("int")]
+    for k, kind in enumerate(kinds, 1):
+        ends += [F.when(kind.contains("p"), k), F.when(kind.contains("w"), k + 1)]
+        exceptions.append(F.when(kind.contains("e"), k - 1))
+    return F.coalesce(F.greatest(*exceptions), F.greatest(*ends))
+
+
+def _checked_domain(name: Column, labels: Column, size: Column, found: Column) -> Column:
+    whole = ~(found.startswith(".") | found.endswith(".") | found.contains(".."))
+    return F.when((labels > size) & whole & ~name.rlike(r"^[0-9.]+$|:"), found)
 
 
 def base_domain_of_host(name: Column, suffixes: tuple[str, ...] | None = None) -> Column:
     """Registrable domain of a host; NULL for bare suffixes and IP addresses.
 
     ``suffixes`` are public-suffix rules; by default all of the list that Spark
-    carries on its class path.
+    carries on its class path.  The rules are a table of one row that the query
+    reads once; of a host only its last few runs of labels are looked up there.
+    Several domains, or those of long expressions, are better made by
+    :func:`with_domain`, which names each step.
+    """
+    slots, deepest = _suffix_slots(suffixes)
+    labels = _label_count(name)
+    size = _suffix_size([_kinds_at(name, labels, k, slots) for k in range(1, deepest + 1)])
+    return _checked_domain(name, labels, size, F.call_function("substring_index", name, F.lit("."), -(size + 1)))
+
+
+def with_domain(df: DataFrame, suffixes: tuple[str, ...] | None = None, **hosts: Column) -> DataFrame:
+    """Adds the registrable domain of each host expression, under the argument's name.
+
+    As :func:`base_domain_of_host`, but every step is a column, so that no part
+    is written out, or computed, more than once.
     """
-    found = F.reverse(F.regexp_extract(F.reverse(name), suffix_pattern(suffixes), 0))
-    return F.when((found != "") & ~name.rlike(r"^[0-9.]+$|:"), found)
+    slots, deepest = _suffix_slots(suffixes)
+    steps = range(1, deepest + 1)
+    out = df.withColumns({f"_{o}_host": h for o, h in hosts.items()})
+    out = out.withColumns({f"_{o}_labels": _label_count(F.col(f"_{o}_host")) for o in hosts})
+    out = out.withColumns({f"_{o}_{k}": _kinds_at(F.col(f"_{o}_host"), F.col(f"_{o}_labels"), k, slots)
+                           for o in hosts for k in steps})
+    out = out.withColumns({f"_{o}_size": _suffix_size([F.col(f"_{o}_{k}") for k in steps]) for o in hosts})
+    out = out.withColumns({f"_{o}_found": F.expr(f"substring_index(`_{o}_host`, '.', -(`_{o}_size` + 1))") for o in hosts})
+    # The test on the partition's number is always true.  Conditions on a column that depends on it are not moved
+    # below it, where all steps would be written out again in each of them.
+    here = F.spark_partition_id() >= 0
+    out = out.withColumns({o: F.when(here, _checked_domain(*[F.col(f"_{o}_{c}") for c in ("host", "labels", "size", "found")]))
+                           for o in hosts})
+    return out.drop(*[f"_{o}_{c}" for o in hosts for c in ("host", "labels", "size", "found", *steps)])
 
 
 def base_domain(url, suffixes: tuple[str, ...] | None = None) -> Column:
@@ -283,27 +331,26 @@ def with_base_domain(df: DataFrame, suffixes: DataFrame, host_col: str = "host",
                      out: str = "base_domain") -> DataFrame:
     """Longest-match registrable domain against a public-suffix table.
 
-    ``suffixes`` has one column ``suffix``.  Distinct hosts are expanded once
-    into their trailing label runs (a host has few labels) and matched with an
-    equi join, so the table may be broadcast or shuffled as its size demands.
+    ``suffixes`` has one column ``suffix`` of rules, ``*.`` and ``!`` as written.
+    Distinct hosts are expanded once into their trailing label runs (a host has
+    few labels) and matched with an equi join, so the table may be broadcast or
+    shuffled as its size demands.
     """
     hosts = df.select(F.col(host_col).alias("_h")).where("_h is not null").distinct()
     labels = F.split("_h", r"\.")
     runs = hosts.select(
-        "_h", F.size(labels).alias("_n"),
-        F.explode(F.sequence(F.lit(1), F.size(labels))).alias("_k"),
-    ).withColumn("suffix", F.expr("substring_index(_h, '.', -_k)"))
-    best = (
-        runs.join(suffixes.select("suffix").distinct(), "suffix", "left_semi")
-        .groupBy("_h").agg(F.max("_k").alias("_best"))
-    )
-    resolved = hosts.join(best, "_h", "left").select(
-        "_h",
-        F.expr(
-            "case when size(split(_h, '\\\\.')) > coalesce(_best, 1) "
-            "then substring_index(_h, '.', -(coalesce(_best, 1) + 1)) end"
-        ).alias(out),
-    )
+        "_h", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("_k"),
+    ).withColumn("_run", F.expr("substring_index(_h, '.', -_k)"))
+    rules = suffixes.select(
+        F.regexp_replace("suffix", r"^(\*\.|!)", "").alias("_run"),
+        F.when(F.col("suffix").startswith("!"), "e").when(F.col("suffix").startswith("*."), "w").otherwise("p").alias("_kind"),
+    ).distinct()
+    best = runs.join(rules, "_run").groupBy("_h").agg(
+        F.max(F.expr("case when _kind = 'e' then _k - 1 end")).alias("_exception"),
+        F.max(F.expr("case when _kind = 'p' then _k when _kind = 'w' then _k + 1 end")).alias("_longest"))
+    resolved = hosts.join(best, "_h", "left").withColumn(
+        "_size", F.coalesce("_exception", "_longest", F.lit(1))).select("_h", F.expr(
+            "case when size(split(_h, '\\\\.')) > _size then substring_index(_h, '.', -(_size + 1)) end").alias(out))
     return df.join(resolved, df[host_col] == resolved["_h"], "left").drop("_h")
 
 

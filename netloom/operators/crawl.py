@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from netloom.functions import url as U
 from netloom.functions.tables import ADSERVER_DOMAINS, NON_WEB_PROTOCOLS, SOCIAL_SITES
 from netloom.plans.ranking import first_per_key, running_rank
+from netloom.session import cut_lineage, write_table
 
 # What each denial code means.
 DENIAL_TEXT = {
@@ -94,7 +95,16 @@ def _url_columns(df: DataFrame, source: str, prefix: str) -> DataFrame:
         f"{prefix}host": U.host(source), f"{prefix}path": U.path(source)})
 
 
-_PARTS = ["_full", "_uhost", "_upath", "_bhost", "_ihost", "_ipath", "_chost"]
+_PARTS = ["_full", "_uhost", "_upath", "_bhost", "_ihost", "_ipath", "_chost", "_usite", "_bsite"]
+
+
+def _with_sites(rows: DataFrame, policy: CrawlPolicy) -> DataFrame:
+    """Registrable domains of link and page, where the policy asks for them."""
+    return U.with_domain(rows, _usite=F.col("_uhost"), _bsite=F.col("_bhost")) if policy.allow_subdomains else rows
+
+
+def _same_site(policy: CrawlPolicy) -> Column:
+    return F.coalesce(F.col("_usite") == F.col("_bsite"), F.lit(False)) if policy.allow_subdomains else F.lit(False)
 
 
 def filter_links(links: DataFrame, policy: CrawlPolicy, link: str = "link",
@@ -108,6 +118,7 @@ def filter_links(links: DataFrame, policy: CrawlPolicy, link: str = "link",
     rows = links.withColumn("_full", U.resolve_url(link, base_url))
     rows = _url_columns(_url_columns(rows, "_full", "_u"), initial_url, "_i").withColumn(
         "_bhost", U.host(base_url))
+    rows = _with_sites(rows, policy)
     full, path = F.col("_full"), F.col("_upath")
     target = full if policy.regex_on_full_url else path
     internal = _is_internal(F.col("_uhost"), F.col("_bhost"))
@@ -118,9 +129,7 @@ def filter_links(links: DataFrame, policy: CrawlPolicy, link: str = "link",
         ~F.col(robots_ok) if robots_ok is not None and not policy.ignore_robots else F.lit(False))
     content_allowed = F.lit(policy.allow_external) & _is_internal(
         F.col("_ihost"), F.col("_bhost")) & ~_is_root(path)
-    same_site = F.lit(policy.allow_subdomains) & F.coalesce(
-        U.base_domain_of_host(F.col("_uhost")) == U.base_domain_of_host(F.col("_bhost")),
-        F.lit(False))
+    same_site = _same_site(policy)
     none = F.lit(None).cast("string")
     inside = (
         F.when(_is_section(full), "SECTION_LINK").when(backward, "BACKWARD_CRAWLING")
@@ -154,6 +163,7 @@ def filter_redirects(pairs: DataFrame, policy: CrawlPolicy, href: str = "href",
         F.col(href).startswith("http"), F.col(href)).otherwise(U.resolve_url(href, page_url)))
     rows = _url_columns(rows, "_full", "_u").withColumn("_bhost", U.host(base_url)).withColumn(
         "_chost", U.host(page_url))
+    rows = _with_sites(rows, policy)
     full, path = F.col("_full"), F.col("_upath")
     robots_denied = (
         ~F.col(robots_ok) if robots_ok is not None and not policy.ignore_robots else F.lit(False))
@@ -167,9 +177,7 @@ def filter_redirects(pairs: DataFrame, policy: CrawlPolicy, href: str = "href",
         .when(_any_match(full, policy.excludes), "EXCLUDE_PATTERN")
         .when(F.lit(policy.allow_external) & _is_internal(F.col("_chost"), F.col("_bhost"))
               & ~_is_root(path), none)
-        .when(F.lit(policy.allow_subdomains) & F.coalesce(
-            U.base_domain_of_host(F.col("_uhost")) == U.base_domain_of_host(F.col("_bhost")),
-            F.lit(False)), none)
+        .when(_same_site(policy), none)
         .otherwise("EXTERNAL_LINK"))
     reason = (
         F.when(~full.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), "URL_PARSE_ERROR")
@@ -217,6 +225,37 @@ def url_key(url, ignore_query: bool = False, similar: bool = False) -> Column:
     return U.normalize_url(url, ignore_query)
 
 
+def with_url_keys(urls: DataFrame, ignore_query: bool = False, url: str = "url") -> DataFrame:
+    """Adds both claim keys, ``plain_key`` and ``similar_key``; a URL is read once for both."""
+    return urls.withColumns({"plain_key": U.normalize_url(url, ignore_query),
+                             "similar_key": U.normalized_similar_key(url, ignore_query)})
+
+
+def claim_keys(candidates: DataFrame, visited: DataFrame, limit: int | None = None,
+               bucket: Column | None = None) -> DataFrame:
+    """:func:`claim_urls` for candidates that have their ``key`` already.
+
+    One grouping of candidates and visited keys finds the first position of each
+    key and whether it was claimed before, so the tables meet in one shuffle.
+    """
+    mine = candidates.select("crawl_id", "key", F.lit(0).alias("_old"), F.struct(
+        "pos", *[c for c in candidates.columns if c not in ("crawl_id", "key", "pos")]).alias("_row"))
+    taken = visited.select("crawl_id", "key", F.lit(1).alias("_old"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"))
+    met = mine.unionByName(taken).groupBy("crawl_id", "key").agg(
+        F.max("_old").alias("_claimed"), F.min_by("_row", F.when(F.col("_old") == 0, F.struct("_row.pos", "_row.url"))).alias("_row"))
+    columns = [F.col("key") if c == "key" else F.col("crawl_id") if c == "crawl_id" else F.col(f"_row.{c}").alias(c)
+               for c in candidates.columns]
+    if limit is None:
+        return met.where("_claimed = 0").select(*columns)
+    # read by the count of claimed keys and by the ranking
+    met = write_table(met)
+    used = met.where("_claimed = 1").groupBy("crawl_id").agg(F.count("*").alias("_used"))
+    ranked = running_rank(met.where("_claimed = 0").select(*columns), ["crawl_id"],
+                          bucket if bucket is not None else F.floor(F.col("pos") / 4096), [F.col("pos"), F.col("key")], "_rank")
+    return ranked.join(used, "crawl_id", "left").where(
+        F.col("_rank") + F.coalesce("_used", F.lit(0)) <= limit).drop("_rank", "_used")
+
+
 def claim_urls(candidates: DataFrame, visited: DataFrame, limit: int | None = None,
                ignore_query: bool = False, similar: bool = False,
                bucket: Column | None = None) -> DataFrame:
@@ -226,16 +265,7 @@ def claim_urls(candidates: DataFrame, visited: DataFrame, limit: int | None = No
     The first position of a key wins.
     """
     keyed = candidates.withColumn("key", url_key("url", ignore_query, similar))
-    fresh = first_per_key(keyed, ["crawl_id", "key"], F.struct("pos", "url")).join(
-        visited.select("crawl_id", "key").distinct(), ["crawl_id", "key"], "left_anti")
-    if limit is None:
-        return fresh
-    used = visited.groupBy("crawl_id").agg(F.countDistinct("key").alias("_used"))
-    ranked = running_rank(
-        fresh, ["crawl_id"], bucket if bucket is not None else F.floor(F.col("pos") / 4096),
-        [F.col("pos"), F.col("key")], "_rank")
-    return ranked.join(used, "crawl_id", "left").where(
-        F.col("_rank") + F.coalesce("_used", F.lit(0)) <= limit).drop("_rank", "_used")
+    return claim_keys(keyed, visited, limit, bucket)
 
 
 PRIORITY_SEED, PRIORITY_FOUND, PRIORITY_SITEMAP, PRIORITY_SINGLE = 15, 20, 21, 10
@@ -264,42 +294,40 @@ def single_jobs(urls: DataFrame) -> DataFrame:
 
 
 def reconcile_redirects(fetches: DataFrame, visited: DataFrame, policy: CrawlPolicy,
-                        ignore_query: bool = False) -> DataFrame:
+                        ignore_query: bool = False, blocklist: DataFrame | None = None) -> DataFrame:
     """Outcome of each fetch that may have been redirected.
 
     ``fetches`` has ``crawl_id, fetch_id, source_url, final_url, base_url,
-    is_seed``; ``visited`` has ``crawl_id, url``.  ``outcome`` is one of
-    `same`, `denied`, `equivalent`, `raced`, `moved`; ``new_origin`` is set for a
-    seed that moved to another host.  Of several redirects to one page the
-    first fetch keeps it.
+    is_seed``; ``visited`` has ``crawl_id, url``; ``blocklist`` has ``domain``.
+    ``outcome`` is one of `same`, `denied`, `blocked` (the final URL's domain is on
+    the list), `equivalent`, `raced`, `moved`; ``new_origin`` is set for a seed that
+    moved to another host.  Of several redirects to one page the first fetch
+    keeps it.
     """
     rows = fetches.withColumns({
-        "_src": U.normalize_url("source_url", ignore_query),
-        "_dst": U.normalize_url("final_url", ignore_query),
+        "_src": U.normalize_url("source_url", ignore_query), "_dst": U.normalize_url("final_url", ignore_query),
         "_src_class": U.normalized_similar_key("source_url", ignore_query),
         "_dst_class": U.normalized_similar_key("final_url", ignore_query)})
-    checked = filter_redirects(rows, policy, "final_url", "source_url", "base_url")
-    moved = (F.col("_src") != F.col("_dst"))
-    denied = moved & ~F.col("allowed") & ~F.col("is_seed")
-    candidate = moved & ~denied & (F.col("_src_class") != F.col("_dst_class"))
-    checked = checked.withColumns({"_moved": moved, "_denied": denied, "_candidate": candidate})
-    seen = visited.select("crawl_id", U.normalized_similar_key(
-        "url", ignore_query).alias("_dst_class")).distinct().withColumn(
+    listed = flag_blocked(rows, blocklist, url="final_url") if blocklist is not None else rows.withColumn("blocked", F.lit(False))
+    checked = filter_redirects(listed, policy, "final_url", "source_url", "base_url").withColumn(
+        "_moved", F.col("_src") != F.col("_dst"))
+    checked = checked.withColumn("_denied", F.col("_moved") & ~F.col("allowed") & ~F.col("is_seed")).withColumn(
+        "_candidate", F.col("_moved") & ~F.col("_denied") & ~F.col("blocked") & (F.col("_src_class") != F.col("_dst_class")))
+    seen = visited.select("crawl_id", U.normalized_similar_key("url", ignore_query).alias("_dst_class")).distinct().withColumn(
         "_seen", F.lit(True))
-    winners = checked.where("_candidate").groupBy("crawl_id", "_dst_class").agg(
-        F.min("fetch_id").alias("_winner"))
-    joined = checked.join(seen, ["crawl_id", "_dst_class"], "left").join(
-        winners, ["crawl_id", "_dst_class"], "left")
+    # judged once: winners and the join read the written rows
+    checked = cut_lineage(checked.select(
+        *fetches.columns, "reason", "blocked", "_moved", "_denied", "_candidate", "_dst_class",
+        (U.hostname_only("final_url") != U.hostname_only("source_url")).alias("_other_host")))
+    winners = checked.where("_candidate").groupBy("crawl_id", "_dst_class").agg(F.min("fetch_id").alias("_winner"))
+    joined = checked.join(seen, ["crawl_id", "_dst_class"], "left").join(winners, ["crawl_id", "_dst_class"], "left")
     raced = F.col("_seen").isNotNull() | (F.col("fetch_id") != F.col("_winner"))
     outcome = (
-        F.when(~F.col("_moved"), "same").when(F.col("_denied"), "denied")
+        F.when(~F.col("_moved"), "same").when(F.col("_denied"), "denied").when(F.col("blocked"), "blocked")
         .when(~F.col("_candidate"), "equivalent").when(raced, "raced").otherwise("moved"))
-    other_host = U.hostname_only("final_url") != U.hostname_only("source_url")
     return joined.select(
-        *[joined[c] for c in fetches.columns], outcome.alias("outcome"),
-        F.when(F.col("_denied"), F.col("reason")).alias("reason"),
-        F.when(F.col("is_seed") & F.col("_moved") & other_host, F.col("final_url"))
-        .alias("new_origin"))
+        *[joined[c] for c in fetches.columns], outcome.alias("outcome"), F.when(F.col("_denied"), F.col("reason")).alias("reason"),
+        F.when(F.col("is_seed") & F.col("_moved") & F.col("_other_host"), F.col("final_url")).alias("new_origin"))
 
 
 # --- site lists ------------------------------------------------------------
@@ -325,7 +353,7 @@ def blocked_domains(domains: DataFrame, blocklist: DataFrame,
 def flag_blocked(urls: DataFrame, blocklist: DataFrame, allowed_keywords=(), unblocked=(),
                  url: str = "url") -> DataFrame:
     """Adds ``blocked``.  Domains are reduced to distinct values before the match."""
-    tagged = urls.withColumn("_domain", U.base_domain(F.lower(F.trim(F.col(url)))))
+    tagged = U.with_domain(urls, _domain=U.host(F.lower(F.col(url))))
     hit = blocked_domains(tagged.select(F.col("_domain").alias("domain")), blocklist, unblocked)
     marked = tagged.join(
         hit.select(F.col("domain").alias("_domain"), F.lit(True).alias("_hit")),
@@ -350,7 +378,7 @@ def route_by_domain(urls: DataFrame, mapping: DataFrame, url: str = "url") -> Da
     ``mapping`` has ``ordinal, pattern, route``; `*.x` and `x` both cover x and
     everything below it.  Matching is an equi join of domain suffixes.
     """
-    tagged = urls.withColumn("_domain", U.base_domain(F.lower(F.trim(F.col(url)))))
+    tagged = U.with_domain(urls, _domain=U.host(F.lower(F.col(url))))
     runs = tagged.select("_domain").where("_domain is not null").distinct().select(
         "_domain", F.explode(_suffixes(F.col("_domain"))).alias("_s"))
     rules = mapping.select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.plans.ranking import running_rank, top_n
+from netloom.plans.ranking import rank_by_range, top_n
 
 SCRAPE_MODE = "single_urls"
 RESULT_PAGE_BYTES = 10_485_760
@@ -140,9 +140,7 @@ def admit_per_crawl(jobs: DataFrame, limits: DataFrame) -> DataFrame:
         .otherwise(F.greatest(F.coalesce("max_concurrency", F.lit(1)), F.lit(0))).alias("slots"))
     tagged = jobs.join(slots, "group_id", "left")
     limited = tagged.where(F.col("slots").isNotNull())
-    ranked = running_rank(
-        limited, ["group_id"], F.date_trunc("day", "created_at"),
-        [F.col("created_at"), F.col("id")])
+    ranked = rank_by_range(limited, ["group_id"], [F.col("created_at"), F.col("id")])
     out = ranked.select(
         "group_id", "id",
         F.when(F.col("rank") <= F.col("slots"), "eligible").otherwise("deferred").alias("bucket"))
@@ -266,7 +264,7 @@ def done_jobs(events: DataFrame, until: Column | None = None, start: int = 0,
         ok = ok.where(F.col("done_at") <= until)
     order = [F.col("done_at"), F.col("job_id")]
     if count is None:
-        ranked = running_rank(ok, ["group_id"], F.date_trunc("day", "done_at"), order)
+        ranked = rank_by_range(ok, ["group_id"], order)
     else:
         ranked = top_n(ok, ["group_id"], order, start + count)
     return ranked.where(F.col("rank") > start)

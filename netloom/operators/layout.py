@@ -8,8 +8,15 @@ which is one source row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from netloom.plans.ranking import top_n
+from netloom.session import write_table
 
 OCR_MIN_TEXT_OPS = 3
 TEXT_PAGE_RATIO = 0.6
@@ -201,9 +208,27 @@ def _is_continuation(row: Column) -> Column:
     return (F.get(row, 0) == "") & (count > 0) & ~sub_header & ~data
 
 
-def _merge_rows(above: Column, row: Column) -> Column:
-    return F.zip_with(above, row, lambda a, b: F.when(b == "", a).when(a == "", b).otherwise(
-        F.concat(a, F.lit(" "), b)))
+def _merged_rows(body: Column) -> Column:
+    """Rows with their continuation rows, each row read once.
+
+    Header and first row stand for themselves; from there on a row is a segment's
+    start unless it continues the row above, and a segment's cells are joined.
+    """
+    def merged(rows: Column) -> Column:
+        n = F.size(rows)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i < 2) | ~F.coalesce(
+            _is_continuation(F.get(rows, i)), F.lit(False)))
+
+        def joined(at: Column, end: Column) -> Column:
+            part = F.slice(rows, at + 1, end - at)
+            return F.when(end - at == 1, F.get(rows, at)).otherwise(F.transform(F.get(rows, at), lambda c, j: F.array_join(
+                F.filter(F.transform(part, lambda r: F.get(r, j)), lambda x: x != ""), " ")))
+
+        ends = F.transform(starts, lambda s, k: F.coalesce(F.get(F.slice(starts, k + 2, F.lit(1)), 0), n))
+        pairs = F.arrays_zip(starts.alias("at"), ends.alias("end"))
+        return F.when(n > 0, F.transform(pairs, lambda p: joined(p["at"], p["end"]))).otherwise(rows)
+
+    return F.get(F.transform(F.array(body), merged), 0)
 
 
 def padded_table_markdown(rows) -> Column:
@@ -211,16 +236,8 @@ def padded_table_markdown(rows) -> Column:
     clean = F.filter(F.transform(_c(rows), _trimmed), lambda r: F.exists(r, lambda c: c != ""))
     notes = F.filter(clean, lambda r: F.get(r, 0).rlike(FOOTNOTE))
     body = F.filter(clean, lambda r: ~F.get(r, 0).rlike(FOOTNOTE))
-    empty = F.array().cast("array<array<string>>")
-
-    def step(acc, row):
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 1) & _is_continuation(row), F.concat(
-            F.slice(acc, 1, F.size(acc) - 1), F.array(_merge_rows(last, row)))).otherwise(
-            F.concat(acc, F.array(row)))
-
     return F.transform(F.array(F.struct(
-        F.aggregate(body, empty, step).alias("rows"), notes.alias("notes"))), _render_padded).getItem(0)
+        _merged_rows(body).alias("rows"), notes.alias("notes"))), _render_padded).getItem(0)
 
 
 def _render_padded(t: Column) -> Column:
@@ -263,6 +280,16 @@ def _is_decoration(text: Column) -> Column:
     return text.rlike(r"^(.)\1*$")
 
 
+def _page_frames(rows: DataFrame) -> DataFrame:
+    """Of each page: the heights between which no line is near an edge, and how far its lines reach."""
+    heights = rows.groupBy("doc_id", "page", "y").agg(F.count("*").alias("_n"))
+    ends = [(F.col("y"), "_low", F.max), (F.desc("y"), "_high", F.min)]
+    parts = [top_n(heights, ["doc_id", "page"], [order], EDGE_LINES, "_nth").groupBy("doc_id", "page").agg(pick("y").alias(name))
+             for order, name, pick in ends]
+    reach = heights.groupBy("doc_id", "page").agg((F.max("y") - F.min("y")).alias("_reach"))
+    return reach.join(parts[0], ["doc_id", "page"]).join(parts[1], ["doc_id", "page"])
+
+
 def strip_repeated_lines(lines: DataFrame) -> DataFrame:
     """Drops running headers and footers of documents of three or more pages.
 
@@ -270,49 +297,38 @@ def strip_repeated_lines(lines: DataFrame) -> DataFrame:
     height; all fragments of its height on the page go with it.  The joined
     text of a height is tested too.
 
-    Everything is a window after one shuffle by document: a document is one
-    source row, and its parts stay where it went.
+    Pages are reduced to their frame, heights to one row, texts near an edge to
+    one row per key with its pages, times and spread of height; what repeats
+    drops its heights by an anti join.  No line carries anything of its document,
+    so a document of any length takes many tasks.
     """
-    doc, page = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page")
-    band = Window.partitionBy("doc_id", "page", "_band")
-    rows = lines.repartition("doc_id").withColumn("_band", F.round(F.col("y") * 10).cast("bigint"))
-    rows = rows.withColumns({
-        "_up": F.dense_rank().over(page.orderBy("y")),
-        "_down": F.dense_rank().over(page.orderBy(F.desc("y"))),
-        "_share": (F.max("y").over(page) - F.min("y").over(page)) / F.count("*").over(page),
-        "_pages": F.size(F.collect_set("page").over(doc)),
-        "_members": F.count("*").over(band),
-        "_nth": F.row_number().over(band.orderBy("line_no")),
-        "_texts": F.collect_list(F.struct("line_no", "text")).over(band)})
-    joined = F.array_join(F.transform(F.array_sort("_texts"), lambda t: t["text"]), " ")
-    rows = rows.withColumns({
-        "_edge": (F.col("_up") <= EDGE_LINES) | (F.col("_down") <= EDGE_LINES),
-        "_avg": F.greatest(F.sum("_share").over(doc) / F.col("_pages"), F.lit(1.0)),
-        "_line_key": comparison_key("text"),
-        "_band_key": F.when(F.col("_members") >= 2, comparison_key(joined))})
-
-    def usable(key: str) -> Column:
-        return F.when(F.col("_edge") & (F.octet_length(key) >= 10) & ~_is_decoration(F.col(key)),
-                      F.col(key))
-
-    rows = rows.withColumns({"_line_key": usable("_line_key"), "_band_key": usable("_band_key")})
-
-    def repeats(key: str, counted: Column) -> Column:
-        same = Window.partitionBy("doc_id", key)
-        on = F.size(F.collect_set(F.when(counted, F.col("page"))).over(same))
-        times = F.count(F.when(counted, F.lit(1))).over(same)
-        spread = F.stddev_pop(F.when(counted, F.col("y"))).over(same)
-        enough = F.greatest(F.lit(3), F.floor(F.col("_pages") * 30 / 100))
-        return F.coalesce(
-            F.col(key).isNotNull() & (F.col("_pages") >= 3) & (on >= enough)
-            & ~_is_structural(F.col(key)) & ((times < 2) | (spread / F.col("_avg") < 0.05)),
-            F.lit(False))
-
-    # A band counts once, by its first line.
-    hit = rows.withColumn("_hit", repeats("_line_key", F.lit(True))
-                          | repeats("_band_key", F.col("_nth") == 1))
-    gone = F.max("_hit").over(band)
-    return hit.withColumn("_gone", gone).where(~F.col("_gone")).select(*lines.columns)
+    band = ["doc_id", "page", "_band"]
+    rows = lines.withColumn("_band", F.round(F.col("y") * 10).cast("bigint"))
+    frames = write_table(_page_frames(rows))
+    documents = frames.groupBy("doc_id").agg(F.count("*").alias("_pages"), F.sum("_reach").alias("_reaches")).select(
+        "doc_id", "_pages", F.greatest(F.col("_reaches") / F.col("_pages"), F.lit(1.0)).alias("_avg")).where("_pages >= 3")
+    near = rows.join(frames, ["doc_id", "page"]).withColumn("_edge", (F.col("y") <= F.col("_low")) | (F.col("y") >= F.col("_high")))
+    first = F.struct("line_no", "y", F.col("_edge").alias("edge"))
+    # a height near no edge has no key
+    heights = near.groupBy(*band).agg(
+        F.max("_edge").alias("_any"), F.min(first).alias("_first"), F.count("*").alias("_members"),
+        F.sort_array(F.collect_list(F.struct("line_no", "y", F.col("_edge").alias("edge"), "text"))).alias("_lines")).where("_any")
+    joined = F.when(F.col("_members") >= 2, comparison_key(F.array_join(F.transform("_lines", lambda t: t["text"]), " ")))
+    one = F.transform(F.filter("_lines", lambda t: t["edge"]), lambda t: F.struct(
+        F.lit(0).alias("kind"), comparison_key(t["text"]).alias("key"), t["y"].alias("y"), F.lit(True).alias("counts")))
+    # a joined text counts once, by its first line
+    whole = F.array(F.struct(F.lit(1).alias("kind"), joined.alias("key"), F.col("_first.y").alias("y"),
+                             F.col("_first.edge").alias("counts")))
+    keyed = heights.select(*band, F.explode(F.concat(one, whole)).alias("k")).select(*band, "k.*").where(
+        (F.octet_length("key") >= 10) & ~_is_decoration(F.col("key")) & ~_is_structural(F.col("key")))
+    keyed = write_table(keyed)
+    repeated = keyed.where("counts").groupBy("doc_id", "kind", "key").agg(
+        F.count_distinct("page").alias("_on"), F.count("*").alias("_times"), F.stddev_pop("y").alias("_spread")
+    ).join(documents, "doc_id").where(
+        (F.col("_on") >= F.greatest(F.lit(3), F.floor(F.col("_pages") * 30 / 100)))
+        & ((F.col("_times") < 2) | (F.col("_spread") / F.col("_avg") < 0.05)))
+    gone = keyed.join(repeated.select("doc_id", "kind", "key"), ["doc_id", "kind", "key"], "left_semi").select(*band).distinct()
+    return rows.join(gone, band, "left_anti").select(*lines.columns)
 
 
 # --- headings and paragraphs -----------------------------------------------
@@ -360,30 +376,36 @@ def heading_levels(lines: DataFrame) -> DataFrame:
         "level", heading_level("font_size", "base_size", "tiers")).drop("base_size", "tiers")
 
 
+def _heading_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the headings of lines sorted by page; a line that joins none has a number of its own."""
+    page, level, top, number = None, None, 0.0, 0
+    for batch in batches:
+        numbers = []
+        for doc, on, y, size, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "y", "font_size", "level"))):
+            joins = (doc, on) == page and own is not None and own == level and 0 < top - y < size * 2
+            if not joins:
+                page, level, top, number = (doc, on), own, y, number + 1
+            numbers.append(number)
+        yield batch.append_column("segment", pa.array(numbers, pa.int64()))
+
+
 def merge_headings(lines: DataFrame) -> DataFrame:
     """Joins wrapped headings: same page, same level, close to the first line.
 
     ``lines`` carries ``level``.  The distance counts from the first line of the
-    heading, so the page's lines are folded in order.
+    heading, so the lines of a page are numbered in order, one at a time and
+    holding none; the lines of a number are then joined.
     """
-    item = F.struct("line_no", "y", "font_size", "level", "text")
-    packed = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("_lines"))
-
-    def step(acc, line):
-        last = F.element_at(acc, -1)
-        gap = last["y"] - line["y"]
-        joins = (F.size(acc) > 0) & line["level"].isNotNull() & (last["level"] == line["level"]) & (
-            gap > 0) & (gap < line["font_size"] * 2)
-        merged = F.struct(
-            last["line_no"].alias("line_no"), last["y"].alias("y"), last["font_size"].alias("font_size"),
-            last["level"].alias("level"),
-            F.concat(last["text"], F.lit(" "), F.ltrim(line["text"])).alias("text"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(
-            F.slice(acc, 1, F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(line)))
-
-    folded = F.aggregate(F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0))),
-                         F.slice("_lines", 1, 1), step)
-    return packed.select("doc_id", "page", F.explode(folded).alias("l")).select("doc_id", "page", "l.*")
+    rows = lines.select("doc_id", "page", "line_no", F.col("y").cast("double").alias("y"),
+                        F.col("font_size").cast("double").alias("font_size"), "level", "text")
+    numbered = rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "line_no").mapInArrow(
+        _heading_segments, StructType([*rows.schema.fields, StructField("segment", LongType())]))
+    line = F.struct("line_no", "y", "font_size", "level", "text")
+    merged = numbered.groupBy("doc_id", "page", "segment").agg(F.sort_array(F.collect_list(line)).alias("_lines"))
+    head, rest = F.get("_lines", 0), F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0)))
+    text = F.array_join(F.concat(F.array(head["text"]), F.transform(rest, lambda x: F.ltrim(x["text"]))), " ")
+    return merged.select("doc_id", "page", head["line_no"].alias("line_no"), head["y"].alias("y"),
+                         head["font_size"].alias("font_size"), head["level"].alias("level"), text.alias("text"))
 
 
 def has_dot_leaders(text) -> Column:

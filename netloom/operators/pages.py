@@ -29,16 +29,16 @@ def explode_computed(df: DataFrame, keep: list[str], array: Column, pos: str,
 
 def base_href(html, url) -> Column:
     """Base URL for links: the first ``base`` element, else the page URL."""
-    raw = H.unescape(H.unquote(F.regexp_extract(html, H.BASE_HREF, 1)))
-    has_base = html.rlike(H.BASE_HREF)
-    return F.when(has_base, F.coalesce(
-        F.nullif(U.resolve_url(raw, url), F.lit("")), url)).otherwise(url)
+    written = H.unquote(F.regexp_extract(html, H.BASE_HREF, 1))
+    resolved = H.once(H.unescape(written, attribute=True), lambda raw: F.nullif(U.resolve_url(raw, url), F.lit("")))
+    return F.when(html.rlike(H.BASE_HREF), F.coalesce(resolved, url)).otherwise(url)
 
 
 def hrefs(html) -> Column:
     """``href`` of every anchor in document order, as written."""
     found = F.regexp_extract_all(H.strip_noise(html), F.lit(H.A_HREF), F.lit(1))
-    return F.transform(found, lambda h: U.clean_href(H.unescape(H.unquote(h))))
+    decoded = F.transform(found, lambda h: H.unescape(H.unquote(h), attribute=True))
+    return F.transform(decoded, U.clean_href)
 
 
 def _with_base(pages: DataFrame) -> DataFrame:
@@ -96,34 +96,40 @@ IMAGE_META = ("og:image", "og:image:url", "og:image:secure_url", "twitter:image"
               "twitter:image:src", "image")
 
 
+def _of_kind(kind: int, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
 def image_sources(html) -> Column:
     """Every image reference of a page, unresolved, in a fixed order of kinds."""
     img = H.tags(html, "img")
     pictures = F.array_join(
         F.regexp_extract_all(html, F.lit(r"(?is)<picture\b.*?</picture\s*>"), F.lit(0)), " ")
     metas = F.filter(H.tags(html, "meta"), lambda t: F.coalesce(
-        (H.attribute(t, "property").isin(*IMAGE_META[:3]))
-        | (H.attribute(t, "name").isin(*IMAGE_META[3:5]))
-        | (H.attribute(t, "itemprop") == IMAGE_META[5]), F.lit(False)))
+        (H.raw_attribute(t, "property").isin(*IMAGE_META[:3]))
+        | (H.raw_attribute(t, "name").isin(*IMAGE_META[3:5]))
+        | (H.raw_attribute(t, "itemprop") == IMAGE_META[5]), F.lit(False)))
     icons = F.filter(H.tags(html, "link"), lambda t: F.coalesce(
-        H.attribute(t, "rel").rlike("icon|apple-touch-icon|image_src"), F.lit(False)))
+        H.raw_attribute(t, "rel").rlike("icon|apple-touch-icon|image_src"), F.lit(False)))
     styled = F.filter(
         F.regexp_extract_all(html, F.lit(r"(?is)<[a-z][^>]*\bstyle\s*=[^>]*>"), F.lit(0)),
-        lambda t: F.coalesce(H.attribute(t, "style").contains("background"), F.lit(False)))
-    return F.concat(
-        _present(F.transform(img, lambda t: H.attribute(t, "src"))),
-        _present(F.transform(img, lambda t: H.attribute(t, "data-src"))),
-        F.flatten(F.transform(img, lambda t: _srcset_urls(H.attribute(t, "srcset")))),
-        F.flatten(F.transform(H.tags(pictures, "source"),
-                              lambda t: _srcset_urls(H.attribute(t, "srcset")))),
-        _present(F.transform(metas, lambda t: H.attribute(t, "content"))),
-        _present(F.transform(icons, lambda t: H.attribute(t, "href"))),
-        _present(F.transform(H.tags(html, "video"), lambda t: H.attribute(t, "poster"))),
-        _present(F.flatten(F.transform(styled, lambda t: F.transform(
-            F.regexp_extract_all(H.attribute(t, "style"),
-                                 F.lit(r"url\(['\"]?([^'\")]+)['\"]?\)"), F.lit(1)),
-            lambda u: F.trim(u))))),
-    )
+        lambda t: F.coalesce(H.raw_attribute(t, "style").contains("background"), F.lit(False)))
+    sets = F.concat(F.transform(img, lambda t: H.raw_attribute(t, "srcset")),
+                    F.transform(H.tags(pictures, "source"), lambda t: H.raw_attribute(t, "srcset")))
+    styles = F.transform(styled, lambda t: H.raw_attribute(t, "style"))
+    kinds = [
+        F.transform(img, lambda t: H.raw_attribute(t, "src")), F.transform(img, lambda t: H.raw_attribute(t, "data-src")),
+        sets, F.transform(metas, lambda t: H.raw_attribute(t, "content")),
+        F.transform(icons, lambda t: H.raw_attribute(t, "href")),
+        F.transform(H.tags(html, "video"), lambda t: H.raw_attribute(t, "poster")), styles]
+    # all values are decoded in one place: (kind, value)
+    valued = F.concat(*[_of_kind(i, values) for i, values in enumerate(kinds)])
+    decoded = F.transform(valued, lambda x: F.struct(x["kind"].alias("kind"), H.unescape(x["value"], attribute=True).alias("value")))
+    return _present(F.flatten(F.transform(decoded, lambda x: (
+        F.when(x["kind"] == 2, _srcset_urls(x["value"]))
+        .when(x["kind"] == 6, F.transform(
+            F.regexp_extract_all(x["value"], F.lit(r"url\(['\"]?([^'\")]+)['\"]?\)"), F.lit(1)), lambda u: F.trim(u)))
+        .otherwise(F.array(x["value"]))))))
 
 
 def with_images(pages: DataFrame, out: str = "images") -> DataFrame:
@@ -182,9 +188,10 @@ def _entry(key: Column, value: Column) -> Column:
 
 def _parsed_metas(html: Column) -> Column:
     """Attributes of every ``meta`` element, read once."""
-    return F.transform(H.tags(html, "meta"), lambda t: F.struct(
-        H.attribute(t, "name").alias("name"), H.attribute(t, "property").alias("property"),
-        H.attribute(t, "itemprop").alias("itemprop"), H.attribute(t, "content").alias("content")))
+    names = ("name", "property", "itemprop", "content")
+    values = F.transform(H.tags(html, "meta"), lambda t: F.transform(
+        F.array(*[H.raw_attribute(t, n) for n in names]), lambda v: H.unescape(v, attribute=True)))
+    return F.transform(values, lambda v: F.struct(*[F.get(v, i).alias(n) for i, n in enumerate(names)]))
 
 
 def _first_meta(attr: str, key: str) -> Column:
@@ -204,7 +211,7 @@ def page_language(html) -> Column:
 
 def _meta_entries() -> Column:
     """Typed fields, then every ``meta`` element under its own key."""
-    exact = F.filter("_links", lambda t: F.coalesce(H.attribute(t, "rel") == "icon", F.lit(False)))
+    exact = F.filter("_links", lambda t: F.coalesce(H.raw_attribute(t, "rel") == "icon", F.lit(False)))
     favicon = H.attribute(F.coalesce(F.get(exact, 0), F.get("_links", 0)), "href")
     typed = [
         _entry(F.lit("title"), F.col("_title")), _entry(F.lit("favicon"), favicon),
@@ -250,7 +257,7 @@ def with_metadata(pages: DataFrame, out: str = "metadata") -> DataFrame:
             "_metas": _parsed_metas(clean), "_title": page_title(clean),
             "_lang": page_language(clean),
             "_links": F.filter(H.tags(clean, "link"), lambda t: F.coalesce(
-                H.attribute(t, "rel").contains("icon"), F.lit(False)))})
+                H.raw_attribute(t, "rel").contains("icon"), F.lit(False)))})
         .withColumn("_entries", _meta_entries())
         .withColumn("_map", _entry_map(F.col("_entries"))))
 

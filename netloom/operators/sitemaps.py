@@ -104,7 +104,8 @@ def sitemap_candidates(seeds: DataFrame, robots_sitemaps: DataFrame | None = Non
     site = U.origin("url")
     beside = F.concat(
         site, F.regexp_replace(U.path("url"), r"/$", ""), F.lit("/sitemap.xml"))
-    parent = F.concat(U.scheme("url"), F.lit("://"), U.base_domain("url"), F.lit("/sitemap.xml"))
+    named = U.with_domain(seeds, _site=U.host("url"))
+    parent = F.concat(U.scheme("url"), F.lit("://"), F.col("_site"), F.lit("/sitemap.xml"))
     is_file = F.col("url").rlike(r"\.xml(\.gz)?$")
 
     def entry(pos, where, host=None):
@@ -113,8 +114,8 @@ def sitemap_candidates(seeds: DataFrame, robots_sitemaps: DataFrame | None = Non
 
     guesses = F.when(is_file, F.array(entry(0, F.col("url")))).otherwise(F.array(
         entry(1000, beside), entry(1001, F.concat(site, F.lit("/sitemap.xml"))),
-        entry(1002, parent, F.when(U.host("url") != U.base_domain("url"), U.host("url")))))
-    out = seeds.select("crawl_id", F.explode_outer(guesses).alias("g")).select(
+        entry(1002, parent, F.when(U.host("url") != F.col("_site"), U.host("url")))))
+    out = named.select("crawl_id", F.explode_outer(guesses).alias("g")).select(
         "crawl_id", "g.pos", "g.sitemap_url", "g.only_host").where("sitemap_url is not null")
     if robots_sitemaps is not None:
         listed = seeds.where(~is_file).select("crawl_id", U.host("url").alias("host")).join(

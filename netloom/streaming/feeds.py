@@ -74,11 +74,11 @@ def rate_limit_stream(requests: DataFrame, points: Column | None = None,
 
 
 def last_success(job_events: DataFrame, now: Column | None = None, keep: str = "24 hours") -> DataFrame:
-    """Latest success per owner; in batch, only those younger than ``keep``."""
-    done = job_events.where("action = 'completed'")
-    if job_events.isStreaming:
-        done = done.withWatermark("ts", keep)
-    latest = done.groupBy("owner_id").agg(F.max("ts").alias("last_success"))
+    """Latest success per owner; with ``now``, only those younger than ``keep``.
+
+    For batch tables; of a stream see ``stateful.last_success_stream``.
+    """
+    latest = job_events.where("action = 'completed'").groupBy("owner_id").agg(F.max("ts").alias("last_success"))
     if now is None:
         return latest
     return latest.where(F.col("last_success") > now - F.expr(f"interval {keep}"))

@@ -7,15 +7,12 @@ for turns, which may come in any order.
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from netloom.plans.ranking import running_total
+from netloom.plans.ranking import by_range, running_total
 from netloom.streaming.runner import use_keyed_state
 
 LEASE_TTL_MS = 30_000
@@ -113,21 +110,19 @@ def lease_audit_batch(lease_events: DataFrame, limit: int, ttl_ms: int = LEASE_T
 
     After a pause of at least the lifetime no lease is live, so an owner's log
     falls into independent bursts; each burst is folded on its own and a busy
-    owner spreads over tasks.
+    owner spreads over tasks.  Bursts are numbered over even ranges of the log;
+    only a burst itself, whose verdicts depend on each other, stays in one task,
+    which holds no more than its live leases.
     """
-    from pyspark.sql import Window
-
-    day = F.floor(F.col("ms") / 86_400_000)
-    rows = _with_ms(lease_events).withColumn("_day", day)
-    last = rows.groupBy("owner_id", "_day").agg(F.max("ms").alias("_max"))
-    previous = last.select("owner_id", "_day", F.lag("_max").over(
-        Window.partitionBy("owner_id").orderBy("_day")).alias("_prev_max"))
-    inside = Window.partitionBy("owner_id", "_day").orderBy("ms", "event_id")
-    gapped = rows.join(previous, ["owner_id", "_day"]).withColumn(
+    rows = by_range(_with_ms(lease_events), ["owner_id"], [F.col("ms"), F.col("event_id")])
+    last = rows.groupBy("owner_id", "_part").agg(F.max("ms").alias("_max"))
+    previous = last.select("owner_id", "_part", F.lag("_max").over(
+        Window.partitionBy("owner_id").orderBy("_part")).alias("_prev_max"))
+    inside = Window.partitionBy("owner_id", "_part").orderBy("_at")
+    gapped = rows.join(previous, ["owner_id", "_part"]).withColumn(
         "_gap", F.col("ms") - F.coalesce(F.lag("ms").over(inside), F.col("_prev_max")))
     starts = F.coalesce(F.col("_gap") >= ttl_ms, F.lit(True)).cast("bigint")
-    bursts = running_total(gapped, ["owner_id"], F.col("_day"),
-                           [F.col("ms"), F.col("event_id")], starts, "_burst")
+    bursts = running_total(gapped, ["owner_id"], F.col("_part"), [F.col("_at")], starts, "_burst")
 
     def fold(frames):
         # Rows arrive burst by burst in time order; only live leases are held.
@@ -271,35 +266,134 @@ def group_completion_stream(job_events: DataFrame, late: str = "1 minute", keep_
 
 
 _EXCHANGE_OUT = "session_id bigint, turn bigint, sequence bigint, user_message string, assistant_message string"
+_EXCHANGE_COLUMNS = ["session_id", "turn", "sequence", "user_message", "assistant_message"]
+
+
+class TurnProcessor(StatefulProcessor):
+    """A session's position, and a row for each turn that came before its time."""
+
+    def __init__(self, patience_ms: int, keep_ms: int):
+        self.patience_ms, self.keep_ms = patience_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.position = handle.getValueState("position", "sequence bigint, following bigint, text string")
+        self.waiting = handle.getMapState("waiting", "turn bigint", "role string, text string")
 
+    def _walk(self, key, sequence, following, text, fresh) -> list[tuple]:
+        """Takes turns while the next one is there, from this micro-batch or the state."""
+        out = []
+        while True:
+            if following in fresh:
+                role, said = fresh.pop(following)
+            elif self.held and self.waiting.containsKey((following,)):
+                role, said = self.waiting.getValue((following,))
+                self.waiting.removeKey((following,))
+            else:
+                break
+            if role == "user":
+                text = said
+            else:
+                if role == "assistant" and text is not None:
+                    sequence += 1
+                    out.append((key[0], following - 1, sequence, text, said))
+                text = None
+            following += 1
+        self.position.update((sequence, following, text))
+        return out
+
+    def _wait(self, now: int) -> None:
+        """A session that misses a turn goes on without it after a while; one at rest goes after a longer one."""
+        self.held = next(iter(self.waiting.iterator()), None) is not None
+        _set_timer(self.handle, now + (self.patience_ms if self.held else self.keep_ms))
 
-def _pair_turns(key, frames, state: GroupState):
-    sequence, following, text, held = state.get if state.exists else (0, 0, None, "{}")
-    waiting = {int(t): row for t, row in json.loads(held).items()}
-    for frame in frames:
-        waiting |= {int(r.turn): (r.role, r.text) for r in frame.itertuples(index=False) if r.turn >= following}
-    out = []
-    while following in waiting:
-        role, said = waiting.pop(following)
-        if role == "user":
-            text = said
+    def handleInputRows(self, key, rows, timerValues):
+        sequence, following, text = self.position.get() if self.position.exists() else (0, 0, None)
+        fresh, now = {}, 0
+        for frame in rows:
+            now = max(now, int(frame["ms"].max()))
+            for r in frame.itertuples(index=False):
+                if r.turn >= following:
+                    fresh[int(r.turn)] = (r.role, r.text)
+        self.held = self.position.exists() and next(iter(self.waiting.iterator()), None) is not None
+        out = self._walk(key, sequence, following, text, fresh)
+        for turn, value in fresh.items():
+            self.waiting.updateValue((turn,), value)
+        self._wait(now)
+        yield pd.DataFrame(out, columns=_EXCHANGE_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        out, turns = [], [k[0] for k, _ in self.waiting.iterator()]
+        if turns:  # the turns before these are lost
+            sequence, _, _ = self.position.get()
+            self.held = True
+            out = self._walk(key, sequence, min(turns), None, {})
+            self._wait(timerValues.getCurrentWatermarkInMs())
         else:
-            if role == "assistant" and text is not None:
-                sequence += 1
-                out.append((key[0], following - 1, sequence, text, said))
-            text = None
-        following += 1
-    state.update((sequence, following, text, json.dumps(waiting)))
-    yield pd.DataFrame(out, columns=["session_id", "turn", "sequence", "user_message", "assistant_message"])
+            self.position.clear()
+        yield pd.DataFrame(out, columns=_EXCHANGE_COLUMNS)
+
+    def close(self) -> None:
+        pass
 
 
-def exchange_stream(turns: DataFrame) -> DataFrame:
+def exchange_stream(turns: DataFrame, patience_ms: int = 600_000, keep_ms: int = 7 * KEEP_MS,
+                    seen: Column | None = None, late: str = "1 minute") -> DataFrame:
     """Exchanges as turns arrive, numbered per session.
 
-    Turns of a session count from 0 without gaps and may come in any order: a
-    turn waits in the state for those before it.  Turns carry no time, so a
-    session's state (its position and what waits) stays.
+    Turns of a session count from 0 and may come in any order: a turn that comes
+    early is one row of the state until those before it are there.  ``patience_ms``
+    after the session's last arrival they count as lost and the session goes on
+    without them, so a lost turn costs its own exchange only.  A session that says
+    nothing for ``keep_ms`` is over and leaves the state.  ``seen`` is the time a
+    turn arrives, by default that of its micro-batch; it may run ``late``.
+    """
+    use_keyed_state(turns.sparkSession)
+    arrived = turns.select("conv_id", "turn", "role", "text", (F.current_timestamp() if seen is None else seen).alias("seen"))
+    rows = arrived.withWatermark("seen", late).withColumn("ms", F.unix_millis("seen"))
+    return rows.groupBy("conv_id").transformWithStateInPandas(
+        TurnProcessor(patience_ms, keep_ms), outputStructType=_EXCHANGE_OUT, outputMode="Append", timeMode="EventTime")
+
+
+_SUCCESS_OUT = "owner_id bigint, last_success timestamp"
+
+
+class SuccessProcessor(StatefulProcessor):
+    """Time of an owner's last success, until it is too old."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = max(int(frame["ms"].max()) for frame in rows)
+        known = self.last.get()[0] if self.last.exists() else None
+        out = []
+        if known is None or newest > known:
+            self.last.update((newest,))
+            _set_timer(self.handle, newest + self.keep_ms)
+            out.append((key[0], pd.Timestamp(newest, unit="ms")))
+        yield pd.DataFrame(out, columns=["owner_id", "last_success"]).astype({"last_success": "datetime64[ns]"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        yield pd.DataFrame({"owner_id": [key[0]], "last_success": pd.Series([pd.NaT], dtype="datetime64[ns]")})
+
+    def close(self) -> None:
+        pass
+
+
+def last_success_stream(job_events: DataFrame, keep_ms: int = KEEP_MS, late: str = "1 minute") -> DataFrame:
+    """Latest success per owner as it changes; a row without a time once it is older than ``keep_ms``.
+
+    The age is taken against the watermark of all events.  An owner's state goes
+    with its last row.
     """
-    return turns.groupBy("conv_id").applyInPandasWithState(
-        _pair_turns, _EXCHANGE_OUT, "sequence bigint, following bigint, text string, held string", "append",
-        GroupStateTimeout.NoTimeout)
+    use_keyed_state(job_events.sparkSession)
+    # one condition on both columns: a plain one is moved below the watermark, which then misses the other events
+    done = _with_ms(job_events.withWatermark("ts", late)).where("case when ts is not null then action = 'completed' end")
+    return done.groupBy("owner_id").transformWithStateInPandas(
+        SuccessProcessor(keep_ms), outputStructType=_SUCCESS_OUT, outputMode="Update", timeMode="EventTime")

@@ -33,7 +33,7 @@ def site_link_report(spark, sf_dir):
     links = P.extract_links(read_pages(spark, f"{sf_dir}/pages.parquet"))
     seeded = links.withColumn("initial_url", F.concat(U.origin("url"), F.lit("/")))
     policy = C.valid_patterns(spark, C.CrawlPolicy(excludes=("^/[a-z]{2}$",)))
-    judged = C.filter_links(seeded, policy).withColumn("domain", U.base_domain("url"))
+    judged = U.with_domain(C.filter_links(seeded, policy), domain=U.host("url"))
     counted = judged.groupBy("domain", F.coalesce("reason", F.lit("ALLOWED")).alias("reason")).agg(
         F.count("*").alias("n"))
     return counted

@@ -10,6 +10,7 @@ from netloom.operators import crawl as C
 from netloom.operators import discovery, robots, sitemaps
 from netloom.operators.crawl import CrawlPolicy
 from netloom.plans.views import check_sql, view
+from netloom.session import write_table
 from netloom.suite import sqltext as T
 from netloom.suite.registry import query
 
@@ -112,7 +113,7 @@ from (select {T.base_domain('url')} as domain, {duck_reason(SITE, _ROOT)} as rea
 where reason is not null group by all
 """, "all_links", extra=VARIANTS))
 def _(spark, sf):
-    rows = flagged(spark, sf).withColumn("domain", U.base_domain("url"))
+    rows = U.with_domain(flagged(spark, sf), domain=U.host("url"))
     return C.denial_report(rows, "domain")
 
 
@@ -277,12 +278,12 @@ def _(spark, sf):
     rows = view(spark, sf, "all_links").select(
         F.expr("page_id % 7").alias("crawl_id"), (F.col("page_id") * 10000 + F.col("pos")).alias("pos"),
         U.resolve_url("href", "url").alias("url"))
+    # one pass over the links gives both keys; claims and visited URLs read the written rows
+    keyed = write_table(C.with_url_keys(rows))
     out = None
-    for mode, similar, limit in (("plain", False, 60), ("similar", True, None)):
-        visited = rows.where("pos % 11 = 0").select(
-            "crawl_id", C.url_key("url", similar=similar).alias("key"))
-        part = C.claim_urls(rows, visited, limit, similar=similar,
-                            bucket=F.floor(F.col("pos") / 1_000_000)).select(
+    for mode, limit in (("plain", 60), ("similar", None)):
+        own = keyed.select("crawl_id", "url", "pos", F.col(f"{mode}_key").alias("key"))
+        part = C.claim_keys(own, own.where("pos % 11 = 0"), limit, F.floor(F.col("pos") / 1_000_000)).select(
             F.lit(mode).alias("mode"), "crawl_id", "url", "key")
         out = part if out is None else out.unionByName(part)
     return out
@@ -346,8 +347,9 @@ j as (select *, {T.similar_key('s')} as sc, {T.similar_key('d')} as dc,
          when contains(final_url, 'twitter.com') then 'SOCIAL_MEDIA'
          when {T.base_domain('final_url')} <> {T.base_domain('source_url')} then 'EXTERNAL_LINK' end end as reason
   from k),
-c as (select *, s <> d and reason is null and sc <> dc as candidate from j)
-select crawl_id, fetch_id, case when s = d then 'same' when reason is not null then 'denied'
+b as (select *, s <> d and reason is null and {T.base_domain('final_url')} = 'example.net' as blocked from j),
+c as (select *, s <> d and reason is null and not blocked and sc <> dc as candidate from b)
+select crawl_id, fetch_id, case when s = d then 'same' when reason is not null then 'denied' when blocked then 'blocked'
     when not candidate then 'equivalent'
     when {T.path('final_url')} = '/seen' then 'raced'
     when fetch_id <> min(case when candidate then fetch_id end) over (partition by crawl_id, dc) then 'raced'
@@ -371,7 +373,8 @@ def _(spark, sf):
     visited = pages.select(F.expr("page_id % 5").alias("crawl_id"),
                            F.concat(site, F.lit("/seen")).alias("url"))
     policy = CrawlPolicy(allow_subdomains=True)
-    return C.reconcile_redirects(fetches, visited, policy).select(
+    listed = spark.createDataFrame([("example.net",), ("spam.example",)], "domain string")
+    return C.reconcile_redirects(fetches, visited, policy, blocklist=listed).select(
         "crawl_id", "fetch_id", "outcome", "reason", "new_origin")
 
 

@@ -223,7 +223,8 @@ def _(spark, sf):
 
 @query("t09_last_success_stream", check_sql(f"""
 select owner_id, {duck_stamp('max(ts)')} as last_success from job_events where action = 'completed' group by owner_id
+having max(epoch_us(ts) // 1000) + {stateful.KEEP_MS} > (select max(epoch_us(ts) // 1000) from job_events) - 60000
 """, "job_events"))
 def _(spark, sf):
-    latest = run_available(feeds.last_success(job_events(spark, sf)), "success", "update", ("owner_id",))
-    return latest.withColumn("last_success", stamp("last_success"))
+    latest = run_available(stateful.last_success_stream(job_events(spark, sf)), "success", "update", ("owner_id",))
+    return latest.where("last_success is not null").withColumn("last_success", stamp("last_success"))

@@ -45,3 +45,48 @@ def test_heading_without_tiers(spark):
 def test_page_selection(spark):
     df = spark.range(1).select(L.page_selection(F.lit("3-1, 2-4 ,9,x,-2,4"), F.lit(5)))
     assert df.first()[0] == [2, 3, 4]
+
+
+def test_long_padded_table(spark):
+    """100,000 rows, every third one continuing the row above."""
+    n = 100_000
+    table = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(
+        (i % 3 == 2), F.array(F.lit(""), F.lit("more than ten letters"))).otherwise(
+        F.array(F.concat(F.lit("k"), i.cast("string")), F.lit("v")))).alias("rows"))
+    out = table.select(L.padded_table_markdown("rows").alias("t")).select(
+        F.size(F.split("t", "\n")).alias("lines"), F.regexp_count("t", F.lit("v more than ten letters")).alias("joined")).first()
+    assert out.joined == n // 3 and out.lines == n - n // 3 + 2
+
+
+def test_continuations_of_header_and_first_row_stay(spark):
+    rows = [["Name", "Value"], ["", "longer words wrap"], ["", "and wrap again"], ["b", "1"], ["", "last long words"], ["", "end of it all"]]
+    df = spark.createDataFrame([(rows,)], "rows array<array<string>>")
+    lines = df.select(L.padded_table_markdown("rows")).first()[0].splitlines()
+    assert [c.strip() for c in lines[2].split("|")[1:-1]] == ["", "longer words wrap and wrap again"]
+    assert [c.strip() for c in lines[3].split("|")[1:-1]] == ["b", "1 last long words end of it all"] and len(lines) == 4
+
+
+def test_long_headings(spark):
+    """100,000 lines of one page: headings of three lines each, as far down as the first line allows."""
+    lines = spark.range(100_000).select(
+        F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("line_no"),
+        (F.lit(10_000_000) - F.col("id") * 15).cast("double").alias("y"), F.lit(20.0).alias("font_size"),
+        F.when(F.col("id") < 90_000, 2).alias("level"), F.concat(F.lit(" t"), F.col("id").cast("string")).alias("text"))
+    merged = L.merge_headings(lines)
+    heads = merged.where("level is not null")
+    assert heads.count() == 30_000 and merged.where("level is null").count() == 10_000
+    assert heads.where("line_no = 3").first().text == " t3 t4 t5"
+
+
+def test_repeated_lines_of_one_long_document(spark):
+    """A running header over 20,000 pages goes, with the fragments at its height; the rest of 200,000 lines stays."""
+    lines = spark.range(200_000).select(
+        F.lit(7).alias("doc_id"), (F.col("id") / 10).cast("int").alias("page"), (F.col("id") % 10).alias("line_no"),
+        (F.lit(700.0) - F.when(F.col("id") % 10 == 1, 0).otherwise(F.col("id") % 10) * 40.0).alias("y"),
+        F.when(F.col("id") % 10 == 0, F.lit("Annual Report of the Company")).otherwise(
+            F.concat(F.lit("unlike text number "), F.xxhash64("id").cast("string"), F.lit("x"))).alias("text"))
+    left = L.strip_repeated_lines(lines)
+    assert left.columns == lines.columns and left.count() == 160_000
+    assert left.where("line_no < 2").count() == 0
+    short = lines.where("page < 2")
+    assert L.strip_repeated_lines(short).count() == 20

@@ -92,3 +92,25 @@ def test_frames_of_any_depth(spark):
     pages = spark.createDataFrame([(1, "https://h.com/", page)], "page_id bigint, url string, html string")
     got = {r.link: r.frame_depth for r in data_iframe_links(pages).collect()}
     assert got == {f"https://h.com/deep{n}": n for n in range(7)}
+
+
+def test_escaped_breaks_of_long_texts(spark):
+    """Against a running depth, on random texts and on one of 100,000 lines."""
+    import random
+
+    from netloom.operators.blocks import clean_markdown_links
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("[]]\nab[é") for _ in range(40)) for _ in range(300)]
+    texts += ["[a\n" * 100_000 + "]\n" * 100_000, "[\n]\n]\n[\n", "no brackets\nhere", "", None]
+
+    def by_hand(text):
+        depth, out = 0, []
+        for c in text:
+            depth = depth + 1 if c == "[" else max(depth - 1, 0) if c == "]" else depth
+            out.append("\\\n" if c == "\n" and depth > 0 else c)
+        return "".join(out)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(df.select("i", clean_markdown_links("t")).collect())
+    assert [got[i] for i in range(len(texts))] == [t if t is None else by_hand(t) for t in texts]

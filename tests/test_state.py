@@ -168,8 +168,93 @@ def test_streams_do_not_depend_on_batching(spark, tmp_path):
     streamed = run_available(stateful.lease_audit(stream, 2), "leases")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, stateful.lease_audit_batch(df, 2).collect()))
 
-    done = df.select("owner_id", "ts", F.lit("completed").alias("action"))
-    parts = [done.where(F.col("ts") < "1970-01-01 00:20:00"), done.where(F.col("ts") >= "1970-01-01 00:20:00")]
+    # successes of three owners, the first of them a day and more before the end of the log
+    done = spark.createDataFrame([(o, h * 3600, "completed" if h != 60 else "failed") for o, h in (
+        (1, 1), (2, 2), (1, 5), (2, 30), (3, 40), (1, 6), (3, 41), (9, 60))], "owner_id bigint, s bigint, action string")
+    done = done.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    cuts = [0, 7, 35, 45, 100]
+    parts = [done.where((F.unix_timestamp("ts") >= a * 3600) & (F.unix_timestamp("ts") < b * 3600)) for a, b in zip(cuts, cuts[1:])]
     stream = in_batches(spark, str(tmp_path / "done"), parts, done.schema)
-    latest = run_available(feeds.last_success(stream), "success", "update", ("owner_id",))
-    assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, done.groupBy("owner_id").agg(F.max("ts")).collect()))
+    latest = run_available(stateful.last_success_stream(stream), "success", "update", ("owner_id",)).where("last_success is not null")
+    batch = feeds.last_success(done, F.timestamp_seconds(F.lit(60 * 3600 - 60)))
+    assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, batch.collect())) and batch.count() == 1
+
+
+def run_to(stream, folder, mode="append"):
+    def write(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(
+        availableNow=True).foreachBatch(write).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out/batch=*")
+
+
+def held(spark, folder, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/state").count()
+
+
+def test_a_lost_turn_frees_its_session(spark, tmp_path):
+    schema = "conv_id bigint, turn bigint, role string, text string, second bigint"
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c}.{t}", 1000 + 10 * (3, 1, 0, 2)[t % 4]) for c in range(3) for t in range(12)]
+    lost = [r for r in rows if r[:2] not in ((1, 3), (1, 8))]
+    seen = F.timestamp_seconds("second")
+
+    def run(name, rows, patience, keep=10**9):
+        """Turns in micro-batches by the second they arrive."""
+        frames = [spark.createDataFrame([r for r in rows if r[4] == s], schema) for s in sorted({r[4] for r in rows})]
+        stream = in_batches(spark, str(tmp_path / f"{name}-in"), frames, frames[0].schema)
+        got = run_to(stateful.exchange_stream(stream, patience, keep, seen), str(tmp_path / name)).collect()
+        return sorted((r.session_id, r.turn, r.sequence) for r in got)
+
+    full = [(c, t, t // 2 + 1) for c in (0, 2) for t in range(0, 12, 2)]
+    # patient: the session of the lost turn still waits, a row for each turn
+    assert run("a", lost, 100_000) == sorted([*full, (1, 0, 1)])
+    assert held(spark, str(tmp_path / "a"), "waiting") == 7
+    # a minute later another session speaks, and the lost turns are given up
+    later = [(9, 0, "user", "x", 1200), (9, 1, "assistant", "y", 1600)]
+    assert run("b", lost + later, 100_000) == sorted([*full, (1, 0, 1), (1, 4, 2), (1, 6, 3), (1, 10, 4), (9, 0, 1)])
+    assert held(spark, str(tmp_path / "b"), "waiting") == 0 and held(spark, str(tmp_path / "b"), "position") == 4
+    # a session at rest leaves the state
+    run("c", lost + later, 1_000, 100_000)
+    assert held(spark, str(tmp_path / "c"), "position") == 2  # the last one, and that of the second lost turn
+
+
+def test_success_state_ends(spark, tmp_path):
+    done = spark.createDataFrame([(i, i * 3600) for i in range(60)], "owner_id bigint, s bigint").select(
+        "owner_id", F.timestamp_seconds("s").alias("ts"), F.lit("completed").alias("action"))
+    parts = [done.where(f"owner_id div 20 = {k}") for k in range(3)]
+    stream = in_batches(spark, str(tmp_path / "in"), parts, done.schema)
+    run_to(stateful.last_success_stream(stream), str(tmp_path / "s"), "update")
+    assert held(spark, str(tmp_path / "s"), "last") == 24
+
+
+def test_rank_in_one_hot_group(spark):
+    from netloom.operators import jobs
+    from netloom.plans.ranking import by_range, rank_by_range
+
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7).alias("group_id"),  # a null group holds nine tenths
+        F.lit("2024-01-01").cast("timestamp").alias("created_at"), (F.col("id") * 7919 % 40_009).alias("id")).repartition(6)
+    order = [F.col("created_at"), F.col("id")]
+    parts = by_range(rows, ["group_id"], order).where("group_id is null").groupBy("_part").count().collect()
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 20_000
+    got = {r.id: r.rank for r in rank_by_range(rows, ["group_id"], order).collect()}
+    by_group = {}
+    for r in rows.collect():
+        by_group.setdefault(r.group_id, []).append(r.id)
+    assert got == {i: n for ids in by_group.values() for n, i in enumerate(sorted(ids), 1)}
+
+    hot = rows.withColumn("group_id", F.lit(1).cast("bigint"))
+    limits = spark.createDataFrame([(1, None, 5_000)], "group_id bigint, delay double, max_concurrency int")
+    admitted = jobs.admit_per_crawl(hot, limits).where("bucket = 'eligible'")
+    assert sorted(r.id for r in admitted.select("id").collect()) == sorted(r.id for r in rows.select("id").collect())[:5_000]
+
+
+def test_leases_of_one_owner_at_one_time(spark):
+    rng = random.Random(3)
+    rows = [(i, 1, rng.randint(0, 30), rng.choice(("acquire", "heartbeat", "release")), 1_000_000 * (i // 3000)) for i in range(9000)]
+    df = spark.createDataFrame(rows, "event_id bigint, owner_id bigint, holder bigint, action string, ms0 bigint").withColumn(
+        "ts", F.timestamp_millis("ms0")).drop("ms0")
+    live, got = {}, {r.event_id: (r.granted, r.in_use) for r in stateful.lease_audit_batch(df.repartition(5), 4).collect()}
+    own = [(e, h, a, ms) for e, _, h, a, ms in rows]
+    assert got == {e: (g, n) for e, _, _, g, n in stateful.fold_leases(live, own, 4, stateful.LEASE_TTL_MS)}

@@ -80,10 +80,39 @@ def test_capture_files_of_either_form(spark, tmp_path):
 
 
 def test_suffix_table_takes_the_longest_match(spark):
-    hosts = spark.createDataFrame([("a.b.city.kawasaki.jp",), ("x.github.io",), ("one",)], "host string")
-    table = spark.createDataFrame([("jp",), ("city.kawasaki.jp",), ("io",), ("github.io",)], "suffix string")
+    hosts = spark.createDataFrame([("a.b.city.kawasaki.jp",), ("x.github.io",), ("one",), ("a.www.ck",), ("a.b.c.ck",)], "host string")
+    rules = ("jp", "city.kawasaki.jp", "io", "github.io", "ck", "*.ck", "!www.ck")
+    table = spark.createDataFrame([(r,) for r in rules], "suffix string")
     got = {r.host: r.base_domain for r in U.with_base_domain(hosts, table).collect()}
-    assert got == {"a.b.city.kawasaki.jp": "b.city.kawasaki.jp", "x.github.io": "x.github.io", "one": None}
+    assert got == {"a.b.city.kawasaki.jp": "b.city.kawasaki.jp", "x.github.io": "x.github.io", "one": None,
+                   "a.www.ck": "www.ck", "a.b.c.ck": "b.c.ck"}
+    # the column form reads the same rules
+    assert got == {r.host: r.d for r in hosts.select("host", U.base_domain_of_host(F.col("host"), rules).alias("d")).collect()}
+
+
+def test_every_public_suffix(spark):
+    """Of ``x.y.<suffix>``, for all rules of the list, what a plain reading of the rules gives."""
+    rules = U.public_suffixes()
+    plain, wild, never = ({r for r in rules if r[0] not in "*!"}, {r[2:] for r in rules if r[0] == "*"},
+                          {r[1:] for r in rules if r[0] == "!"})
+
+    def by_hand(host):
+        labels = host.split(".")
+        runs = [".".join(labels[-k:]) for k in range(1, len(labels) + 1)]
+        size = max([k + (run in wild) for k, run in enumerate(runs, 1) if run in plain or run in wild], default=1)
+        size = max([k - 1 for k, run in enumerate(runs, 1) if run in never], default=size)
+        return ".".join(labels[-size - 1:]) if len(labels) > size else None
+
+    hosts = [h for r in rules for h in (r.lstrip("*.!"), "x." + r.lstrip("*.!"), "x.y." + r.lstrip("*.!"))]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, h string")
+    got = dict(df.select("i", U.base_domain_of_host(F.col("h"))).collect())
+    assert [got[i] for i in range(len(hosts))] == [by_hand(h) for h in hosts]
+
+
+def test_odd_hosts_have_no_domain(spark):
+    rows = [("",), (".",), ("example.com.",), (".example.com",), ("a..com",), (None,), ("1.2.3.4",), ("[::1]",), ("com",)]
+    df = spark.createDataFrame(rows, "h string")
+    assert {r[0] for r in df.select(U.base_domain_of_host(F.col("h"))).collect()} == {None, "example.com"}
 
 
 def test_permutations_are_closed(spark):
