@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from netloom.functions.html import once
 from netloom.plans.ranking import top_n
 from netloom.session import write_table
 
@@ -215,20 +216,18 @@ def _merged_rows(body: Column) -> Column:
     start unless it continues the row above, and a segment's cells are joined.
     """
     def merged(rows: Column) -> Column:
-        n = F.size(rows)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i < 2) | ~F.coalesce(
-            _is_continuation(F.get(rows, i)), F.lit(False)))
-
         def joined(at: Column, end: Column) -> Column:
             part = F.slice(rows, at + 1, end - at)
             return F.when(end - at == 1, F.get(rows, at)).otherwise(F.transform(F.get(rows, at), lambda c, j: F.array_join(
                 F.filter(F.transform(part, lambda r: F.get(r, j)), lambda x: x != ""), " ")))
 
-        ends = F.transform(starts, lambda s, k: F.coalesce(F.get(F.slice(starts, k + 2, F.lit(1)), 0), n))
-        pairs = F.arrays_zip(starts.alias("at"), ends.alias("end"))
-        return F.when(n > 0, F.transform(pairs, lambda p: joined(p["at"], p["end"]))).otherwise(rows)
+        starts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i < 2) | ~F.coalesce(
+            _is_continuation(F.get(rows, i)), F.lit(False)))
+        segments = once(starts, lambda found: F.transform(
+            found, lambda at, k: joined(at, F.coalesce(F.get(found, k + 1), F.size(rows)))))
+        return F.when(F.size(rows) > 0, segments).otherwise(rows)
 
-    return F.get(F.transform(F.array(body), merged), 0)
+    return once(body, merged)
 
 
 def padded_table_markdown(rows) -> Column:
@@ -236,8 +235,7 @@ def padded_table_markdown(rows) -> Column:
     clean = F.filter(F.transform(_c(rows), _trimmed), lambda r: F.exists(r, lambda c: c != ""))
     notes = F.filter(clean, lambda r: F.get(r, 0).rlike(FOOTNOTE))
     body = F.filter(clean, lambda r: ~F.get(r, 0).rlike(FOOTNOTE))
-    return F.transform(F.array(F.struct(
-        _merged_rows(body).alias("rows"), notes.alias("notes"))), _render_padded).getItem(0)
+    return once(F.struct(_merged_rows(body).alias("rows"), notes.alias("notes")), _render_padded)
 
 
 def _render_padded(t: Column) -> Column:
@@ -245,14 +243,17 @@ def _render_padded(t: Column) -> Column:
     widths = F.transform(F.get(rows, 0), lambda c, i: F.greatest(F.lit(3), F.array_max(
         F.transform(rows, lambda r: F.coalesce(F.octet_length(F.get(r, i)), F.lit(0))))))
 
-    def line(row):
-        return F.concat(F.lit("|"), F.array_join(F.zip_with(row, widths, lambda c, w: F.concat(
-            F.lit(" "), F.rpad(c, F.greatest(w, F.length(c)), " "), F.lit(" |"))), ""))
+    def drawn(sizes: Column) -> Column:
+        def line(row):
+            return F.concat(F.lit("|"), F.array_join(F.zip_with(row, sizes, lambda c, w: F.concat(
+                F.lit(" "), F.rpad(c, F.greatest(w, F.length(c)), " "), F.lit(" |"))), ""))
+
+        rule = F.concat(F.lit("|"), F.array_join(F.transform(sizes, lambda w: F.concat(
+            F.lit(" "), F.repeat(F.lit("-"), w), F.lit(" |"))), ""))
+        return F.concat(F.array(line(F.get(rows, 0)), rule),
+                        F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line))
 
-    rule = F.concat(F.lit("|"), F.array_join(F.transform(widths, lambda w: F.concat(
-        F.lit(" "), F.repeat(F.lit("-"), w), F.lit(" |"))), ""))
-    lines = F.concat(F.array(line(F.get(rows, 0)), rule),
-                     F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line))
+    lines = once(widths, drawn)
     notes = F.transform(t["notes"], lambda n: F.array_join(F.filter(n, lambda c: c != ""), " "))
     tail = F.when(F.size(notes) > 0, F.concat(F.lit("\n"), F.array_join(notes, "\n"), F.lit("\n"))
                   ).otherwise("")
