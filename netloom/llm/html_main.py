@@ -22,9 +22,12 @@ so a host may have any number of pages and repeated pages do not cancel.
 Cases: null or empty html gives an empty text; a null url is a host of its own;
 a host with fewer than three different pages has no template and its pages are
 judged by their elements' names alone; cut-off tags, comments and scripts end
-with the page; a head left open ends with its elements; an SVG, select, object or
-the like left open is an element like others; repeated pages keep their rows; input columns named like an
-output column give way.
+with the page; a head left open ends with its elements, a title, nav or header left
+open at the next article or main element; an SVG, select, object or the like left
+open is an element like others; a form counts as one if it has controls and little
+text; a class, id or role must as a whole name a part to hide it, and hides nothing
+if no text would be left; nesting of any depth takes memory in proportion; repeated
+pages keep their rows; input columns named like an output column give way.
 """
 
 from __future__ import annotations
@@ -44,9 +47,11 @@ from netloom.session import cut_lineage
 
 MIN_PAGES, MIN_SHARE, LONG_TEXTS = 3, 0.5, 3
 BROADCAST_BYTES = 32 << 20
+PAGES_AT_ONCE = 1024  # pages whose tokens are held together
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<title\b[^>]*>.*?(?:</title\s*>|(?=<(?:article|main|body)\b)|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -66,27 +71,73 @@ PARTS = frozenset(
     "cookies consent popup modal overlay login signup subscribe newsletter share sharing social related recommended "
     "comment comments disqus reply replies respond pagination pager toolbar search form complementary contentinfo "
     "skip".split())
+# Words that make a name the article's own part, that say what a page has, and that add nothing to a part's name.
+OWN = frozenset("article entry post story page content main title section news text body".split())
+HAS = frozenset("has no with without is not".split())
+PLAIN = frozenset(
+    "list container wrapper wrap box block bar area section left right top bottom inner outer item items link links "
+    "button buttons icon icons unit slot panel column col row text message primary secondary main site global mobile "
+    "desktop sticky fixed group holder".split())
+# Elements that an article or main element ends if they were left open, and controls of a form.
+ENDED_BY_MAIN = frozenset("nav header menu button label".split())
+_CONTROL = re.compile(r"<(?:input\b(?![^>]*hidden)|select\b|textarea\b|button\b)", re.I)
+_MARKUP = re.compile(r"<(script|style|select|textarea)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
+_FORM_END = re.compile(r"</form\s*>", re.I)
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
 MAIN = frozenset(("article", "main"))
 
 
-def walk(page: str) -> Iterator[tuple[str, str, str, int, bool, bool, bool]]:
-    """Tokens of a page: (kind, path or tag, text, block, outside, in main, in link)."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside, in main, in link
-    path, at, block = "", 0, 0
-    paths: list[str] = [""]
-    outside = inside = link = False
+def names_a_part(names: str) -> bool:
+    """Whether a class, id or role, as a whole, names a part other than the article.
+
+    ``sidebar``, ``site-header`` and ``comment-list`` do; ``has-sidebar``,
+    ``article-header`` and ``social-science-post`` don't.
+    """
+    for name in names.replace('"', " ").replace("'", " ").split():
+        words = _WORD.findall(name)
+        if not words or words[0] in HAS:
+            continue
+        if words[-1] in PARTS and not (len(words) > 1 and words[0] in OWN and words[-1] in ("header", "masthead")):
+            return True
+        if words[0] in PARTS and all(w in PLAIN or w in PARTS for w in words[1:]):
+            return True
+    return False
+
+
+def _is_control_form(page: str, at: int) -> bool:
+    """Whether the form that starts here is one to fill in, not the frame of a whole page."""
+    end = _FORM_END.search(page, at)
+    if not end:
+        return False
+    inner = page[at:end.start()]
+    return len(_SPACE.sub(" ", _MARKUP.sub(" ", inner))) <= 200 + 100 * len(_CONTROL.findall(inner))
 
-    def settle() -> None:
-        nonlocal path, outside, inside, link
-        path = paths[-1]
-        _, outside, inside, link = stack[-1] if stack else ("", False, False, False)
 
+NONE, BY_NAME, BY_TAG = range(3)
+
+
+def walk(page: str, lenient: int = 0) -> Iterator[tuple[str, int, str, int, bool, bool, bool]]:
+    """Tokens of a page: (tag or empty for text, digest of the path, text or names, block, outside, in main, in link).
+
+    ``lenient`` 1 lets an article inside a part that is one by its name count, 2
+    lets names count for nothing.
+    """
+    stack: list[tuple[str, int, int, bool, bool]] = []  # tag, path, outside by what, in main, in link
+    open_tags: dict[str, int] = {}
+    at, block, path, outside, inside, link = 0, 0, 0, NONE, False, False
     unclosed: set[str] = set()
+
+    def drop(i: int) -> None:
+        nonlocal path, outside, inside, link
+        for gone in stack[i:]:
+            open_tags[gone[0]] -= 1
+        del stack[i:]
+        _, path, outside, inside, link = stack[-1] if stack else ("", 0, NONE, False, False)
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
-            yield "text", path, page[at:m.start()], block, outside, inside, link
+            yield "", path, page[at:m.start()], block, outside > 0, inside, link
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -95,10 +146,9 @@ def walk(page: str) -> Iterator[tuple[str, str, str, int, bool, bool, bool]]:
         if m[2]:  # closing
             if tag not in INLINE:
                 block += 1
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_tags.get(tag) else ():
                 if stack[i][0] == tag:
-                    del stack[i:], paths[i + 1:]
-                    settle()
+                    drop(i)
                     break
                 if stack[i][0] in MAIN and tag not in MAIN and tag != "body" and tag != "html":
                     break
@@ -115,44 +165,55 @@ def walk(page: str) -> Iterator[tuple[str, str, str, int, bool, bool, bool]]:
             for i in range(len(stack) - 1, -1, -1):
                 name = stack[i][0]
                 if name == "p" or name in ends:
-                    del stack[i:], paths[i + 1:]
-                    settle()
+                    drop(i)
                     break
                 if name not in INLINE:
                     break
         attributes = m[4] or ""
         names = " ".join(_NAMES.findall(attributes)).lower() if attributes else ""
-        yield "tag", f"{path}/{tag}", names, block, outside, inside, link
+        main = tag in MAIN and "comment" not in names
+        if main and any(open_tags.get(t) for t in ENDED_BY_MAIN):
+            drop(next(i for i, x in enumerate(stack) if x[0] in ENDED_BY_MAIN))
+        yield tag, path, names, block, outside > 0, inside, link
         # a head may be left open; what is in it is known by its own elements
         if tag in VOID or tag == "head" or attributes.endswith("/"):
             continue
-        out = outside or tag in OUTSIDE or (tag == "header" and not inside)
-        if not out and attributes and tag not in ("body", "html"):
-            words = set(_WORD.findall(names))
-            out = bool(words & PARTS and not (tag in MAIN and "comment" not in names)) or bool(_HIDDEN.search(attributes))
-        stack.append((tag, out, inside or (tag in MAIN and not out), link or tag == "a"))
-        paths.append(f"{path}/{tag}")
-        settle()
+        out = NONE if main and lenient and outside == BY_NAME else outside
+        if not out and tag == "form":
+            out = BY_NAME if tag not in unclosed and _is_control_form(page, at) else NONE
+            if not out and not _FORM_END.search(page, at):
+                unclosed.add(tag)
+        elif tag in OUTSIDE or (tag == "header" and not inside):
+            out = BY_TAG
+        if out < BY_TAG and attributes and tag not in ("body", "html"):
+            if _HIDDEN.search(attributes):
+                out = BY_TAG
+            elif not out and lenient < 2 and not main and names_a_part(names):
+                out = BY_NAME
+        path = xxhash.xxh64_intdigest(b"%d/%s" % (path, tag.encode()))
+        outside, inside, link = out, inside or (tag in MAIN and not out), link or tag == "a"
+        stack.append((tag, path, outside, inside, link))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     if at < len(page):
-        yield "text", path, page[at:], block, outside, inside, link
+        yield "", path, page[at:], block, outside > 0, inside, link
 
 
-def _key(kind: str, path: str, text: str) -> int:
+def _key(tag: str, path: int, text: str) -> int:
     """Digest of a token; the lowest bit is set for tags."""
-    return ((xxhash.xxh64_intdigest(f"{kind}\n{path}\n{text}") - (1 << 63)) & ~1) | (kind == "tag")
+    return ((xxhash.xxh64_intdigest(f"{tag}\n{path}\n{text}") - (1 << 63)) & ~1) | (tag != "")
 
 
 def tokens_of(page: str) -> tuple[dict[int, int], int]:
     """Token keys of a page with their counts, and a mask with one bit for each of its longest texts."""
     counts: dict[int, int] = {}
     long: set[str] = set()
-    for kind, path, text, _, outside, *_ in walk(page):
-        if kind == "text":
+    for tag, path, text, _, outside, *_ in walk(page):
+        if not tag:
             if not (text := text.strip()):
                 continue
             if not outside:
                 long.add(text)
-        key = _key(kind, path, text)
+        key = _key(tag, path, text)
         counts[key] = counts.get(key, 0) + 1
     mask = 0
     for text in heapq.nlargest(LONG_TEXTS, long, key=lambda t: (len(t), t)):
@@ -166,7 +227,7 @@ def host_of(url) -> F.Column:
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per host and token of a batch: digest of the vector, pages, least and greatest page digest, long texts shared."""
-    for batch in batches:
+    for batch in (b.slice(k, PAGES_AT_ONCE) for b in batches for k in range(0, max(b.num_rows, 1), PAGES_AT_ONCE)):
         found: dict[tuple[int, int], list[int]] = {}
         for host, raw in zip(batch["host_key"].to_pylist(), as_bytes(batch["html"])):
             page = (raw or b"").decode("utf-8", "replace")
@@ -210,18 +271,34 @@ def deduce_templates(pages: DataFrame, url: str = "url", page_html: str = "html"
     return valid.groupBy("host_key").agg(F.collect_list("token").alias("template"))
 
 
+_HAS_MAIN = re.compile(r"<(?:article|main)\b", re.I)
+
+
 def main_text(page: str, template: set[int] | dict) -> str:
-    """Main text of a page; ``template`` has the keys of the host's template texts."""
+    """Main text of a page; ``template`` has the keys of the host's template texts.
+
+    A page that seems to have none, or whose article seems to lie in a part that
+    is no article's, is read again with less trust in names.
+    """
+    text, found = _main_text(page, template, 0)
+    if not found and _HAS_MAIN.search(page):
+        again, found = _main_text(page, template, 1)
+        text = again if found else text
+    return text or _main_text(page, template, 2)[0]
+
+
+def _main_text(page: str, template: set[int] | dict, lenient: int) -> tuple[str, bool]:
+    """The text, and whether it is an article's."""
     blocks: list[list] = []  # block, parts, characters in links, characters, inside
-    for kind, path, text, block, outside, inside, link in walk(page):
-        if kind == "tag":
-            if path.endswith("/br") and blocks and blocks[-1][0] == block:
+    for tag, path, text, block, outside, inside, link in walk(page, lenient):
+        if tag:
+            if tag == "br" and blocks and blocks[-1][0] == block:
                 blocks[-1][1].append(" ")
             continue
         if outside:
             continue
         bare = text.strip()
-        if bare and template and not inside and _key("text", path, bare) in template:
+        if bare and template and not inside and _key("", path, bare) in template:
             continue
         if not blocks or blocks[-1][0] != block:
             blocks.append([block, [], 0, 0, inside])
@@ -230,12 +307,12 @@ def main_text(page: str, template: set[int] | dict) -> str:
         last[3] += len(bare)
         last[2] += len(bare) if link else 0
         last[4] = last[4] or inside
-    if any(b[4] and b[3] for b in blocks):
+    if found := any(b[4] and b[3] for b in blocks):
         blocks = [b for b in blocks if b[4]]
     else:  # no article: blocks made up of links are menus
         blocks = [b for b in blocks if b[2] * 2 <= b[3]]
     lines = (_SPACE.sub(" ", html.unescape("".join(parts))).strip() for _, parts, *_ in blocks)
-    return "\n".join(x for x in lines if x)
+    return "\n".join(x for x in lines if x), found
 
 
 def _extract(pages: pa.Array, templates: pa.Array) -> pa.Array:

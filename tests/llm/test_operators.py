@@ -364,3 +364,48 @@ def test_pieces_across_blanks_are_cut_by_the_pattern():
     encoder = bpe.Encoder(vocabulary, words=bpe.cuts_at_blanks(vocabulary.pattern))
     assert encoder.decode(encoder.encode("a b ab a\nb")) == b"a b ab a\nb"
     assert list(encoder.encode("a b"))[::4] == [2] or encoder.encode("a b")[:4] == (258).to_bytes(4, "little")
+
+
+def test_articles_in_wrappers_are_found():
+    """Layouts in which a name, a form or an element left open stands around the article."""
+    article = "<article><h1>Head</h1><p>First paragraph.</p><p>Second paragraph.</p></article>"
+    want = "Head\nFirst paragraph.\nSecond paragraph."
+    whole = "<html><head><title>T</title></head><body>{}</body></html>".format
+    layouts = [
+        f'<div id="page" class="has-sidebar">{article}</div>', f'<div class="no-sidebar"><main>{article}</main></div>',
+        f'<div class="social-science-post">{article}</div>', f'<form action="/x"><input type=hidden name=v>{article}</form>',
+        f'<nav><a href="/">Home</a>{article}', f'<div class="sidebar">{article}</div>', f'<div class="page-with-header">{article}</div>',
+        f'<header class="site-header">Logo{article}', f'<div class="related-content">{article}</div>']
+    for layout in layouts:
+        assert html_main.main_text(whole(layout), set()) == want, layout
+    assert html_main.main_text(f"<html><head><title>Never closed<body>{article}", set()) == want
+    headline = '<article><div class="article-header"><h1>Head</h1></div><p>First paragraph.</p><p>Second paragraph.</p></article>'
+    assert html_main.main_text(whole(headline), set()) == want
+    text = "<p>" + "A long paragraph of a page without an article. " * 20 + "</p>"
+    assert html_main.main_text(whole(f"<form><div>{text}<input name=q></div></form>"), set()) == text[3:-5]
+    assert html_main.main_text(whole(f'<div class="sidebar">{text}</div>'), set()) == text[3:-5]
+
+
+def test_parts_of_other_kinds_stay_hidden():
+    article = "<article><p>Text</p></article>"
+    for part in ('<div class="sidebar">x</div>', '<div id="site-header">x</div>', '<ul class="comment-list"><li>x</ul>',
+                 '<section class="related"><article><p>x</p></article></section>', "<aside><article>x</article></aside>",
+                 '<div class="comments"><article class="comment">x</article></div>', '<div class="cookie-notice">x</div>',
+                 '<form><label>x</label><input name=q><button>go</button></form>', "<nav>x</nav>", '<div class="main-nav">x</div>',
+                 '<div class="ad">x</div>', "<div hidden>x</div>", '<div role="navigation">x</div>'):
+        for page in (f"<body>{part}{article}</body>", f"<body>{article}{part}</body>"):
+            assert html_main.main_text(page, set()) == "Text", page
+        plain = f"<body>{part}<p>Only text</p></body>"
+        assert html_main.main_text(plain, set()) == "Only text" or "<article" in part, plain
+
+
+def test_deep_pages_take_memory_in_proportion():
+    import time
+    import tracemalloc
+
+    page = "<body>" + "<div class=x>" * 100_000 + "<article><p>Deep</p></article>" + "</div>" * 100_000
+    tracemalloc.start()
+    began = time.time()
+    assert html_main.main_text(page, set()) == "Deep"
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20 and time.time() - began < 60
+    tracemalloc.stop()
