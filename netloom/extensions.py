@@ -39,6 +39,10 @@ def register_postprocessor(name: str, predicate: Callable[[], Column],
     return _REGISTERED[name]
 
 
+def unregister_postprocessor(name: str) -> None:
+    del _REGISTERED[name]
+
+
 def registered() -> list[Postprocessor]:
     return list(_REGISTERED.values())
 
@@ -118,12 +122,6 @@ def derive(pages: DataFrame, formats, main_only: bool = True, include=(), exclud
 
 # --- SQL table functions ---------------------------------------------------
 
-_SPELLINGS_SQL = """
-create or replace temporary function {name}(page_url string)
-returns table (spelling string) return select explode({body})
-"""
-
-
 def register_sql(spark: SparkSession) -> None:
     """Makes two table functions callable in SQL, for lateral joins.
 
@@ -155,12 +153,14 @@ def register_sql(spark: SparkSession) -> None:
 
     spark.udtf.register("page_links", PageLinks)
     bare = r"regexp_replace(lower(regexp_extract(page_url, '://([^/?#:]*)', 1)), '^www[.]', '')"
+    port = (r"regexp_extract(regexp_replace(lower(page_url), '^(http://[^/?#]*):80(?=[/?#]|$)|^(https://[^/?#]*):443(?=[/?#]|$)', '$1$2'), "
+            r"'://[^/?#]*?(:[0-9]+)(?=[/?#]|$)', 1)")
     stem = r"regexp_replace(regexp_extract(page_url, '://[^/?#]*([^?#]*)', 1), '(/index[.](html|php)|/)$', '')"
     rest = r"regexp_extract(page_url, '^[^?#]*(.*)$', 1)"
     spark.sql(f"""
       create or replace temporary function url_spellings(page_url string)
       returns table (spelling string)
-      return select distinct s || w || {bare} ||
+      return select distinct s || w || {bare} || {port} ||
           case when {stem} || f = '' then '/' else {stem} || f end || {rest}
         from (select explode(array('http://', 'https://')) as s)
         cross join (select explode(array('www.', '')) as w)

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.plans.ranking import top_n
+from netloom.session import write_table
+
 
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
@@ -105,27 +109,77 @@ def token_index(exchanges: DataFrame) -> DataFrame:
         "_p is not null").select("_p.term", "id", "_p.tf", "length")
 
 
-def search_many(exchanges: DataFrame, index: DataFrame, queries: DataFrame,
-                limit: int = 20) -> DataFrame:
+def _ranked(postings: DataFrame, queries: DataFrame, frequencies: DataFrame, stats: Column, limit: int) -> DataFrame:
+    """Best matches by postings of the asked terms, how many exchanges have each, and the corpus figures."""
+    wanted = queries.select("query_id", F.lower("term").alias("term"))
+    needed = wanted.groupBy("query_id").agg(F.count("*").alias("_needed"))
+    scored = postings.join(frequencies, "term").withColumn("_s", stats).withColumn(
+        "_part", -_idf(F.col("_s.n"), F.col("df")) * _weight(F.col("tf"), F.col("length"), F.col("_s.average")))
+    totals = scored.join(wanted, "term").groupBy("query_id", "id").agg(
+        F.sum("_part").alias("score"), F.count("*").alias("_got")).join(needed, "query_id").where("_got = _needed")
+    return top_n(totals.select("query_id", "id", "score"), ["query_id"], [F.col("score"), F.col("id")], limit)
+
+
+def search_many(exchanges: DataFrame, index: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Best matches of many queries (every term must occur).
 
     ``queries`` has ``query_id, term`` with distinct terms.  Postings are cut to
     the asked terms by a join.
     """
-    from netloom.plans.ranking import top_n
-
     stats = exchanges.agg(F.struct(
         F.count("*").alias("n"),
         F.avg(F.size(tokens("user_message", "assistant_message"))).alias("average")).alias("s")).scalar()
-    wanted = queries.select("query_id", F.lower("term").alias("term"))
-    cut = index.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = cut.groupBy("term").agg(F.count("*").alias("df"))
-    needed = wanted.groupBy("query_id").agg(F.count("*").alias("_needed"))
-    scored = cut.join(df, "term").withColumn("_s", stats).withColumn(
-        "_part", -_idf(F.col("_s.n"), F.col("df")) * _weight(
-            F.col("tf"), F.col("length"), F.col("_s.average")))
-    totals = scored.join(wanted, "term").groupBy("query_id", "id").agg(
-        F.sum("_part").alias("score"), F.count("*").alias("_got")).join(
-        needed, "query_id").where("_got = _needed")
-    return top_n(totals.select("query_id", "id", "score"), ["query_id"],
-                 [F.col("score"), F.col("id")], limit)
+    cut = index.join(queries.select(F.lower("term").alias("term")).distinct(), "term", "left_semi")
+    return _ranked(cut, queries, cut.groupBy("term").agg(F.count("*").alias("df")), stats, limit)
+
+
+# --- the index as a table --------------------------------------------------
+
+SHELVES = 64
+
+
+def _shelf(term) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SHELVES)).cast("int")
+
+
+def _part(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    """All additions of one kind; none yet is an empty table."""
+    try:
+        return spark.read.schema(f"{schema}, addition long").option("basePath", f"{path}/{kind}").parquet(f"{path}/{kind}")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], f"{schema}, addition long")
+
+
+def add_to_index(path: str, exchanges: DataFrame, addition: int) -> None:
+    """Stores the postings of new exchanges, and how many of them have each term.
+
+    Postings are laid out by a hash of the term (``shelf``), so that a query
+    reads the shelves of its terms only.  An addition has a number and folders of
+    its own, which a retry overwrites; exchanges that an earlier addition holds
+    are left out.
+    """
+    spark = exchanges.sparkSession
+    known = _part(spark, path, "exchanges", "id long, length int").where(F.col("addition") != addition).select("id")
+    fresh = write_table(token_index(exchanges.join(known, "id", "left_anti")).withColumn("shelf", _shelf("term")))
+    counted = exchanges.join(known, "id", "left_anti").select("id", F.size(tokens("user_message", "assistant_message")).alias("length"))
+    for kind, rows in (("postings", fresh), ("terms", fresh.groupBy("shelf", "term").agg(F.count("*").alias("df")))):
+        rows.repartition("shelf").sortWithinPartitions("shelf", "term").write.mode("overwrite").partitionBy("shelf").parquet(
+            f"{path}/{kind}/addition={addition}")
+    counted.write.mode("overwrite").parquet(f"{path}/exchanges/addition={addition}")
+
+
+def search_stored(spark: SparkSession, path: str, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """:func:`search_many` from a stored index: reads the postings on the shelves of the asked terms."""
+    asked = queries.select(F.lower("term").alias("term")).distinct()
+    shelves = [r[0] for r in asked.select(_shelf("term")).distinct().collect()]  # at most SHELVES numbers
+
+    def on_shelves(kind: str, schema: str) -> DataFrame:
+        return _part(spark, path, kind, f"{schema}, shelf int").where(F.col("shelf").isin(shelves)).join(asked, "term", "left_semi")
+
+    stats = _part(spark, path, "exchanges", "id long, length int").agg(F.struct(
+        F.count("*").alias("n"), F.avg("length").alias("average")).alias("s")).scalar()
+    postings = on_shelves("postings", "term string, id long, tf int, length int").select("term", "id", "tf", "length")
+    frequencies = on_shelves("terms", "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return _ranked(postings, queries, frequencies, stats, limit)

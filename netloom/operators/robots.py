@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import url as U
+from netloom.session import cut_lineage, write_table
 
 
 def _lines(robots: DataFrame) -> DataFrame:
@@ -72,22 +73,42 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
         "host", "n", F.col("value").alias("sitemap"))
 
 
-def host_rules(rules: DataFrame) -> DataFrame:
-    """One row per host with its rules as an array.
+def _chosen_rules(rules: DataFrame, agents: tuple[str, ...]) -> DataFrame:
+    """Rules that count for each asked agent, by its number ``k``: its own group's, else those of `*`.
 
-    Bounded by the size of one robots file; rules of one host never multiply
-    the URLs of that host.
+    ``kind`` tells how a rule is tested: by the start of the path, by the whole of
+    it, or by an expression if it has a `*` that is not at its end.
     """
-    packed = F.struct("agent", "allow", rule_regex(F.col("pattern")).alias("regex"),
-                      F.length("pattern").alias("len"))
-    return rules.groupBy("host").agg(F.collect_list(packed).alias("rules"))
-
-
-def _verdict(rules: Column, target: Column) -> Column:
-    hits = F.filter(rules, lambda r: r["regex"].isNotNull() & F.rlike(target, r["regex"]))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(
-        r["len"].alias("len"), r["allow"].alias("allow"))))
-    return F.coalesce(best["allow"], F.lit(True))
+    asked = rules.select("host", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.lit(a.lower()).alias("name")) for k, a in enumerate(agents)])).alias("a")).select(
+        "host", "a.k", "a.name").distinct()
+    named = rules.select("host", F.col("agent").alias("name"), F.lit(True).alias("_own")).distinct()
+    used = asked.join(named, ["host", "name"], "left").select(
+        "host", "k", F.when(F.col("_own"), F.col("name")).otherwise("*").alias("agent"))
+    body = F.regexp_replace("pattern", r"\*+$", "")
+    kind = (F.when(body.contains("*"), "wild").when(F.col("pattern").endswith("$"), "whole").otherwise("start"))
+    return rules.where("pattern is not null").join(used, ["host", "agent"]).select(
+        "host", "k", "allow", F.length("pattern").alias("len"), kind.alias("kind"), "pattern",
+        F.when(kind == "whole", F.regexp_replace("pattern", r"\$$", "")).otherwise(body).alias("body"))
+
+
+def _best_rules(targets: DataFrame, rules: DataFrame, agents: int) -> DataFrame:
+    """Of each (host, target) the longest matching rule of every agent, as ``v0, v1, ...`` (allowed or not)."""
+    starts, whole, wild = (rules.where(F.col("kind") == k) for k in ("start", "whole", "wild"))
+    # a path is cut at the lengths that the starts of its host's rules have, and the cuts meet the rules
+    lengths = starts.groupBy("host").agg(F.array_sort(F.collect_set(F.length("body"))).alias("lengths"))
+    cuts = targets.join(lengths, "host").select("host", "target", F.explode(F.filter(
+        "lengths", lambda n: n <= F.length("target"))).alias("n")).select(
+        "host", "target", F.expr("left(target, n)").alias("body"))
+    by_start = cuts.join(starts, ["host", "body"]).select("host", "target", "k", "len", "allow")
+    by_whole = targets.join(whole.withColumnRenamed("body", "target"), ["host", "target"]).select("host", "target", "k", "len", "allow")
+    # rules with a star inside: first their plain beginning, then the expression
+    head = F.substring_index("pattern", "*", 1)
+    by_star = targets.join(wild, "host").where(
+        F.col("target").startswith(head) & F.rlike("target", rule_regex(F.col("pattern")))).select("host", "target", "k", "len", "allow")
+    hits = by_start.unionByName(by_whole).unionByName(by_star)
+    best = [F.max(F.when(F.col("k") == k, F.struct("len", "allow")))["allow"].alias(f"v{k}") for k in range(agents)]
+    return hits.groupBy("host", "target").agg(*best)
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agents: tuple[str, ...] = ("*",),
@@ -96,23 +117,25 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agents: tuple[str, ...] =
 
     The longest matching rule wins and ties allow.  A URL without a final
     slash must also pass with one.  Hosts without rules allow everything.
+
+    Distinct paths meet the rules: plain rules by equal starts, so their number
+    doesn't matter; only rules with a `*` inside are tried one by one.
     """
-    packed = host_rules(rules).select(F.col("host").alias("_host"), "rules")
+    chosen = write_table(_chosen_rules(rules, agents))
     rows = urls.withColumns({
         "_host": U.host(url),
-        "_target": F.concat(U.path(url), F.regexp_extract(F.col(url), r"^[^?#]*(\?[^#]*)", 1)),
-    }).join(packed, "_host", "left")
+        "_target": F.concat(U.path(url), F.regexp_extract(F.col(url), r"^[^?#]*(\?[^#]*)", 1))})
+    # behind a fragment a further slash does not reach the robots rules
+    rows = rows.withColumn("_slashed", F.when(
+        ~(F.col(url).endswith("/") | F.col(url).contains("#")), F.concat("_target", F.lit("/"))))
+    asked = rows.select(F.col("_host").alias("host"), F.explode(F.array("_target", "_slashed")).alias("target")).where(
+        "target is not null").distinct().join(chosen.select("host").distinct(), "host", "left_semi")
+    best = cut_lineage(_best_rules(asked, chosen, len(agents)))
+    for name in ("_target", "_slashed"):
+        found = best.select(F.col("host").alias("_host"), F.col("target").alias(name),
+                            *[F.col(f"v{k}").alias(f"{name}{k}") for k in range(len(agents))])
+        rows = rows.join(found, ["_host", name], "left")
     passes = F.lit(False)
-    for agent in agents:
-        own = F.filter("rules", _agent_is(agent.lower()))
-        used = F.when(F.size(own) > 0, own).otherwise(F.filter("rules", _agent_is("*")))
-        # Behind a fragment a further slash does not reach the robots rules.
-        again = F.col(url).endswith("/") | F.col(url).contains("#") | _verdict(
-            used, F.concat(F.col("_target"), F.lit("/")))
-        passes = passes | (_verdict(used, F.col("_target")) & again)
-    return rows.withColumn(
-        out, F.col("rules").isNull() | passes).drop("_host", "_target", "rules")
-
-
-def _agent_is(name: str):
-    return lambda r: r["agent"] == name
+    for k in range(len(agents)):
+        passes = passes | (F.coalesce(F.col(f"_target{k}"), F.lit(True)) & F.coalesce(F.col(f"_slashed{k}"), F.lit(True)))
+    return rows.select(*[F.col(c) for c in urls.columns if c != out], passes.alias(out))

@@ -20,16 +20,26 @@ result struct<status: int, headers: map<string, string>, body: string>
 """
 
 
-def read_fetch_capture(spark: SparkSession, path: str) -> DataFrame:
+def read_fetch_capture(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
     """Recorded requests and answers, one row per request.
 
-    A file holds either one JSON array or one record per line.
+    ``form`` is `lines` (one record per line; files are split among tasks) or
+    `document` (a JSON array or one object of any layout; read record by record).
+    Without it a folder may hold files of both forms, each of which is one cell,
+    so it is for small files.
     """
-    files = spark.read.text(path, wholetext=True)
-    parts = F.when(F.ltrim("value").startswith("["), F.array("value")).otherwise(F.split("value", r"\r?\n"))
-    records = files.select(F.explode(parts).alias("part")).where("trim(part) <> ''")
-    kind = T.ArrayType(T.StructType.fromDDL(CAPTURE_SCHEMA))  # a lone record reads as an array of one
-    raw = records.select(F.explode(F.from_json("part", kind)).alias("r")).select("r.*")
+    if form is not None:
+        if form not in ("lines", "document"):
+            raise ValueError(f"unknown form: {form!r}")
+        raw = spark.read.schema(T.StructType.fromDDL(CAPTURE_SCHEMA)).json(path, multiLine=form == "document")
+    else:
+        files = spark.read.text(path, wholetext=True).withColumn("value", F.trim(F.regexp_replace("value", r"^\s+", "")))
+        first = F.regexp_extract("value", r"^([^\r\n]*)", 1)
+        whole = F.col("value").startswith("[") | F.try_parse_json(first).isNull()  # an object over several lines
+        parts = F.when(whole, F.array("value")).otherwise(F.split("value", r"\r?\n"))
+        records = files.select(F.explode(parts).alias("part")).where("trim(part) <> ''")
+        kind = T.ArrayType(T.StructType.fromDDL(CAPTURE_SCHEMA))  # a lone record reads as an array of one
+        raw = records.select(F.explode(F.from_json("part", kind)).alias("r")).select("r.*")
     return raw.select(
         F.timestamp_millis("time").alias("time"),
         F.col("options.url").alias("url"), F.col("options.method").alias("method"),
@@ -46,8 +56,10 @@ def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_robots(spark: SparkSession, path: str) -> DataFrame:
-    """Robots files named ``<host>.txt``: ``host, text``."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
+    """Robots files named ``<host>.txt``, or in folders ``host=<host>``: ``host, text``."""
+    file = F.input_file_name()
+    folder = F.regexp_extract(file, r"/host=([^/]+)/[^/]*$", 1)
+    name = F.when(folder != "", folder).otherwise(F.regexp_extract(file, r"([^/]+)\.txt$", 1))
     return spark.read.text(path, wholetext=True).select(
         F.lower(F.coalesce(F.try_url_decode(name), name)).alias("host"), F.col("value").alias("text"))
 

@@ -27,17 +27,30 @@ def coerce_formats(docs: DataFrame, formats, keys=("page_id", "url")) -> DataFra
                        *[c for c in wanted if c in docs.columns])
 
 
-def write_documents(docs: DataFrame, path: str, formats, files_per_domain: int = 8,
+FOLDERS = 64
+FILE_BYTES = 256 << 20
+
+
+def write_documents(docs: DataFrame, path: str, formats, folders: int = FOLDERS, file_bytes: int = FILE_BYTES,
                     mode: str = "overwrite") -> None:
-    """Writes the asked fields, one folder per registrable domain.
+    """Writes the asked fields by registrable domain, in a fixed number of folders.
 
-    Rows are spread by domain and a salt, so a very large domain is written by
-    several tasks and a small one by few files.
+    A folder (``folder``) holds the domains of one hash; ``domain`` is a column of
+    its files, which are sorted by it.  The bytes of each domain are counted first:
+    a domain of more than ``file_bytes`` is dealt to as many tasks as it needs, the
+    others of a folder go to one.
     """
-    rows = coerce_formats(docs, formats).withColumn("domain", F.coalesce(
-        U.base_domain("url"), F.lit("none")))
-    salt = F.pmod(F.xxhash64("url"), F.lit(files_per_domain))
-    rows.repartition("domain", salt).write.mode(mode).partitionBy("domain").parquet(path)
+    rows = U.with_domain(coerce_formats(docs, formats), _site=U.host("url"))
+    rows = rows.withColumn("domain", F.coalesce("_site", F.lit("none"))).drop("_site").withColumn(
+        "folder", F.pmod(F.xxhash64("domain"), F.lit(folders)).cast("int"))
+    held = [F.coalesce(F.octet_length(F.col(c) if t in ("string", "binary") else F.to_json(F.struct(c))), F.lit(0)).cast("long")
+            for c, t in rows.dtypes]
+    large = rows.groupBy("domain").agg(F.sum(sum(held[1:], held[0])).alias("_bytes")).where(F.col("_bytes") > file_bytes).select(
+        "domain", F.ceil(F.col("_bytes") / file_bytes).cast("int").alias("_tasks"))
+    dealt = rows.join(large, "domain", "left").withColumn("_task", F.when(F.col("_tasks").isNotNull(), F.concat_ws(
+        " ", "domain", F.pmod(F.xxhash64(*rows.columns[:2]), "_tasks").cast("string"))).otherwise(""))
+    (dealt.repartition("folder", "_task").sortWithinPartitions("folder", "domain").drop("_tasks", "_task")
+     .write.mode(mode).partitionBy("folder").parquet(path))
 
 
 def merge_rows(current: DataFrame | None, batch: DataFrame, keys, update: bool = True,

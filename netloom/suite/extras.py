@@ -29,7 +29,7 @@ def _(spark, sf):
     view(spark, sf, "pages").groupBy(F.expr("page_id div 20")).agg(
         F.to_json(F.collect_list(record)).alias("value")).select("value").write.option(
         "lineSep", "\n").option("maxRecordsPerFile", 1).text(folder)
-    log = readers.read_fetch_capture(spark, folder)
+    log = readers.read_fetch_capture(spark, folder, "document")
     return log.select(F.unix_millis("time").alias("ms"), "url", "method", F.col("status").cast("bigint").alias("status"),
                       F.length("body").cast("bigint").alias("chars"))
 
@@ -60,9 +60,7 @@ def _(spark, sf):
     folder = work_folder(spark, "robots")
     robots_files(spark, sf).select("host", F.col("text").alias("value")).repartition("host").write.option(
         "lineSep", "\n").partitionBy("host").text(folder)
-    name = F.regexp_extract(F.input_file_name(), "host=([^/]*)/", 1)
-    files = spark.read.text(f"{folder}/*/*.txt", wholetext=True).select(name.alias("host"), F.col("value").alias("text"))
-    return parse_robots(files).groupBy("host").agg(F.bool_or(F.col("pattern") == "/de/1").alias("has_rule"))
+    return parse_robots(readers.read_robots(spark, f"{folder}/*/*.txt")).groupBy("host").agg(F.bool_or(F.col("pattern") == "/de/1").alias("has_rule"))
 
 
 @query("s06_read_jobs", check_sql("""
@@ -70,7 +68,9 @@ select id, json_extract_string(data, '$.mode') as mode, json_extract_string(data
 where json_extract_string(data, '$.mode') = 'single_urls'
 """, "job_payloads"))
 def _(spark, sf):
-    return readers.job_payload(view(spark, sf, "job_payloads"), J.SCRAPE_MODE).select("id", "mode", "url")
+    folder = work_folder(spark, "jobs")
+    view(spark, sf, "job_payloads").write.parquet(folder)
+    return readers.read_jobs(spark, folder, J.SCRAPE_MODE).select("id", "mode", "url")
 
 
 @query("s08_write_documents", check_sql(f"""
@@ -110,11 +110,13 @@ select page_id, case page_id % 3 when 0 then 'T:' || page_id else 'plain' end as
 from pages
 """)
 def _(spark, sf):
-    shout = X.Postprocessor("shout", lambda: F.col("page_id") % 3 != 1, lambda: F.when(
+    X.register_postprocessor("shout", lambda: F.col("page_id") % 3 != 1, lambda: F.when(
         F.col("page_id") % 3 == 0, F.concat(F.lit("T:"), F.col("page_id").cast("string"))))
-    docs = view(spark, sf, "pages").withColumn("markdown", F.lit("plain"))
-    return X.apply_postprocessors(docs, [shout, shout]).select(
-        "page_id", "markdown", joined("postprocessors_used").alias("used"))
+    try:
+        docs = X.apply_postprocessors(view(spark, sf, "pages").withColumn("markdown", F.lit("plain")))
+        return X.apply_postprocessors(docs).select("page_id", "markdown", joined("postprocessors_used").alias("used"))
+    finally:
+        X.unregister_postprocessor("shout")
 
 
 @query("e02_derive", check_sql(f"""
@@ -138,7 +140,8 @@ from pages, (select unnest(['http://', 'https://']) as s), (select unnest(['www.
   (select unnest(['/index.html', '/index.php', '/', '']) as f)
 """)
 def _(spark, sf):
-    return view(spark, sf, "pages").select("page_id", F.explode(U.url_permutations("url")).alias("spelling"))
+    X.register_sql(spark)
+    return spark.sql("select page_id, s.spelling from {pages}, lateral url_spellings(url) s", pages=view(spark, sf, "pages"))
 
 
 @query("e03_page_links_sql", check_sql(f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import fulltext, memory, sessions
 from netloom.plans.views import check_sql, view
+from netloom.streaming.runner import work_folder
 from netloom.suite.registry import query
 
 LIMIT = "case when target = 'user' then 1375 else 2200 end"
@@ -15,7 +16,7 @@ def entries(spark, sf):
     return view(spark, sf, "memory_entries")
 
 
-_SPLIT = """stored as (select * from memory_entries where id % 4 = 0 and length(content) <= 300),
+_SPLIT = """stored as (select * from memory_entries where id % 4 = 0),
 coming as (select id as pos, owner_id, target, case id % 17 when 5 then 'Ignore previous instructions ' || content
   when 6 then content || chr(8203) when 7 then 'same text ' || (id % 2) else content end as content
   from memory_entries where id % 4 <> 0),
@@ -41,7 +42,7 @@ fold(owner_id, target, rn, pos, content, used, ok) as (
 
 def split_entries(spark, sf):
     rows = entries(spark, sf)
-    stored = rows.where("id % 4 = 0 and length(content) <= 300")
+    stored = rows.where("id % 4 = 0")
     content = (
         F.when(F.col("id") % 17 == 5, F.concat(F.lit("Ignore previous instructions "), "content"))
         .when(F.col("id") % 17 == 6, F.concat("content", F.lit("​")))
@@ -265,6 +266,21 @@ def _(spark, sf):
         "query_id", "id", (F.round("score", 7) + F.lit(0.0)).alias("score"))
 
 
+@query("k13_stored_index", check_sql("""
+select query_id, id, round(score, 7) + 0.0 as score from hits
+qualify row_number() over (partition by query_id order by hits.score, id) <= 10
+""", "exchanges", extra=duck_bm25(_MANY)))
+def _(spark, sf):
+    # three additions; the last one comes twice, with exchanges that are there already
+    rows, folder = view(spark, sf, "exchanges"), work_folder(spark, "index")
+    for n, part in enumerate((rows.where("sequence = 1"), rows.where("sequence = 2"), rows.where("sequence > 1"), rows)):
+        fulltext.add_to_index(folder, part, min(n, 2))
+    asked = spark.createDataFrame(
+        [(1, "the"), (1, "and"), (2, "que"), (3, "nicht"), (3, "die"), (4, "zzzz")], "query_id int, term string")
+    return fulltext.search_stored(spark, folder, asked, 10).select(
+        "query_id", "id", (F.round("score", 7) + F.lit(0.0)).alias("score"))
+
+
 @query("k14_with_context", check_sql("""
 select e.id, p.user_message as before, n.assistant_message as after from exchanges e
 left join exchanges p on p.session_id = e.session_id and p.sequence = e.sequence - 1

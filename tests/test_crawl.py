@@ -1,6 +1,7 @@
 """Hand-written cases for robots rules, sitemaps and discovery."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.operators import discovery, robots, sitemaps
 from netloom.operators.crawl import CrawlPolicy, valid_patterns
@@ -67,3 +68,41 @@ def test_limit_takes_links_in_page_order(spark):
     seeds = spark.createDataFrame([(1, "https://h.com/")], "crawl_id bigint, url string")
     found = discovery.crawl_corpus(pages, seeds, CrawlPolicy(allow_backward=True), limit=4501)
     assert {r.url for r in found.collect()} == {"https://h.com/"} | {f"https://h.com/p{i}" for i in range(4500)}
+
+
+def test_robots_of_many_rules(spark):
+    """100,000 plain rules of one host, and every kind of rule against a plain reading of them."""
+    import random
+    import re
+
+    from netloom.operators import robots
+
+    rng = random.Random(4)
+    word = lambda: "/" + "".join(rng.choice("ab/x?") for _ in range(rng.randrange(1, 5)))
+    rules = [("h", a, rng.random() < 0.5, word() + rng.choice(["", "", "*", "$", "*x", "*b$", "$c"])) for a in ("*", "bot") for _ in range(40)]
+    rules += [("h", "idle", None, None), ("g", "*", False, "/")]
+    table = spark.createDataFrame(rules, "host string, agent string, allow boolean, pattern string")
+    urls = [(f"http://{h}{word()}{word()}{rng.choice(['', '#f'])}",) for h in ("h", "g", "k") for _ in range(60)]
+    df = spark.createDataFrame(urls, "url string")
+
+    def by_hand(url, agents):
+        host, rest = re.match("http://([^/]*)(.*)", url).groups()
+        target = rest.split("#")[0]
+
+        def verdict(agent, path):
+            names = {a for h, a, _, _ in rules if h == host}
+            own = [(len(p), ok) for h, a, ok, p in rules if h == host and a == (agent if agent in names else "*") and p
+                   and re.match(re.sub(r"\\\*+", ".*", re.escape(p.removesuffix("$"))) + ("$" if p.endswith("$") else ""), path)]
+            return max(own, default=(0, True))[1]
+
+        return any(verdict(a, target) and (url.endswith("/") or "#" in url or verdict(a, target + "/")) for a in agents)
+
+    for agents in (("*",), ("bot",), ("idle", "bot"), ("idle",)):
+        got = {r.url: r.robots_ok for r in robots.robots_allowed(df, table, agents).collect()}
+        assert got == {u: by_hand(u, agents) for u, in urls}
+
+    many = spark.range(100_000).select(F.lit("h").alias("host"), F.lit("*").alias("agent"), F.lit(False).alias("allow"),
+                                       F.concat(F.lit("/p"), F.col("id").cast("string"), F.lit("/")).alias("pattern"))
+    asked = spark.range(0, 200_000, 50).select(F.concat(F.lit("http://h/p"), F.col("id").cast("string"), F.lit("/a")).alias("url"))
+    judged = robots.robots_allowed(asked, many)
+    assert judged.where("not robots_ok").count() == 2_000 and judged.count() == 4_000

@@ -76,7 +76,32 @@ def test_capture_files_of_either_form(spark, tmp_path):
     record = '{"time": 1, "options": {"url": "http://a/"}, "result": {"status": 200}}'
     (tmp_path / "lines.json").write_text("\n".join([record] * 5) + "\n")
     (tmp_path / "array.json").write_text("[" + record + ",\n" + record + "]")
-    assert read_fetch_capture(spark, str(tmp_path)).where("status = 200").count() == 7
+    (tmp_path / "pretty.json").write_text('{\n  "time": 1,\n  "options": {"url": "http://a/"},\n  "result": {"status": 200}\n}\n')
+    assert read_fetch_capture(spark, str(tmp_path)).where("status = 200").count() == 8
+    assert read_fetch_capture(spark, str(tmp_path / "lines.json"), "lines").where("status = 200").count() == 5
+    for name, rows in (("array", 2), ("pretty", 1)):
+        assert read_fetch_capture(spark, str(tmp_path / f"{name}.json"), "document").where("status = 200").count() == rows
+
+
+def test_spellings_in_sql_equal_the_column(spark):
+    from netloom.extensions import register_sql
+
+    register_sql(spark)
+    urls = ["https://example.com:8443/x/", "http://www.example.com:80/", "https://example.com:443/a?b=1#c", "http://h.example/i/index.php"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    column = {(r.u, r.s) for r in df.select("u", F.explode(U.url_permutations("u")).alias("s")).collect()}
+    sql = {(r.u, r.s) for r in spark.sql("select u, t.spelling as s from {df}, lateral url_spellings(u) t", df=df).collect()}
+    assert column == sql
+
+
+def test_robots_files_by_name_and_folder(spark, tmp_path):
+    from netloom.sources.readers import read_robots
+
+    (tmp_path / "host=a.example").mkdir()
+    (tmp_path / "host=a.example" / "part-0.txt").write_text("User-agent: *\n")
+    (tmp_path / "B.example.txt").write_text("User-agent: x\n")
+    assert {r.host for r in read_robots(spark, f"{tmp_path}/host=*/*.txt").collect()} == {"a.example"}
+    assert {r.host for r in read_robots(spark, f"{tmp_path}/*.txt").collect()} == {"b.example"}
 
 
 def test_suffix_table_takes_the_longest_match(spark):
