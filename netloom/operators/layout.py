@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from netloom.functions.html import once
-from netloom.plans.ranking import top_n
 from netloom.session import write_table
 
 OCR_MIN_TEXT_OPS = 3
@@ -281,16 +280,6 @@ def _is_decoration(text: Column) -> Column:
     return text.rlike(r"^(.)\1*$")
 
 
-def _page_frames(rows: DataFrame) -> DataFrame:
-    """Of each page: the heights between which no line is near an edge, and how far its lines reach."""
-    heights = rows.groupBy("doc_id", "page", "y").agg(F.count("*").alias("_n"))
-    ends = [(F.col("y"), "_low", F.max), (F.desc("y"), "_high", F.min)]
-    parts = [top_n(heights, ["doc_id", "page"], [order], EDGE_LINES, "_nth").groupBy("doc_id", "page").agg(pick("y").alias(name))
-             for order, name, pick in ends]
-    reach = heights.groupBy("doc_id", "page").agg((F.max("y") - F.min("y")).alias("_reach"))
-    return reach.join(parts[0], ["doc_id", "page"]).join(parts[1], ["doc_id", "page"])
-
-
 def strip_repeated_lines(lines: DataFrame) -> DataFrame:
     """Drops running headers and footers of documents of three or more pages.
 
@@ -298,35 +287,36 @@ def strip_repeated_lines(lines: DataFrame) -> DataFrame:
     height; all fragments of its height on the page go with it.  The joined
     text of a height is tested too.
 
-    Pages are reduced to their frame, heights to one row, texts near an edge to
-    one row per key with its pages, times and spread of height; what repeats
-    drops its heights by an anti join.  No line carries anything of its document,
-    so a document of any length takes many tasks.
+    The lines of a page meet once and leave one row for each height near an edge,
+    with its keys.  A key is reduced to its pages, times and spread of height;
+    what repeats drops its heights by an anti join.  No line carries anything of
+    its document, so a document of any length takes many tasks.
     """
     band = ["doc_id", "page", "_band"]
     rows = lines.withColumn("_band", F.round(F.col("y") * 10).cast("bigint"))
-    frames = write_table(_page_frames(rows))
-    documents = frames.groupBy("doc_id").agg(F.count("*").alias("_pages"), F.sum("_reach").alias("_reaches")).select(
-        "doc_id", "_pages", F.greatest(F.col("_reaches") / F.col("_pages"), F.lit(1.0)).alias("_avg")).where("_pages >= 3")
-    near = rows.join(frames, ["doc_id", "page"]).withColumn("_edge", (F.col("y") <= F.col("_low")) | (F.col("y") >= F.col("_high")))
-    first = F.struct("line_no", "y", F.col("_edge").alias("edge"))
-    # a height near no edge has no key
-    heights = near.groupBy(*band).agg(
-        F.max("_edge").alias("_any"), F.min(first).alias("_first"), F.count("*").alias("_members"),
-        F.sort_array(F.collect_list(F.struct("line_no", "y", F.col("_edge").alias("edge"), "text"))).alias("_lines")).where("_any")
-    joined = F.when(F.col("_members") >= 2, comparison_key(F.array_join(F.transform("_lines", lambda t: t["text"]), " ")))
+    page = Window.partitionBy("doc_id", "page")
+    near = rows.withColumns({
+        "_up": F.dense_rank().over(page.orderBy("y")), "_down": F.dense_rank().over(page.orderBy(F.desc("y"))),
+        "_reach": F.max("y").over(page) - F.min("y").over(page)}).withColumn(
+        "_edge", (F.col("_up") <= EDGE_LINES) | (F.col("_down") <= EDGE_LINES))
+    line = F.struct("line_no", "y", F.col("_edge").alias("edge"), "text")
+    heights = near.groupBy(*band).agg(F.max("_edge").alias("_any"), F.first("_reach").alias("_reach"),
+                                      F.sort_array(F.collect_list(line)).alias("_lines")).where("_any")
+    first = F.get("_lines", 0)
+    joined = F.when(F.size("_lines") >= 2, comparison_key(F.array_join(F.transform("_lines", lambda t: t["text"]), " ")))
     one = F.transform(F.filter("_lines", lambda t: t["edge"]), lambda t: F.struct(
         F.lit(0).alias("kind"), comparison_key(t["text"]).alias("key"), t["y"].alias("y"), F.lit(True).alias("counts")))
     # a joined text counts once, by its first line
-    whole = F.array(F.struct(F.lit(1).alias("kind"), joined.alias("key"), F.col("_first.y").alias("y"),
-                             F.col("_first.edge").alias("counts")))
-    keyed = heights.select(*band, F.explode(F.concat(one, whole)).alias("k")).select(*band, "k.*").where(
+    whole = F.array(F.struct(F.lit(1).alias("kind"), joined.alias("key"), first["y"].alias("y"), first["edge"].alias("counts")))
+    heights = write_table(heights.select(*band, "_reach", F.concat(one, whole).alias("_keys")))
+    documents = heights.groupBy("doc_id", "page").agg(F.first("_reach").alias("_reach")).groupBy("doc_id").agg(
+        F.count("*").alias("_pages"), F.greatest(F.avg("_reach"), F.lit(1.0)).alias("_avg")).where("_pages >= 3")
+    keyed = heights.select(*band, F.explode("_keys").alias("k")).select(*band, "k.*").where(
         (F.octet_length("key") >= 10) & ~_is_decoration(F.col("key")) & ~_is_structural(F.col("key")))
-    keyed = write_table(keyed)
     repeated = keyed.where("counts").groupBy("doc_id", "kind", "key").agg(
         F.count_distinct("page").alias("_on"), F.count("*").alias("_times"), F.stddev_pop("y").alias("_spread")
-    ).join(documents, "doc_id").where(
-        (F.col("_on") >= F.greatest(F.lit(3), F.floor(F.col("_pages") * 30 / 100)))
+    ).where("_on >= 3").join(documents, "doc_id").where(
+        (F.col("_on") >= F.floor(F.col("_pages") * 30 / 100))
         & ((F.col("_times") < 2) | (F.col("_spread") / F.col("_avg") < 0.05)))
     gone = keyed.join(repeated.select("doc_id", "kind", "key"), ["doc_id", "kind", "key"], "left_semi").select(*band).distinct()
     return rows.join(gone, band, "left_anti").select(*lines.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import url as U
-from netloom.session import cut_lineage, write_table
+from netloom.session import write_table
 
 
 def _lines(robots: DataFrame) -> DataFrame:
@@ -111,16 +111,17 @@ def _best_rules(targets: DataFrame, rules: DataFrame, agents: int) -> DataFrame:
     return hits.groupBy("host", "target").agg(*best)
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame, agents: tuple[str, ...] = ("*",),
-                   url: str = "url", out: str = "robots_ok") -> DataFrame:
-    """Adds ``out``: may any of the agents fetch the URL.
+def robots_checks(urls: DataFrame, rules: DataFrame, checks: dict[str, tuple[str, ...]], url: str = "url") -> DataFrame:
+    """Adds a column for each entry of ``checks``: may any of its agents fetch the URL.
 
     The longest matching rule wins and ties allow.  A URL without a final
     slash must also pass with one.  Hosts without rules allow everything.
 
-    Distinct paths meet the rules: plain rules by equal starts, so their number
-    doesn't matter; only rules with a `*` inside are tried one by one.
+    Distinct paths meet the rules once for all agents: plain rules by equal
+    starts, so their number doesn't matter; only rules with a `*` inside are tried
+    one by one.
     """
+    agents = tuple(dict.fromkeys(a for names in checks.values() for a in names))
     chosen = write_table(_chosen_rules(rules, agents))
     rows = urls.withColumns({
         "_host": U.host(url),
@@ -130,12 +131,21 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agents: tuple[str, ...] =
         ~(F.col(url).endswith("/") | F.col(url).contains("#")), F.concat("_target", F.lit("/"))))
     asked = rows.select(F.col("_host").alias("host"), F.explode(F.array("_target", "_slashed")).alias("target")).where(
         "target is not null").distinct().join(chosen.select("host").distinct(), "host", "left_semi")
-    best = cut_lineage(_best_rules(asked, chosen, len(agents)))
+    best = write_table(_best_rules(asked, chosen, len(agents)))
     for name in ("_target", "_slashed"):
         found = best.select(F.col("host").alias("_host"), F.col("target").alias(name),
                             *[F.col(f"v{k}").alias(f"{name}{k}") for k in range(len(agents))])
         rows = rows.join(found, ["_host", name], "left")
-    passes = F.lit(False)
-    for k in range(len(agents)):
-        passes = passes | (F.coalesce(F.col(f"_target{k}"), F.lit(True)) & F.coalesce(F.col(f"_slashed{k}"), F.lit(True)))
-    return rows.select(*[F.col(c) for c in urls.columns if c != out], passes.alias(out))
+    out = {}
+    for column, names in checks.items():
+        passes = F.lit(False)
+        for k in map(agents.index, names):
+            passes = passes | (F.coalesce(F.col(f"_target{k}"), F.lit(True)) & F.coalesce(F.col(f"_slashed{k}"), F.lit(True)))
+        out[column] = passes
+    return rows.select(*[F.col(c) for c in urls.columns if c not in checks], *[v.alias(c) for c, v in out.items()])
+
+
+def robots_allowed(urls: DataFrame, rules: DataFrame, agents: tuple[str, ...] = ("*",),
+                   url: str = "url", out: str = "robots_ok") -> DataFrame:
+    """Adds ``out``: may any of the agents fetch the URL (see :func:`robots_checks`)."""
+    return robots_checks(urls, rules, {out: agents}, url)

@@ -173,8 +173,7 @@ def _(spark, sf):
         "page_id", "pos", U.resolve_url("href", "url").alias("link"))
     # Links of other hosts meet the rules of their own host.
     rules = robots.parse_robots(robots_files(spark, sf))
-    both = robots.robots_allowed(links, rules, url="link", out="any_agent")
-    return robots.robots_allowed(both, rules, ("loombot",), "link", "loombot").select(
+    return robots.robots_checks(links, rules, {"any_agent": ("*",), "loombot": ("loombot",)}, "link").select(
         "page_id", "pos", "any_agent", "loombot")
 
 
