@@ -9,6 +9,7 @@ from netloom.functions.tables import SKIPPED_FILE_EXTENSIONS, SOCIAL_SITES
 from netloom.operators import crawl as C
 from netloom.operators import discovery, robots, sitemaps
 from netloom.operators.crawl import CrawlPolicy
+from netloom.plans.ranking import rank_by_range
 from netloom.plans.views import check_sql, view
 from netloom.session import write_table
 from netloom.suite import sqltext as T
@@ -233,11 +234,9 @@ def _(spark, sf):
 
 def sitemap_roots(spark, sf):
     """One crawl per host, numbered by host name."""
-    from pyspark.sql import Window
-
-    hosts = view(spark, sf, "pages").select(U.host("url").alias("host")).distinct()
-    return hosts.select(
-        F.row_number().over(Window.orderBy("host")).cast("bigint").alias("crawl_id"),
+    hosts = view(spark, sf, "pages").select(U.host("url").alias("host")).distinct().withColumn("all", F.lit(0))
+    return rank_by_range(hosts, ["all"], [F.col("host")], "crawl_id").select(
+        F.col("crawl_id").cast("bigint").alias("crawl_id"),
         F.concat(F.lit("http://"), "host", F.lit("/sitemap.xml")).alias("sitemap_url"),
         F.lit(0).cast("bigint").alias("pos"))
 
