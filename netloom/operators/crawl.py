@@ -249,10 +249,16 @@ def claim_keys(candidates: DataFrame, visited: DataFrame, limit: int | None = No
         return met.where("_claimed = 0").select(*columns)
     # read by the count of claimed keys and by the ranking
     met = write_table(met)
-    used = met.where("_claimed = 1").groupBy("crawl_id").agg(F.count("*").alias("_used"))
-    ranked = running_rank(met.where("_claimed = 0").select(*columns), ["crawl_id"],
-                          bucket if bucket is not None else F.floor(F.col("pos") / 4096), [F.col("pos"), F.col("key")], "_rank")
-    return ranked.join(used, "crawl_id", "left").where(
+    used = met.where("_claimed = 1").groupBy("crawl_id").agg(F.count("*").alias("used"))
+    return within_limit(met.where("_claimed = 0").select(*columns), used, limit, bucket)
+
+
+def within_limit(fresh: DataFrame, used: DataFrame, limit: int, bucket: Column | None = None) -> DataFrame:
+    """The first claims of each crawl, as many as its limit leaves beside those ``used`` (crawl_id, used)."""
+    ranked = running_rank(fresh, ["crawl_id"], bucket if bucket is not None else F.floor(F.col("pos") / 4096),
+                          [F.col("pos"), F.col("key")], "_rank")
+    held = used.select("crawl_id", F.col("used").alias("_used"))
+    return ranked.join(held, "crawl_id", "left").where(
         F.col("_rank") + F.coalesce("_used", F.lit(0)) <= limit).drop("_rank", "_used")
 
 

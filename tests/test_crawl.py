@@ -53,6 +53,32 @@ def test_discovery_limit_and_depth(spark):
     assert discovery.crawl_corpus(pages, seeds, policy, limit=4).count() == 4
 
 
+def test_a_level_shuffles_its_own_rows_only(spark):
+    """Many levels, merged on the way; visited tables are read where they lie."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    visited = discovery.Visited(spark)
+    for level in range(discovery.MERGED + 4):
+        rows = spark.range(level * 100, level * 100 + 100).select(
+            F.lit(1).alias("crawl_id"), F.col("id").cast("string").alias("url"), F.col("id").cast("string").alias("key"), F.lit(level).alias("depth"))
+        assert visited.add(rows).count() == 100
+    assert len(visited.tables) <= discovery.MERGED + 1 and visited.all().count() == 100 * (discovery.MERGED + 4)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        candidates = spark.range(500, 2000).select((F.col("id") % 3 + 1).cast("int").alias("crawl_id"), F.col("id").cast("string").alias("key"))
+        fresh = visited.without(candidates)
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("LeftAnti") == len(visited.tables)
+        assert fresh.count() == sum(i % 3 > 0 or i >= 100 * (discovery.MERGED + 4) for i in range(500, 2000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        visited.drop()
+    chain = spark.createDataFrame([(i, f"https://h.com/p{i}", f'<a href="/p{i + 1}">n</a>') for i in range(14)],
+                                  "page_id bigint, url string, html string")
+    seeds = spark.createDataFrame([(1, "https://h.com/p0")], "crawl_id bigint, url string")
+    deep = discovery.crawl_corpus(chain, seeds, CrawlPolicy(allow_backward=True))
+    assert sorted(r.depth for r in deep.collect()) == list(range(15))
+
+
 def test_nested_sitemaps(spark):
     first = ["http://h/0.xml"] + [f"http://h/{i}.xml" for i in range(1, 7)]
     rows = [(u, f"<sitemapindex><sitemap><loc>{n}</loc></sitemap></sitemapindex>") for u, n in zip(first, first[1:])]
