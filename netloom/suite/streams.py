@@ -13,7 +13,8 @@ from netloom.suite.registry import duck_stamp, query, stamp
 def stream(spark, sf, table):
     """A base table as a stream, with zoned event times."""
     schema = view(spark, sf, table).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    # a pattern, since a stream takes a plain path for a folder only, and a table is a file or a folder of files
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/{table}.parque[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
