@@ -69,21 +69,22 @@ def rank_by_terms(urls: DataFrame, query, url: str = "url") -> DataFrame:
 def dedupe_map_docs(docs: DataFrame, order: Column | None = None, by=()) -> DataFrame:
     """One row per URL: the first, or the first with a title if it has none.
 
-    The row keeps the first position.  ``docs`` has ``url, title,
+    The row keeps the least ``order`` and the first position of all its
+    documents, which may be another's.  ``docs`` has ``url, title,
     description, pos``.
     """
     rank = order if order is not None else F.struct("pos")
     body = F.struct("title", "description")
     return docs.groupBy(*by, "url").agg(
-        F.min(rank).alias("order"),
+        F.min(rank).alias("order"), F.min("pos").alias("first_pos"),
         F.min_by(body, F.struct(F.col("title").isNull(), rank)).alias("_d"),
-    ).select(*by, "url", "_d.title", "_d.description", "order")
+    ).select(*by, "url", "_d.title", "_d.description", "order", "first_pos")
 
 
 def site_map(known: DataFrame, sitemap_urls: DataFrame, seed: str, query: str | None = None,
              limit: int = 5000, include_subdomains: bool = True, filter_by_path: bool = True,
              ignore_query: bool = True, sitemap: str = "include") -> DataFrame:
-    """Ranked URLs of one site: ``url, title, description, rank``.
+    """Ranked URLs of one site: ``url, title, description, order, first_pos``.
 
     Inputs have ``url, title, description, pos``.  ``sitemap`` is `include`,
     `skip`, or `only` (which leaves out the first entry).  One shuffle for the
@@ -110,7 +111,7 @@ def site_map(known: DataFrame, sitemap_urls: DataFrame, seed: str, query: str |
         cleaned = cleaned.where((route == "/") | U.path("url").startswith(route))
     merged = dedupe_map_docs(cleaned, F.col("_order"))
     top = merged.orderBy("order").limit(limit)
-    return top.select("url", "title", "description", "order")
+    return top.select("url", "title", "description", "order", "first_pos")
 
 
 def prefer_https(urls: DataFrame) -> DataFrame:
@@ -272,16 +273,20 @@ def items_to_fetch(web: DataFrame, news: DataFrame, images: DataFrame,
         "not blocked").drop("blocked")
 
 
-def merge_fetched(results: DataFrame, documents: DataFrame) -> DataFrame:
+def merge_fetched(results: DataFrame, documents: DataFrame, on: tuple[str, ...] = ("url",)) -> DataFrame:
     """Result rows with the fields of the fetched page laid over them.
 
-    ``documents`` has ``url, title, description, markdown, status``; a fetch
-    without a status counts as failed with status 500.
+    ``documents`` has ``on, title, description, markdown, status``; a fetch
+    without a status counts as failed with status 500.  Of several fetches with
+    the same ``on`` the lowest status counts, so a result never turns into two.
     """
-    docs = documents.select(
-        "url", F.col("title").alias("_t"), F.col("description").alias("_d"), "markdown",
+    fetched = documents.select(
+        *on, F.col("title").alias("_t"), F.col("description").alias("_d"), "markdown",
         F.coalesce("status", F.lit(500)).alias("status"))
-    joined = results.join(docs, "url", "left")
+    fields = F.struct("_t", "_d", "markdown", "status")
+    docs = fetched.groupBy(*on).agg(F.min_by(fields, F.struct("status", F.col("markdown").isNull(), fields)).alias("_f")
+                                    ).select(*on, "_f.*")
+    joined = results.join(docs, list(on), "left")
     return joined.select(
         *[F.coalesce("_t", results["title"]).alias("title") if c == "title"
           else F.coalesce("_d", results["description"]).alias("description") if c == "description"

@@ -30,3 +30,12 @@ def turns(spark, n):
 @pytest.mark.parametrize("n", [40, 0])
 def test_stream_over_a_folder(spark, tmp_path, n):
     assert on_table(spark, tmp_path, "t07_exchange_stream", "conversations", turns(spark, n), 3) is None
+
+
+def test_a_page_fetched_twice_is_one_result(spark):
+    results = spark.createDataFrame([("u", 1, "a", "x"), ("v", 2, "b", "y")], "url string, position int, title string, description string")
+    docs = spark.createDataFrame([("u", "late", None, None, None), ("u", "good", None, "md", 200)],
+                                 "url string, title string, description string, markdown string, status int")
+    got = M.merge_fetched(results, docs).select("position", "title", "markdown", "status").orderBy("position").collect()
+    assert got == [Row(position=1, title="good", markdown="md", status=200),
+                   Row(position=2, title="b", markdown=None, status=None)]
