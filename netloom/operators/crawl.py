@@ -410,12 +410,15 @@ def attempt_flags(attempts: DataFrame) -> DataFrame:
         "needs_proxy": F.col("status").isin(401, 403, 429)})
 
 
-def best_attempt(attempts: DataFrame) -> DataFrame:
-    """First usable attempt per URL (``attempt`` orders them)."""
+def best_attempt(attempts: DataFrame, order: tuple[str, ...] = ("attempt",)) -> DataFrame:
+    """First usable attempt per URL, by ``order``; of attempts equal in it, the one with the least fields.
+
+    The choice never depends on how rows meet, so each run gives the same rows.
+    """
     flagged = attempt_flags(attempts).where("usable")
     rest = [c for c in flagged.columns if c not in ("url", "usable")]
     return flagged.groupBy("url").agg(
-        F.min_by(F.struct(*rest), "attempt").alias("_best")).select(
+        F.min_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("_best")).select(
         "url", *[F.col(f"_best.{c}").alias(c) for c in rest])
 
 

@@ -403,9 +403,9 @@ def _(spark, sf):
 def attempts(spark, sf):
     """Two attempts per URL: the plain text, then the rendered one."""
     rows = view(spark, sf, "attempts")
-    return rows.select("url", F.lit(1).alias("attempt"), "status", F.col("plain").alias("content")
+    return rows.select("url", "page_id", F.lit(1).alias("attempt"), "status", F.col("plain").alias("content")
                        ).unionByName(rows.select(
-                           "url", F.lit(2).alias("attempt"), F.lit(200).alias("status"),
+                           "url", "page_id", F.lit(2).alias("attempt"), F.lit(200).alias("status"),
                            F.col("rendered").alias("content")))
 
 
@@ -417,7 +417,8 @@ select url, attempt, status, needs_proxy from (
 where usable qualify row_number() over (partition by url order by attempt) = 1
 """, "attempts"))
 def _(spark, sf):
-    return C.best_attempt(attempts(spark, sf)).select("url", "attempt", "status", "needs_proxy")
+    # pages may share a URL; the SQL leaves their order open, here the first page goes first
+    return C.best_attempt(attempts(spark, sf), ("attempt", "page_id")).select("url", "attempt", "status", "needs_proxy")
 
 
 @query("c17_fetcher_verdict", check_sql(f"""

@@ -39,3 +39,17 @@ def test_a_page_fetched_twice_is_one_result(spark):
     got = M.merge_fetched(results, docs).select("position", "title", "markdown", "status").orderBy("position").collect()
     assert got == [Row(position=1, title="good", markdown="md", status=200),
                    Row(position=2, title="b", markdown=None, status=None)]
+
+
+def test_equal_attempts_in_any_order(spark):
+    rows = [("u", 1, 404, ""), ("u", 1, 200, "text"), ("u", 2, 200, "text")]
+    got = [C.best_attempt(spark.createDataFrame(r, "url string, attempt int, status int, content string").coalesce(1)).collect()
+           for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and got[0][0].status == 200
+
+
+def test_site_map_keeps_the_first_position(spark):
+    schema = "url string, title string, description string, pos bigint"
+    known = spark.createDataFrame([("https://a.org/long/en/page?and=more", None, None, 3), ("https://a.org/long/en/page", "T", None, 8)], schema)
+    row = M.site_map(known, known.where("false"), "https://a.org/", "en page").collect()
+    assert [(r.url, r.title, r.first_pos) for r in row] == [("https://a.org/long/en/page", "T", 3)]
