@@ -53,3 +53,11 @@ def test_site_map_keeps_the_first_position(spark):
     known = spark.createDataFrame([("https://a.org/long/en/page?and=more", None, None, 3), ("https://a.org/long/en/page", "T", None, 8)], schema)
     row = M.site_map(known, known.where("false"), "https://a.org/", "en page").collect()
     assert [(r.url, r.title, r.first_pos) for r in row] == [("https://a.org/long/en/page", "T", 3)]
+
+
+@pytest.mark.parametrize("name", ["p04_items_to_tables", "p05_tables_to_markdown"])
+def test_tables_of_long_lines(spark, tmp_path, name):
+    text = F.concat_ws("\n", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9000)), lambda i: i.cast("string")), " "),
+                       F.lit("a b c"), F.lit("d e f"))
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    assert on_table(spark, tmp_path, name, "documents", docs) is None
