@@ -61,3 +61,17 @@ def test_tables_of_long_lines(spark, tmp_path, name):
                        F.lit("a b c"), F.lit("d e f"))
     docs = spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"))
     assert on_table(spark, tmp_path, name, "documents", docs) is None
+
+
+def test_pages_are_parsed_in_pieces():
+    from netloom.operators import blocks as B
+
+    html = ["<p>" + "word <b>bold</b> " * 500 + f"{i}</p>" for i in range(300)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(302)), "html": html})
+    out = list(B._parse_batches(iter([batch])))
+    assert max(o.num_rows for o in out) < 60 and sum(o.num_rows for o in out) == 302
+    table = pa.Table.from_batches(out)
+    assert table["page_id"].to_pylist() == list(range(302))
+    texts = [b[0]["text"].rsplit(" ", 1)[-1] for b in table["blocks"].to_pylist()[:300]]
+    assert texts == [str(i) for i in range(300)]
+    assert list(B.pieces(pa.array([], pa.string()))) == []
