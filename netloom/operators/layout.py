@@ -498,19 +498,23 @@ ALL_VALUES = rf"^\s*{_VALUE}(?:\s+{_VALUE})*\s*$"
 
 
 def split_value_cells(items: DataFrame) -> DataFrame:
-    """Wide runs that hold only money or number values become one item each."""
+    """Wide runs that hold only money or number values become one item each.
+
+    A text of values has no letters.  Of its parts only those with a currency sign
+    have white space, and a part carries the number of parts, not the parts.
+    """
     values = F.regexp_extract_all("text", F.lit(rf"(?:\$\s+)?{_NUMBER}|[—–\-‒](?=\s|$)"), F.lit(0))
-    eligible = (F.col("width") > F.col("font_size") * 20) & ~F.col("text").rlike(r"\p{L}{2}") & F.col(
-        "text").rlike(ALL_VALUES)
+    eligible = (F.col("width") > F.col("font_size") * 20) & F.col("text").rlike(ALL_VALUES)
     rows = items.withColumn("_values", F.when(eligible, values))
     split = F.when(F.size("_values") >= 3, F.col("_values")).otherwise(F.array("text"))
-    parts = rows.withColumn("_parts", split).drop("_values")
-    spacing = F.col("width") / F.size("_parts")
-    cut = F.size("_parts") >= 3
+    parts = rows.withColumn("_parts", split).drop("_values").withColumn("_n", F.size("_parts"))
+    spacing = F.col("width") / F.col("_n")
+    cut = F.col("_n") >= 3
     others = [c for c in items.columns if c not in ("text", "x", "width")]
     return parts.select(
-        *others, "x", "width", "_parts", F.posexplode("_parts").alias("part", "text")).select(
-        *others, "part", F.when(cut, F.regexp_replace("text", r"\s+", " ")).otherwise(F.col("text")).alias("text"),
+        *others, "x", "width", "_n", F.posexplode("_parts").alias("part", "text")).select(
+        *others, "part", F.when(cut & F.col("text").startswith("$"), F.regexp_replace("text", r"\s+", " ")).otherwise(
+            F.col("text")).alias("text"),
         F.when(cut, F.col("x") + spacing * F.col("part") + spacing * 0.5).otherwise(F.col("x")).alias("x"),
         F.when(cut, spacing * 0.9).otherwise(F.col("width")).alias("width"))
 

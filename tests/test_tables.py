@@ -1,5 +1,7 @@
 """Queries over tables that are folders, hold equal URLs or long lines."""
 
+import re
+
 import duckdb
 import pyarrow as pa
 import pytest
@@ -75,3 +77,15 @@ def test_pages_are_parsed_in_pieces():
     texts = [b[0]["text"].rsplit(" ", 1)[-1] for b in table["blocks"].to_pylist()[:300]]
     assert texts == [str(i) for i in range(300)]
     assert list(B.pieces(pa.array([], pa.string()))) == []
+
+
+def test_value_cells_carry_no_arrays(spark):
+    from netloom.operators import layout as L
+
+    items = spark.createDataFrame(
+        [(1, "$  5 (1.5) — 7%", 0.0, 300.0, 10.0), (2, "plain", 0.0, 20.0, 10.0), (3, "1 ab 2 3", 0.0, 300.0, 10.0)],
+        "doc_id int, text string, x double, width double, font_size double")
+    got = L.split_value_cells(items)
+    # the array of parts ends where it is exploded
+    assert re.search(r"Generate posexplode\(_parts#\d+\), \[\d+\]", got._jdf.queryExecution().optimizedPlan().toString())
+    assert [r.text for r in got.orderBy("doc_id", "part").collect()] == ["$ 5", "(1.5)", "—", "7%", "plain", "1 ab 2 3"]
