@@ -79,6 +79,17 @@ def test_pages_are_parsed_in_pieces():
     assert list(B.pieces(pa.array([], pa.string()))) == []
 
 
+@pytest.mark.parametrize("made", ["page_markdown", "markdown_with_fallback"])
+def test_filtered_markdown_is_made_once(spark, made):
+    from netloom.operators import blocks as B
+
+    html = '<article><p>a <a href="u">b<br>c</a></p><p>d</p></article>'
+    pages = spark.createDataFrame([(1, "http://a.org/", html), (2, "http://a.org/b", "")], "page_id long, url string, html string")
+    got = getattr(B, made)(B.page_trees(pages)).where("markdown <> ''")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython [") == 1
+    assert [(r.page_id, r.markdown) for r in got.collect()] == [(1, "a [b  \\\nc](u)\n\nd")]
+
+
 def test_value_cells_carry_no_arrays(spark):
     from netloom.operators import layout as L
 
