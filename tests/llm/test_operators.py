@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,27 @@ def test_repeats(spark, monkeypatch, part):
         assert got[t] == expect
 
 
+def test_repeats_take_a_batch_in_pieces():
+    r = random.Random(11)
+    texts = ["".join(r.choices("abcdefgh \n", k=400_000)) for _ in range(8)] + [None, "", "short"]
+    batch = pa.record_batch({"id": list(range(11)), "t": texts, "name": [b"%d" % i for i in range(11)]})
+    made = list(suffix_dedup._occurrences(iter([batch])))
+    assert len(made) > 2 and max(b.num_rows for b in made) < sum(b.num_rows for b in made) // 2
+    seen = pa.Table.from_batches(made).to_pylist()
+    assert {x["id"] for x in seen} == set(range(8)) and all(x["name"] == b"%d" % x["id"] for x in seen)
+
+    asked = [[x | {"parts": 4, "whole": False} for x in seen if x["id"] == i] for i in range(11)]
+    around = list(suffix_dedup._surroundings(iter([batch.append_column("asked", pa.array(asked))])))
+    assert max(b.nbytes for b in around) < 2 * suffix_dedup.HELD
+    rows = pa.Table.from_batches(around).to_pylist()
+    assert sum(len(x["bytes"]) - 399 for x in rows) == sum(x["last"] - x["first"] + 1 for x in seen)
+    assert all(texts[int(x["name"])].encode()[x["low"]:].startswith(x["bytes"]) for x in rows)
+
+    ranges = pa.array([[{"first": 5, "last": 9}]] * 8 + [None] * 3)
+    cut = list(suffix_dedup._cut(iter([(batch["t"], ranges)])))
+    assert len(cut) > 2 and [x["n_removed"] for c in cut for x in c.to_pylist()] == [404] * 8 + [0] * 3
+
+
 def test_repeats_on_the_small_table(spark, sf):
     rows = table(sf, "documents")
     expect = dict(zip([r[0] for r in rows], repeats_by_hand([(r[1] or "").encode() for r in rows], 400)))
