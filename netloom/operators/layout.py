@@ -141,36 +141,64 @@ def items_to_lines(items: DataFrame, tolerance: float = 2) -> DataFrame:
         F.max("y").alias("y"), _ordered_text().alias("text"))
 
 
+def _page_table(items: Column, row_tolerance: float, column_gap: float) -> Column:
+    """The table of a page as an array of one row, NULL if it has none; ``items`` are sorted upwards.
+
+    A band is a slice of the items, a cell holds what lies between two column starts.
+    """
+    xs = F.sort_array(F.array_distinct(F.filter(
+        F.transform(items, lambda i: F.round(i["x"]).cast("bigint")), lambda x: x.isNotNull())))
+    columns = once(xs, lambda found: F.filter(
+        found, lambda x, i: (i == 0) | (x - F.get(found, i - 1) > column_gap)))
+    cuts = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | F.coalesce(
+        F.get(items, i)["y"] - F.get(items, i - 1)["y"] > row_tolerance, F.lit(False)))
+    bands = once(cuts, lambda found: F.transform(found, lambda at, k: F.sort_array(F.transform(
+        F.slice(items, at + 1, F.coalesce(F.get(found, k + 1), F.size(items)) - at),
+        lambda i: F.struct(i["x"].alias("x"), i["n"].alias("n"), i["text"].alias("text"))))))
+
+    def kept(starts: Column) -> Column:
+        def inside(x: Column, start: Column, j: Column) -> Column:
+            # without x, or left of all starts: the first column
+            after = F.get(starts, j + 1)
+            return ((start - 10 <= x) | (j == 0)) & ((x < after - 10) | after.isNull() | x.isNull())
+
+        def row(band: Column) -> Column:
+            return F.transform(starts, lambda s, j: F.trim(F.array_join(F.transform(
+                F.filter(band, lambda i: inside(i["x"], s, j)), lambda i: i["text"]), " ")))
+
+        rows = F.transform(F.transform(F.reverse(bands), row), lambda r: F.struct(
+            r.alias("row"), F.size(F.filter(r, lambda c: c != "")).cast("bigint").alias("filled")))
+        return F.filter(rows, lambda r: r["filled"] >= F.ceil(F.size(starts) / 2))
+
+    def table(starts: Column, rows: Column) -> Column:
+        height, width = F.size(rows).cast("bigint"), F.size(starts).cast("bigint")
+        filled = F.aggregate(rows, F.lit(0).cast("bigint"), lambda n, r: n + r["filled"])
+        return F.array(F.struct(
+            F.transform(rows, lambda r: r["row"]).alias("rows"), height.alias("row_count"), width.alias("col_count"),
+            F.round(filled / (height * width), 2).alias("confidence")))
+
+    return once(columns, lambda starts: F.when(F.size(starts) >= 2, once(
+        kept(starts), lambda rows: F.when(F.size(rows) >= 2, table(starts, rows)))))
+
+
 def items_to_tables(items: DataFrame, row_tolerance: float = 3, column_gap: float = 30) -> DataFrame:
     """Tables of positioned text, at most one per page.
 
     Rows are bands, columns are clusters of x more than ``column_gap`` apart;
     rows at least half filled stay, and two rows, two columns and six items are
     needed.
+
+    The items of a page meet once, in its row, and the table is cut out of them there:
+    no item is joined or sorted beside those of other pages.  The array of one is
+    exploded, so that no filter repeats what makes it.
     """
     page = ["doc_id", "page"]
-    banded = _bands(items, row_tolerance).withColumn("_rx", F.round("x").cast("bigint"))
-    xs = banded.groupBy(*page).agg(
-        F.array_sort(F.collect_set("_rx")).alias("_xs"), F.count("*").alias("_items")).where("_items >= 6")
-    starts = F.filter("_xs", lambda x, i: (i == 0) | (x - F.get(F.col("_xs"), i - 1) > column_gap))
-    columns = xs.select(*page, starts.alias("_starts")).where(F.size("_starts") >= 2)
-    placed = banded.join(columns, page).withColumn(
-        "_col", F.size(F.filter("_starts", lambda s: s - 10 <= F.col("x"))) - 1)
-    placed = placed.withColumn("_col", F.greatest("_col", F.lit(0)))
-    cells = placed.groupBy(*page, "band", "_col").agg(
-        F.trim(_ordered_text()).alias("cell"), F.first(F.size("_starts")).alias("_cols"))
-    rows = cells.groupBy(*page, "band").agg(
-        F.map_from_entries(F.collect_list(F.struct("_col", "cell"))).alias("_cells"),
-        F.first("_cols").alias("_cols"), F.count_if(F.col("cell") != "").alias("_filled"))
-    kept = rows.where(F.col("_filled") >= F.ceil(F.col("_cols") / 2)).withColumn("row", F.transform(
-        F.sequence(F.lit(0), F.col("_cols") - 1),
-        lambda i: F.coalesce(F.col("_cells")[i], F.lit(""))))
-    return kept.groupBy(*page).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("band", "row"))), lambda r: r["row"]).alias("rows"),
-        F.count("*").alias("row_count"), F.first("_cols").cast("bigint").alias("col_count"),
-        F.sum("_filled").alias("_f")).where("row_count >= 2").select(
-        *page, "rows", "row_count", "col_count",
-        F.round(F.col("_f") / (F.col("row_count") * F.col("col_count")), 2).alias("confidence"))
+    number = F.monotonically_increasing_id() if "word_no" not in items.columns else F.col("word_no")
+    rows = items.where("doc_id is not null and page is not null").select(
+        *page, F.struct(F.round("y").cast("bigint").alias("y"), "x", number.alias("n"), "text").alias("_item"))
+    pages = rows.groupBy(*page).agg(F.sort_array(F.collect_list("_item")).alias("_items")).where(F.size("_items") >= 6)
+    return pages.select(*page, F.explode(_page_table(F.col("_items"), row_tolerance, column_gap)).alias("t")).select(
+        *page, "t.*")
 
 
 def _row_line(row: Column) -> Column:

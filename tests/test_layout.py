@@ -90,3 +90,16 @@ def test_repeated_lines_of_one_long_document(spark):
     assert left.where("line_no < 2").count() == 0
     short = lines.where("page < 2")
     assert L.strip_repeated_lines(short).count() == 20
+
+
+def test_table_of_odd_items(spark):
+    """Items in any order, without x, y or text; bands of several heights, also below zero."""
+    items = spark.createDataFrame([
+        (1, 1, 100.4, 50.0, 2, "b"), (1, 1, 98.0, 0.0, 1, "a"), (1, 1, 95.0, 52.0, 0, "c"), (1, 1, -2.5, 3.0, 1, "e"),
+        (1, 1, -2.5, 3.0, 0, "d"), (1, 1, None, 41.0, 0, " f "), (1, 1, -6.0, None, 0, "g"), (1, 1, -6.0, 200.0, 0, None),
+        (1, 2, 9.0, 0.0, 0, "few"), (1, 2, 1.0, 90.0, 1, "items"), (None, 1, 9.0, 0.0, 0, "no document"),
+    ], "doc_id long, page long, y double, x double, word_no long, text string")
+    for order in ("word_no", "y", "text"):
+        got = L.items_to_tables(items.orderBy(order)).collect()
+        assert [(r.doc_id, r.page, r.rows, r.row_count, r.col_count, r.confidence) for r in got] == [
+            (1, 1, [["a", "b c", ""], ["g d e", "f", ""]], 2, 3, 0.67)]

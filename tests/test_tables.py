@@ -100,3 +100,17 @@ def test_value_cells_carry_no_arrays(spark):
     # the array of parts ends where it is exploded
     assert re.search(r"Generate posexplode\(_parts#\d+\), \[\d+\]", got._jdf.queryExecution().optimizedPlan().toString())
     assert [r.text for r in got.orderBy("doc_id", "part").collect()] == ["$ 5", "(1.5)", "—", "7%", "plain", "1 ab 2 3"]
+
+
+def planned(spark, folder, name):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a b c\nd e f").alias("text"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return QUERIES[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["p04_items_to_tables", "p05_tables_to_markdown"])
+def test_words_meet_once(spark, tmp_path, name):
+    """Documents are dealt, not their words; one aggregation holds memory in a task, no window, sort or join beside it."""
+    plan = planned(spark, tmp_path, name)
+    assert plan.count("Exchange") == 1 and re.search(r"Exchange hashpartitioning\(doc_id#\d+L, \d+\), REPARTITION_BY_NUM", plan)
+    assert plan.count("ObjectHashAggregate(") == 2 and not re.search(r"Window|Join|[+:]- (\*\(\d+\) )?Sort ", plan)
