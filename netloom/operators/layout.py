@@ -606,17 +606,34 @@ def line_kind(text, font=None) -> Column:
 
 
 def assemble_document(lines: DataFrame, tables: DataFrame) -> DataFrame:
-    """One text per document: page marker and lines, then the tables."""
-    pages = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("_t"))
-    body = pages.groupBy("doc_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("page", "_t"))), lambda p: F.concat(
-            F.lit("<!-- Page "), p["page"].cast("string"), F.lit(" -->\n"), p["_t"])), "\n\n").alias("_body"))
-    found = tables.groupBy("doc_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("page", table_markdown("rows").alias("_m")))),
-        lambda t: t["_m"]), "\n\n").alias("_tables"))
-    return body.join(found, "doc_id", "left").select("doc_id", F.concat("_body", F.coalesce(
-        F.concat(F.lit("\n\n## Detected Tables\n\n"), F.col("_tables")), F.lit(""))).alias("markdown"))
+    """One text per document: page marker and lines, then the tables.
+
+    Lines and tables of a document meet once, in its row, where the lines, sorted by page,
+    are cut into pages.
+    """
+    text = lines.select("doc_id", F.lit(0).alias("kind"), "page", "line_no", "text")
+    drawn = tables.where("doc_id is not null").select(
+        "doc_id", F.lit(1).alias("kind"), "page", F.lit(None).alias("line_no"), table_markdown("rows").alias("text"))
+    documents = text.unionByName(drawn).groupBy("doc_id").agg(F.sort_array(F.collect_list(
+        F.struct("kind", "page", "line_no", "text"))).alias("_parts")).where(F.get("_parts", 0)["kind"] == 0)
+
+    def texts(parts: Column) -> Column:
+        return F.transform(parts, lambda p: p["text"])
+
+    def pages(own: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | ~F.get(own, i)["page"].eqNullSafe(
+            F.get(own, i - 1)["page"]))
+        return once(firsts, lambda found: F.array_join(F.transform(found, lambda at, k: F.concat(
+            F.lit("<!-- Page "), F.get(own, at)["page"].cast("string"), F.lit(" -->\n"), F.array_join(texts(
+                F.slice(own, at + 1, F.coalesce(F.get(found, k + 1), F.size(own)) - at)), "\n"))), "\n\n"))
+
+    def tail(found: Column) -> Column:
+        return F.when(F.size(found) > 0, F.concat(
+            F.lit("\n\n## Detected Tables\n\n"), F.array_join(texts(found), "\n\n"))).otherwise("")
+
+    return documents.select("doc_id", F.concat(
+        once(F.filter("_parts", lambda p: p["kind"] == 0), pages),
+        once(F.filter("_parts", lambda p: p["kind"] == 1), tail)).alias("markdown"))
 
 
 def _looks_like_data(cell: Column) -> Column:

@@ -103,3 +103,18 @@ def test_table_of_odd_items(spark):
         got = L.items_to_tables(items.orderBy(order)).collect()
         assert [(r.doc_id, r.page, r.rows, r.row_count, r.col_count, r.confidence) for r in got] == [
             (1, 1, [["a", "b c", ""], ["g d e", "f", ""]], 2, 3, 0.67)]
+
+
+def test_document_of_odd_rows(spark):
+    """Pages and lines in any order, lines without text, a page without number, a document without lines or id."""
+    lines = spark.createDataFrame([
+        (1, 2, 0, "c"), (1, 1, 1, "b"), (1, 1, 0, "a"), (1, 1, 2, None), (1, 3, 0, None), (1, None, 0, "lost"),
+        (2, 1, 0, "x"), (None, 1, 0, "no id")], "doc_id long, page long, line_no long, text string")
+    tables = spark.createDataFrame([
+        (1, 2, [["h"], ["v"]]), (1, 1, [["k", "l"], ["m", ""]]), (3, 1, [["no"], ["lines"]]), (None, 1, [["no"], ["id"]])],
+        "doc_id long, page long, rows array<array<string>>")
+    got = {r.doc_id: r.markdown for r in L.assemble_document(lines, tables).collect()}
+    assert got == {
+        1: "<!-- Page 1 -->\na\nb\n\n<!-- Page 2 -->\nc\n\n<!-- Page 3 -->\n\n\n## Detected Tables\n\n"
+           "| k | l |\n| --- | --- |\n| m |  |\n\n| h |\n| --- |\n| v |",
+        2: "<!-- Page 1 -->\nx", None: "<!-- Page 1 -->\nno id"}

@@ -114,3 +114,9 @@ def test_words_meet_once(spark, tmp_path, name):
     plan = planned(spark, tmp_path, name)
     assert plan.count("Exchange") == 1 and re.search(r"Exchange hashpartitioning\(doc_id#\d+L, \d+\), REPARTITION_BY_NUM", plan)
     assert plan.count("ObjectHashAggregate(") == 2 and not re.search(r"Window|Join|[+:]- (\*\(\d+\) )?Sort ", plan)
+
+
+def test_document_meets_once(spark, tmp_path):
+    """Lines and tables of a document meet in one aggregation, without join, sort or window."""
+    plan = planned(spark, tmp_path, "p13_assemble_document")
+    assert plan.count("ObjectHashAggregate(") == 4 and not re.search(r"Window|Join|[+:]- (\*\(\d+\) )?Sort ", plan)
